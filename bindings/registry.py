@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pii",)
+_MODULES = ("pii", "files")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -368,3 +368,73 @@ MODEL_PRICES = (
     ("gemini-2.5-flash", 0.075, 0.30, True), ("gemini-2.0-flash", 0.10, 0.40, True), ("local", 0.0, 0.0, True),
 )
 RUNTIMES = {"TypeScript": "Node.js", "JavaScript": "Node.js", "Python": "Python", "Go": "Go", "Rust": "Rust", "Java": "JVM", "Kotlin": "JVM", "C#": ".NET"}
+
+# Declarations per language, matched on the trimmed line (group 1, or group 2 when 1 is empty).
+SYMBOL_REGEXES = {
+    "script": {
+        "exports": r"^export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum|abstract\s+class)\s+(\w+)",
+        "import_from": r"""^(?:import|export)\s+.*from\s+['"]([^'"]+)['"]""",
+        "require": r"""\brequire\s*\(\s*['"]([^'"]+)['"]\s*\)""",
+        "function": r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(",
+        "arrow": r"^(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s*)?\(",
+        "class": r"^(?:export\s+)?(?:abstract\s+)?class\s+(\w+)",
+        "default": r"^export\s+default\s+|^module\.exports\s*=",
+    },
+    "python": {
+        "function": r"^(?:async\s+)?def\s+(\w+)\s*\(",
+        "class": r"^class\s+(\w+)",
+        "import": r"^(?:import\s+(\S+)|from\s+(\S+)\s+import)",
+    },
+    "go": {
+        "function": r"^func\s+(?:\(\w+\s+[*]?\w+\)\s+)?(\w+)\s*\(",
+        "type": r"^type\s+(\w+)\s+",
+        "block_import": r"""^\s+"([^"]+)\"""",
+        "import": r"""^import "([^"]+)\"""",
+    },
+    "jvm": {
+        "class": r"^(?:public\s+|private\s+|protected\s+)?(?:abstract\s+)?(?:class|interface|enum)\s+(\w+)",
+        "method": r"^(?:public|private|protected)\s+(?:static\s+)?(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*\(",
+        "import": r"^import ([^ ]+)",
+    },
+    "ruby": {
+        "function": r"^def\s+(?:self\.)?([^\s(]+)",
+        "class": r"^(?:class|module) ([^ ]+)",
+        "import": r"""^(?:require|require_relative) [^'"]*['"]([^'"]+)['"]""",
+    },
+    "decorator": r"^@(\w+)",
+}
+SYMBOL_CAPS = {"exports": 200, "imports": 200, "functions": 200, "classes": 100, "decorators": 100}
+
+# Route declarations.
+ROUTE_REGEXES = {
+    "node": (r"""(?:app|router|server)\.(get|post|put|patch|delete|all)\s*\(\s*['"`]([^'"`]+)['"`]""", "i"),
+    "fastapi": (r"""@(?:app|router)\.(get|post|put|patch|delete)\s*\(\s*['"]([^'"]+)['"]""", "i"),
+    "django": (r"""(?:path|re_path)\s*\(\s*['"]([^'"]+)['"]""", ""),
+    "rails": (r"""(get|post|put|patch|delete)\s+['"]([^'"]+)['"]""", "i"),
+    "rails_resources": (r"resources?\s+:(\w+)", ""),
+    "spring": (r"""@(Get|Post|Put|Patch|Delete|Request)Mapping\s*(?:\([^)]*value\s*=\s*)?['"]([^'"]+)['"]""", ""),
+    "laravel": (r"""Route::(get|post|put|patch|delete)\s*\(\s*['"]([^'"]+)['"]""", "i"),
+    "pages_method": (r"""req\.method\s*===?\s*['"](\w+)['"]""", ""),
+}
+# Extractor -> frameworks and dependencies of a repository that switch it on.
+ROUTE_GATES = {
+    "nextjs": (("Next.js",), ()),
+    "node": (("Express", "Hono", "Fastify", "NestJS"), ("express", "hono", "fastify")),
+    "fastapi": (("FastAPI",), ("fastapi",)),
+    "django": (("Django",), ("django",)),
+    "rails": (("Rails",), ("rails",)),
+    "spring": (("Spring Boot",), ()),
+    "laravel": (("Laravel",), ("laravel/framework",)),
+}
+RESOURCE_ROUTES = (("GET", ""), ("POST", ""), ("GET", "/:id"), ("PUT", "/:id"), ("PATCH", "/:id"), ("DELETE", "/:id"))
+
+# Dependency manifests.
+MANIFEST_NAMES = ("package.json", "requirements.txt", "go.mod", "Cargo.toml", "pom.xml", "build.gradle", "build.gradle.kts", "composer.json", "Gemfile", "pyproject.toml")
+MANIFEST_REGEXES = {
+    "requirement": r"^([A-Za-z0-9._-]+)\s*([><=!~^].+)?",
+    "go_module": r"^module\s+(\S+)",
+    "go_require": r"^\s*([^\s]+)\s+(v[^\s]+)",
+    "gradle": r"""(?:implementation|testImplementation|api|compileOnly|runtimeOnly)\s*\(?['"]([^'"]+)['"]\)?""",
+    "gem": r"""^gem\s+['"]([^'"]+)['"]\s*(?:,\s*['"]([^'"]+)['"])?""",
+    "pep508_name": r"^([A-Za-z0-9._-]+)",
+}
