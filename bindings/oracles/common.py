@@ -38,7 +38,7 @@ def with_(*members: tuple[str, str], select: str) -> str:
     seen: dict[str, str] = {}
     for name, body in members:
         seen.setdefault(name, body)
-    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in seen.items()) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({b})" for n, b in seen.items()) + "\n" + select
 
 
 PII_TEXTS = (

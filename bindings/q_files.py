@@ -106,7 +106,7 @@ def schema_and_migration_files(spark, sf) -> DataFrame:
 
 
 def language_inventory(spark, sf) -> DataFrame:
-    return files.language_inventory(_catalog(spark, sf))
+    return files.language_inventory(files.catalog(_files(spark, sf), read=False))
 
 
 def file_counts(spark, sf) -> DataFrame:
@@ -118,7 +118,7 @@ def extraction_type_breakdown(spark, sf) -> DataFrame:
 
 
 def top_level_dirs(spark, sf) -> DataFrame:
-    return files.top_level_dirs(_catalog(spark, sf))
+    return files.top_level_dirs(files.catalog(_files(spark, sf), read=False))
 
 
 def explode_lines(spark, sf) -> DataFrame:

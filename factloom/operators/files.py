@@ -35,13 +35,21 @@ def any_of(col: Column, fragments: Sequence[str], how: str = "contains") -> Colu
 # ---------------------------------------------------------------- predicates on paths
 
 
+_EXCLUDED = r"(?:^|/)(?:%s|\.(?!(?:%s)/)[^/]*)/" % (
+    "|".join(d.replace(".", r"\.") for d in signals.EXCLUDED_DIRS),
+    "|".join(d[1:] for d in signals.KEPT_DOT_DIRS),
+)
+
+
+def in_directory(path: Column, names: Sequence[str], or_name: bool = False) -> Column:
+    """A directory of the path (or, with ``or_name``, its last part too) is one of ``names``."""
+    listed = "|".join(n.replace(".", r"\.") for n in names)
+    return path.rlike(rf"(?:^|/)(?:{listed})" + (r"(?:/|\z)" if or_name else "/"))
+
+
 def is_excluded_path(path: Column) -> Column:
     """Below an excluded directory, or a dot directory that is not kept.  Dot files stay."""
-    directories = F.slice(parts(path), 1, F.size(parts(path)) - 1)
-    return F.exists(
-        directories,
-        lambda d: d.isin(*signals.EXCLUDED_DIRS) | (d.startswith(".") & ~d.isin(*signals.KEPT_DOT_DIRS)),
-    )
+    return path.rlike(_EXCLUDED)
 
 
 def drop_excluded_paths(files: DataFrame) -> DataFrame:
@@ -82,14 +90,17 @@ def migration_hits(path: Column) -> Column:
 
 
 def classify(path: Column, size_bytes: Column) -> Column:
-    """File class from name, path and size; the order of the rules matters."""
+    """File class from path and size."""
     name = basename(path)
-    ext = F.lower(extname(name))
-    language = language_of(path)
+    return _class_of(path, name, F.lower(extname(name)), language_of(path), size_bytes)
+
+
+def _class_of(path: Column, name: Column, ext: Column, language: Column, size_bytes: Column) -> Column:
+    """The order of the rules matters."""
     schema = (
         ext.isin(*signals.SCHEMA_EXTENSIONS)
         | name.rlike(r"(?i)^(?:schema|models|types)\.")
-        | F.exists(parts(path), lambda p: p.isin(*signals.SCHEMA_DIRS))
+        | in_directory(path, signals.SCHEMA_DIRS, or_name=True)
     )
     return (
         F.when(name.isin(*signals.LOCKFILE_FORMATS), F.lit("lockfile"))
@@ -128,8 +139,12 @@ def first_lines(content: Column, n: int) -> Column:
     return F.substring_index(content, "\n", n)
 
 
-def generated_marker(head: Column) -> Column:
-    return F.coalesce(*[F.when(head.contains(m), F.lit(m)) for m in signals.GENERATED_MARKERS])
+_MARKED = r"\A(?:[^\n]*\n){0,9}[^\n]*?(?:%s)" % "|".join(signals.GENERATED_MARKERS)
+
+
+def has_generated_marker(content: Column) -> Column:
+    """One of the first ten lines says that the file is generated."""
+    return content.rlike(_MARKED)
 
 
 def generator_of(path: Column, head: Column) -> Column:
@@ -142,41 +157,53 @@ def generator_of(path: Column, head: Column) -> Column:
     )
 
 
-def extraction_type(path: Column, size_bytes: Column, content: Column, is_symlink: Column | None = None) -> Column:
+def extraction_type(path: Column, base: Column, size_bytes: Column, content: Column, is_symlink: Column) -> Column:
     """Class after reading: binary sniff, large files as data, generated files; symlinks are 'unknown'."""
-    base = classify(path, size_bytes)
-    head = first_lines(content, 10)
     binary = is_binary_content(content)
     generated = (
-        F.exists(parts(path), lambda p: p.isin(*signals.GENERATED_DIRS))
+        in_directory(path, signals.GENERATED_DIRS, or_name=True)
         | path.endswith(".d.ts")
-        | ((base == "source") & generated_marker(head).isNotNull())
+        | ((base == "source") & has_generated_marker(content))
     )
-    typed = (
-        F.when(base == "binary", base)
+    return (
+        F.when(is_symlink, F.lit("unknown"))
+        .when(base == "binary", base)
         .when(base.isin("lockfile", "env"), F.when(binary, F.lit("error")).otherwise(base))
         .when(binary, F.lit("binary"))
         .when((base == "data") | (size_bytes > signals.DATA_SIZE_LIMIT), F.lit("data"))
         .when(generated, F.lit("generated"))
         .otherwise(base)
     )
-    return typed if is_symlink is None else F.when(is_symlink, F.lit("unknown")).otherwise(typed)
 
 
-def catalog(files: DataFrame) -> DataFrame:
-    """The file catalog: excluded paths dropped, name, extension, language, size and extraction type added."""
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row: a filter on it is not pushed below (and its expression repeated),
+    because it comes out of a generator.  Filters on the other columns still pass."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def catalog(files: DataFrame, read: bool = True) -> DataFrame:
+    """The file catalog: excluded paths dropped, name, extension, language, size and class added.
+
+    With ``read`` the extraction type (which looks into ``content``) replaces the class by path and ``content`` is kept;
+    without it nothing but paths and sizes is read.
+    """
     kept = drop_excluded_paths(files.withColumn("path", normalize_path(F.col("path"))))
     if "size_bytes" not in kept.columns:
         kept = kept.withColumn("size_bytes", F.octet_length("content").cast("long"))
     if "is_symlink" not in kept.columns:
         kept = kept.withColumn("is_symlink", F.lit(False))
     path = F.col("path")
-    return kept.select(
-        "repo_id", "path", basename(path).alias("name"), F.lower(extname(basename(path))).alias("ext"), "size_bytes",
-        F.when(~F.col("is_symlink"), language_of(path)).alias("language"), "is_symlink",
-        extraction_type(path, F.col("size_bytes"), F.col("content"), F.col("is_symlink")).alias("extraction_type"),
-        "content",
-    )
+    named = kept.select(
+        "repo_id", "path", basename(path).alias("name"), "size_bytes", "is_symlink", *(["content"] if read else [])
+    ).withColumn("ext", F.lower(extname(F.col("name"))))
+    lang = named.withColumn("language", F.when(~F.col("is_symlink"), lookup(signals.LANGUAGE_OF_EXTENSION, F.col("ext"))))
+    base = _once(lang, "file_class", _class_of(path, F.col("name"), F.col("ext"), F.col("language"), F.col("size_bytes")))
+    front = ["repo_id", "path", "name", "ext", "size_bytes", "language", "is_symlink"]
+    if not read:
+        return base.select(*front, "file_class")
+    kind = extraction_type(path, F.col("file_class"), F.col("size_bytes"), F.col("content"), F.col("is_symlink"))
+    return _once(base, "extraction_type", kind).select(*front, "extraction_type", "content")
 
 
 def data_format(ext: Column, head: Column) -> Column:

@@ -256,6 +256,19 @@ def in_pii_scope(path: Column) -> Column:
     return ~skip
 
 
+def any_signal(line_signals=signals.LINE_SIGNALS) -> str:
+    """One regex that matches wherever any signal does.  Signals of the form ``\\b(?:words)\\b`` share one boundary check,
+    so a scan tests words only where a word begins."""
+    words, others = [], []
+    for rx, _ in line_signals:
+        if rx.startswith(r"\b(?:") and rx.endswith(r")\b") and rx.count(r"\b") == 2:
+            words.append(rx[5:-3])
+        else:
+            others.append(f"(?:{to_java(rx)})")
+    merged = [r"(?<!\w)(?:" + "|".join(words) + r")(?!\w)"] if words else []
+    return "(?i)" + "|".join(merged + others)
+
+
 def line_hint(line: Column, line_signals=signals.LINE_SIGNALS) -> Column:
     """Hint of the first signal on a line; NULL for comment lines and lines without one."""
     stripped = trim_ws(line)
@@ -263,13 +276,12 @@ def line_hint(line: Column, line_signals=signals.LINE_SIGNALS) -> Column:
     for prefix in signals.COMMENT_PREFIXES:
         comment = comment | stripped.startswith(prefix)
     hint = F.coalesce(*[F.when(line.rlike(to_java(rx, "i")), F.lit(text)) for rx, text in line_signals])
-    return F.when(~comment, hint)
+    return F.when(line.rlike(any_signal(line_signals)) & ~comment, hint)
 
 
 def any_line_signal(content: Column, line_signals=signals.LINE_SIGNALS) -> Column:
     """Cheap file-level test: can any line of the file carry a signal?"""
-    union = "|".join(f"(?:{to_java(rx)})" for rx, _ in line_signals)
-    return content.rlike("(?i)" + union)
+    return content.rlike(any_signal(line_signals))
 
 
 def pii_candidate_lines(files: DataFrame, line_signals=signals.LINE_SIGNALS) -> DataFrame:
