@@ -197,12 +197,12 @@ FROM imports JOIN packages USING (repo_id) WHERE package_name IS NOT NULL AND (r
 )
 EDGES = (
     "edges",
-    f"""SELECT repo_id, src, CASE WHEN base IS NULL THEN raw_import ELSE coalesce(hit, CASE WHEN cross THEN base END) END AS dst, base IS NULL AS is_external, cross AS is_cross_package, raw_import FROM (
+    f"""SELECT repo_id, src, CASE WHEN base IS NULL THEN raw_import ELSE coalesce(hit, CASE WHEN in_pkg THEN base END) END AS dst, base IS NULL AS is_external, in_pkg AS is_cross_package, raw_import FROM (
   SELECT b.*, (SELECT arg_min(k.path, sfx.i) FROM {values(enumerate(_SUFFIXES))} sfx(i, x) JOIN cat k ON k.path = b.base || sfx.x AND k.repo_id = b.repo_id) AS hit FROM (
-    SELECT i.repo_id, i.src, i.raw_import, p.package_name IS NOT NULL AS cross,
+    SELECT i.repo_id, i.src, i.raw_import, p.package_name IS NOT NULL AS in_pkg,
       CASE WHEN p.package_name IS NOT NULL THEN p.package_path || CASE WHEN i.raw_import = p.package_name THEN '' ELSE '/' || substring(i.raw_import, length(p.package_name) + 2) END
         WHEN i.raw_import[1] IN ('.', '/', '~') THEN {_norm(_PATH_OF.replace('raw_import', 'i.raw_import').replace('src', 'i.src'))} END AS base
-    FROM imports i LEFT JOIN pkg_hits p USING (repo_id, src, raw_import)) b) WHERE base IS NULL OR hit IS NOT NULL OR cross""",
+    FROM imports i LEFT JOIN pkg_hits p USING (repo_id, src, raw_import)) b) WHERE base IS NULL OR hit IS NOT NULL OR in_pkg""",
 )
 GRAPH = (*SYMBOLS, KEPT, PACKAGES, IMPORTS, PKG, EDGES)
 SRC_FILES = ("src_files", "SELECT repo_id, path FROM cat WHERE extraction_type = 'source'")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pii", "files", "facts")
+_MODULES = ("pii", "files", "facts", "patterns")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
