@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from bindings import relations as rel
 from bindings.q_files import _repo_catalog, _repo_files
 from factloom.functions import paths
+from factloom.functions.checkpoints import cut
 from factloom.operators import files, graph, infra, inventory, manifests, patterns, pii, routes, slices, symbols
 
 
 def _found(spark, sf):
-    return manifests.manifests(_repo_files(spark, sf))
+    """Parsed manifests, written once: narrow facts that the inventories read several times."""
+    return cut(manifests.manifests(_repo_files(spark, sf)))
 
 
 def _deps(spark, sf):
@@ -119,12 +121,12 @@ def ci_tools(spark, sf) -> DataFrame:
 
 def _routes(spark, sf):
     f, deps = _repo_files(spark, sf), _deps(spark, sf)
-    return routes.union_routes(f, deps, inventory.dep_frameworks(deps))
+    return cut(routes.union_routes(f, deps, inventory.dep_frameworks(deps)))
 
 
 def _extractor(name: str):
     def query(spark, sf) -> DataFrame:
-        return routes.EXTRACTORS[name](_repo_files(spark, sf))
+        return routes.extract_routes(_repo_files(spark, sf), (name,))
 
     query.__name__ = f"routes_{name}"
     return query
@@ -151,8 +153,8 @@ def phi_adjacent_routes(spark, sf) -> DataFrame:
 
 def _graph(spark, sf):
     cat = _repo_catalog(spark, sf)
-    syms = symbols.source_symbols(cat)
-    paths_only = cat.select("repo_id", "path")
+    syms = cut(symbols.source_symbols(cat))
+    paths_only = files.drop_excluded_paths(rel.repo_files(spark, sf).select("repo_id", "path"))
     edges = graph.resolve_imports(symbols.raw_imports(syms), paths_only, files.workspace_packages(_repo_files(spark, sf)))
     return cat, syms, edges
 

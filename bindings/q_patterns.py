@@ -37,7 +37,7 @@ def _patterns(spark, sf) -> DataFrame:
         F.when(k % 10 == 0, F.lit("deprecated")).when(k % 3 == 0, F.lit("probation")).otherwise(F.lit("active")).alias("status"),
         uses.alias("use_count"), F.least(uses, (k % 4).cast("long")).alias("probation_uses"), F.least(uses, (k % 7).cast("long")).alias("success_count"),
         ((k % 90) / 100.0).alias("avg_savings"), ((k % 101) / 100.0).alias("fitness_score"),
-        F.when(k % 5 > 0, F.date_add(F.lit("2023-09-01").cast("date"), (k % 190).cast("int")).cast("timestamp")).alias("last_used_at"),
+        F.when(k % 5 > 0, F.date_add(F.lit("2023-09-01").cast("date"), (k % 190).cast("int")).cast("timestamp_ntz")).alias("last_used_at"),
     )
 
 
@@ -110,7 +110,7 @@ def _uses(spark, sf) -> DataFrame:
 
 
 def fitness_score(spark, sf) -> DataFrame:
-    as_of = F.lit(AS_OF).cast("timestamp")
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
     c = F.col
     return _patterns(spark, sf).select(
         "pattern_id", patterns.recency(c("last_used_at"), as_of).alias("recency"),
@@ -119,7 +119,7 @@ def fitness_score(spark, sf) -> DataFrame:
 
 
 def fitness_totals(spark, sf) -> DataFrame:
-    return patterns.fitness_totals(_uses(spark, sf), F.lit(AS_OF).cast("timestamp")).drop("last_used_at")
+    return patterns.fitness_totals(_uses(spark, sf), F.lit(AS_OF).cast("timestamp_ntz")).drop("last_used_at")
 
 
 def fitness_running(spark, sf) -> DataFrame:
@@ -134,7 +134,7 @@ def promote_deprecate(spark, sf) -> DataFrame:
     u = _uses(spark, sf)
     state = patterns.fitness_fold(u).join(u.select("use_id", "used_at"), "use_id")
     # a stricter limit than the default, so that runs of low scores occur
-    return patterns.promote_deprecate(state, F.lit(AS_OF).cast("timestamp"), low=0.68, run=3)
+    return patterns.promote_deprecate(state, F.lit(AS_OF).cast("timestamp_ntz"), low=0.68, run=3)
 
 
 def fitness_log(spark, sf) -> DataFrame:
@@ -304,7 +304,7 @@ def learn_pattern(spark, sf) -> DataFrame:
         _patterns(spark, sf).select("fingerprint", "pattern_id", "status", "use_count", "probation_uses", "success_count", "avg_savings", "fitness_score", "store_ord"),
         ["fingerprint"], [F.col("store_ord")],
     ).drop("store_ord")
-    return patterns.learn_pattern(_queries(spark, sf), stored, F.lit(AS_OF).cast("timestamp")).drop("last_used_at")
+    return patterns.learn_pattern(_queries(spark, sf), stored, F.lit(AS_OF).cast("timestamp_ntz")).drop("last_used_at")
 
 
 def stack_summary(spark, sf) -> DataFrame:

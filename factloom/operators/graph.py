@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import signals
+from factloom.functions.checkpoints import cut
 from factloom.functions.paths import basename, resolve_relative
 from factloom.functions.ranking import top_k_per_group
 
@@ -135,15 +136,15 @@ def rank_sources(symbols: DataFrame, edges: DataFrame, cap: int = 200) -> DataFr
 
     Only the ``cap`` best of the remainder are ranked (window group limit); overflow files need no rank.
     """
-    pinned = (
-        hub_files(edges).select("repo_id", "path").unionByName(entry_points(symbols, edges)).distinct()
-        .withColumn("pinned", F.lit(True))
-    )
-    src = symbols.select("repo_id", "path").join(degree_counts(edges), ["repo_id", "path"], "left").join(pinned, ["repo_id", "path"], "left")
+    shown = (F.size("exports") > 0) | F.col("has_default_export")
+    src = symbols.select("repo_id", "path", shown.alias("_shown")).join(degree_counts(edges), ["repo_id", "path"], "left")
+    zero = F.lit(0).cast("long")
     src = src.select(
-        "repo_id", "path", F.coalesce("inbound", F.lit(0).cast("long")).alias("inbound"),
-        F.coalesce("outbound", F.lit(0).cast("long")).alias("outbound"), F.col("pinned").isNotNull().alias("pinned"),
+        "repo_id", "path", "_shown", F.coalesce("inbound", zero).alias("inbound"), F.coalesce("outbound", zero).alias("outbound")
     )
+    hub = F.col("inbound") >= signals.HUB_THRESHOLD
+    entry = F.col("_shown") & (F.col("inbound") == 0)
+    src = cut(src.select("repo_id", "path", "inbound", "outbound", (hub | entry).alias("pinned")))
     n_pinned = src.groupBy("repo_id").agg(F.count_if("pinned").alias("n_pinned"))
     best = top_k_per_group(
         src.filter(~F.col("pinned")), ["repo_id"], [F.desc("inbound"), F.desc("outbound"), F.asc("path")], cap, "detail_rank"
@@ -156,21 +157,12 @@ def rank_sources(symbols: DataFrame, edges: DataFrame, cap: int = 200) -> DataFr
 # ---------------------------------------------------------------- cycles
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialize and forget the lineage of a round.  The session (or cluster) names the folder."""
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and df.sparkSession.sparkContext.getCheckpointDir() is None:
-        raise RuntimeError("set spark.checkpoint.dir (a folder all executors share) to compute cycles")
-    return df.checkpoint(eager=True)
-
-
-def trim_acyclic(edges: DataFrame, rounds: int) -> DataFrame:
-    """Drop edges whose source is imported by nobody or whose target imports nothing, a few times over.  Such an edge
-    is in no cycle; most graphs shrink to nothing here."""
-    for _ in range(rounds):
-        heads = edges.select("repo_id", F.col("dst").alias("src")).distinct()
-        tails = edges.select("repo_id", F.col("src").alias("dst")).distinct()
-        edges = edges.join(heads, ["repo_id", "src"], "left_semi").join(tails, ["repo_id", "dst"], "left_semi")
-    return edges.select("repo_id", "src", "dst")
+def trim_acyclic(edges: DataFrame) -> DataFrame:
+    """Drop edges whose source is imported by nobody or whose target imports nothing.  Such an edge is in no cycle; most
+    import graphs shrink to little here.  Both ends are tested by one pass each over the (materialized) edges."""
+    heads = edges.select("repo_id", F.col("dst").alias("src")).distinct()
+    tails = edges.select("repo_id", F.col("src").alias("dst")).distinct()
+    return edges.join(heads, ["repo_id", "src"], "left_semi").join(tails, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst")
 
 
 def import_cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -181,31 +173,31 @@ def import_cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     combinable minimum).  Nodes that reach their own colour back inside the colour form that colour's component;
     they leave the graph and the rest goes on.  State is one row per node, never per pair of nodes.
     """
-    live = _cut(trim_acyclic(internal(edges).select("repo_id", "src", "dst").distinct(), 3))
+    live = cut(internal(edges).select("repo_id", "src", "dst").distinct())
+    for _ in range(2):
+        live = cut(trim_acyclic(live))
     parts: list[DataFrame] = []
     for _ in range(max_rounds):
         if live.isEmpty():
             break
         nodes = live.select("repo_id", F.explode(F.array("src", "dst")).alias("path")).distinct()
-        color = _fixpoint(
-            _cut(nodes.withColumn("color", F.col("path"))), live, "src", "dst", max_rounds
-        )
+        color = _smallest_reaching(cut(nodes.withColumn("color", F.col("path"))), live, max_rounds)
         same = (
             live.join(color.select("repo_id", F.col("path").alias("src"), F.col("color").alias("c1")), ["repo_id", "src"])
             .join(color.select("repo_id", F.col("path").alias("dst"), F.col("color").alias("c2")), ["repo_id", "dst"])
             .filter("c1 = c2").select("repo_id", "src", "dst", F.col("c1").alias("color"))
         )
-        same = _cut(same)
+        same = cut(same)
         members = _reach_back(color.filter("path = color"), same, max_rounds)
         # a root without an edge to itself and without a partner is no cycle
         sizes = members.groupBy("repo_id", "color").agg(F.count("*").alias("n"))
         loops = live.filter("src = dst").select("repo_id", F.col("src").alias("path"), F.lit(True).alias("loop"))
         cyclic = members.join(sizes, ["repo_id", "color"]).join(loops, ["repo_id", "path"], "left").filter("n > 1 or loop")
-        parts.append(_cut(cyclic.select("repo_id", "path", F.col("color").alias("component"))))
+        parts.append(cut(cyclic.select("repo_id", "path", F.col("color").alias("component"))))
         done = members.select("repo_id", "path")
         rest = live.join(done.withColumnRenamed("path", "src"), ["repo_id", "src"], "left_anti")
         rest = rest.join(done.withColumnRenamed("path", "dst"), ["repo_id", "dst"], "left_anti")
-        live = _cut(trim_acyclic(rest.select("repo_id", "src", "dst"), 1))
+        live = cut(trim_acyclic(cut(rest.select("repo_id", "src", "dst"))))
     if not parts:
         return edges.select("repo_id", F.col("src").alias("path"), F.col("src").alias("component")).limit(0)
     out = parts[0]
@@ -214,31 +206,29 @@ def import_cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return out
 
 
-def _fixpoint(color: DataFrame, edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
-    """Smallest colour that reaches each node."""
+def _smallest_reaching(color: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Smallest node that reaches each node."""
     for _ in range(max_rounds):
-        pushed = edges.join(color.withColumnRenamed("path", src), ["repo_id", src]).select("repo_id", F.col(dst).alias("path"), "color")
-        merged = color.select("repo_id", "path", "color", F.col("color").alias("old")).unionByName(
-            pushed.withColumn("old", F.lit(None).cast("string"))
+        pushed = edges.join(color.withColumnRenamed("path", "src"), ["repo_id", "src"]).select(
+            "repo_id", F.col("dst").alias("path"), "color", F.lit(None).cast("string").alias("old")
         )
-        step = merged.groupBy("repo_id", "path").agg(F.min("color").alias("color"), F.min("old").alias("old"))
-        step = _cut(step)
-        settled = step.filter("color < old").isEmpty()
+        merged = color.select("repo_id", "path", "color", F.col("color").alias("old")).unionByName(pushed)
+        step = cut(merged.groupBy("repo_id", "path").agg(F.min("color").alias("color"), F.min("old").alias("old")))
         color = step.select("repo_id", "path", "color")
-        if settled:
+        if step.filter("color < old").isEmpty():
             return color
     raise RuntimeError("colouring did not settle")
 
 
 def _reach_back(roots: DataFrame, same: DataFrame, max_rounds: int) -> DataFrame:
     """Nodes that reach the root of their colour over edges inside the colour, roots included."""
-    seen = _cut(roots.select("repo_id", "color", "path"))
+    seen = cut(roots.select("repo_id", "color", "path"))
     frontier = seen
     for _ in range(max_rounds):
         nxt = same.join(frontier.withColumnRenamed("path", "dst"), ["repo_id", "color", "dst"]).select("repo_id", "color", F.col("src").alias("path")).distinct()
-        nxt = _cut(nxt.join(seen, ["repo_id", "color", "path"], "left_anti"))
+        nxt = cut(nxt.join(seen, ["repo_id", "color", "path"], "left_anti"))
         if nxt.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(nxt))
+        seen = cut(seen.unionByName(nxt))
         frontier = nxt
     raise RuntimeError("reachability did not settle")

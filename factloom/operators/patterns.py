@@ -190,8 +190,14 @@ def query_patterns(queries: DataFrame, patterns: DataFrame, threshold: float = s
 # ---------------------------------------------------------------- fitness
 
 
+def days_between(earlier: Column, later: Column) -> Column:
+    """Days with fraction between two timestamps, without time zone."""
+    ntz = "timestamp_ntz"
+    return F.timestamp_diff("MICROSECOND", earlier.cast(ntz), later.cast(ntz)) / F.lit(86_400_000_000.0)
+
+
 def recency(last_used: Column, as_of: Column) -> Column:
-    days = (F.unix_micros(as_of) - F.unix_micros(last_used)) / F.lit(86_400_000_000.0)
+    days = days_between(last_used, as_of)
     return (
         F.when(last_used.isNull(), F.lit(0.1)).when(days < 30, F.lit(1.0)).when(days < 90, F.lit(0.7))
         .when(days < 180, F.lit(0.4)).otherwise(F.lit(0.1))
@@ -275,7 +281,7 @@ def promote_deprecate(history: DataFrame, as_of: Column, low: float = 0.4, run:
         F.coalesce(F.max(F.when(F.col("fitness_score") >= low, F.col("use_count"))), F.lit(0)).alias("_good"),
     )
     low_run = F.col("use_count") - F.col("_good")
-    idle = F.floor((F.unix_micros(as_of) - F.unix_micros(F.col("l.used_at"))) / F.lit(86_400_000_000.0))
+    idle = days_between(F.col("l.used_at"), as_of)
     probation, active = F.col("l.status") == "probation", F.col("l.status") == "active"
     promote = probation & (F.col("l.probation_uses") >= 3) & (F.col("l.success_count") > 0)
     deprecate = (probation & (F.col("use_count") >= 5) & (F.col("l.success_count") == 0)) | (

@@ -6,146 +6,141 @@ rows; the gate (does the repository use the framework?) is a semi-join on them,
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import signals
 from factloom.functions.paths import basename, extname
 from factloom.functions.ranking import first_per_key
-from factloom.functions.regex import line_of_offset, match_spans, to_java
-
-COLUMNS = ("repo_id", "extractor", "method", "route", "path", "line_no", "auth_required", "seq")
-
+from factloom.functions.regex import spans_sql, sql_literal, to_java
 
-def has_auth_words(text: Column) -> Column:
-    guard = text.contains("middleware") | text.contains("guard") | text.contains("verify") | text.contains("authenticate")
-    return text.contains("auth") & guard
+ROUTE = "struct<extractor:string,method:string,route:string,line_no:int,auth_required:boolean,seq:int>"
+_NONE = f"cast(array() as array<{ROUTE}>)"
+_NOT_TEST = "NOT contains(path, 'node_modules') AND NOT contains(path, '.test.') AND NOT contains(path, '.spec.')"
 
 
-def has_python_auth(text: Column) -> Column:
-    return text.contains("Depends") & (text.contains("current_user") | text.contains("oauth2_scheme"))
+def auth_words_sql(text: str) -> str:
+    """Text mentions auth together with a guarding word."""
+    words = " OR ".join(f"contains({text}, '{w}')" for w in ("middleware", "guard", "verify", "authenticate"))
+    return f"(contains({text}, 'auth') AND ({words}))"
 
 
 def _rx(key: str) -> str:
     return to_java(*signals.ROUTE_REGEXES[key])
 
 
-def _matches(files: DataFrame, key: str) -> DataFrame:
-    """One row per match with its line; ``m`` is the matched text."""
-    hits = files.select("repo_id", "path", "content", F.posexplode(match_spans("content", _rx(key))).alias("i", "s"))
-    return hits.select(
-        "repo_id", "path", "content", (F.col("i") + 1).alias("seq"), F.col("s.matched").alias("m"),
-        line_of_offset(F.col("content"), F.col("s.start_pos")).alias("line_no"),
-    )
+def _part(key: str, n: int) -> str:
+    return f"regexp_extract(h.m, {sql_literal(_rx(key))}, {n})"
 
 
-def _routes(df: DataFrame, extractor: str, method: Column, route: Column, auth: Column) -> DataFrame:
-    shaped = df.select(
-        "repo_id", F.lit(extractor).alias("extractor"), method.alias("method"), route.alias("route"), "path",
-        F.col("line_no").cast("int").alias("line_no"), auth.alias("auth_required"), F.col("seq").cast("int").alias("seq"),
+def _route(extractor: str, method: str, route: str, line: str, auth: str, seq: str) -> str:
+    return (
+        f"named_struct('extractor', '{extractor}', 'method', {method}, 'route', {route}, 'line_no', cast({line} as int), "
+        f"'auth_required', {auth}, 'seq', cast({seq} as int))"
     )
-    return shaped
 
 
-def _group(key: str, n: int) -> Column:
-    return F.regexp_extract("m", _rx(key), n)
+def _hits(key: str) -> str:
+    """Matches of a route regex with their line: array<struct<m, line_no, i>>."""
+    line = "size(split(left(content, s.start_pos), '\n', -1))"
+    return f"transform({spans_sql('content', _rx(key))}, (s, i) -> named_struct('m', s.matched, 'line_no', {line}, 'i', i + 1))"
+
 
+def _declared(extractor: str, key: str, method: str, route: str, auth: str) -> str:
+    return f"transform({_hits(key)}, h -> {_route(extractor, method, route, 'h.line_no', auth, 'h.i')})"
 
-def routes_nextjs(files: DataFrame) -> DataFrame:
-    path, name = F.col("path"), basename(F.col("path"))
-    pages = files.filter(path.contains("pages/api/") & extname(name).isin(".ts", ".js", ".tsx", ".jsx"))
-    page_route = F.regexp_replace(path, r"^.*pages/api/", "api/")
-    page_route = F.regexp_replace(F.regexp_replace(page_route, r"\.(?:ts|js|tsx|jsx)\z", ""), r"/index\z", "")
-    named = F.transform(F.regexp_extract_all("content", F.lit(_rx("pages_method")), F.lit(1)), F.upper)
-    known = F.filter(named, lambda m: m.isin(*signals.HTTP_METHODS))
-    methods = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("ALL")))
-    page_rows = pages.select("repo_id", "path", "content", F.lit(1).alias("line_no"), F.posexplode(methods).alias("seq", "method"))
-    a = _routes(page_rows, "nextjs", F.col("method"), F.concat(F.lit("/"), page_route), has_auth_words(F.col("content")))
 
-    app = files.filter(path.contains("/app/") & name.isin("route.ts", "route.js") & (F.col("content") != ""))
-    app_route = F.regexp_replace(F.regexp_replace(path, r"^.*/app/", ""), r"/route\.(?:ts|js)\z", "")
-    app_route = F.regexp_replace(app_route, r"\(.*?\)/", "")
+def _guarded(condition: str, routes: str) -> str:
+    return f"CASE WHEN {condition} THEN {routes} ELSE {_NONE} END"
 
-    def declared(text: Column, method: str) -> Column:
-        return text.rlike(to_java(rf"export\s+(?:async\s+)?function\s+{method}\b"))
 
-    def line_of(method: str) -> Column:
-        lines = F.transform(F.split("content", "\n", -1), lambda l: declared(l, method))
-        return F.greatest(F.array_position(lines, True), F.lit(1))
+def _nextjs_sql() -> str:
+    pages = "regexp_replace(regexp_replace(regexp_replace(path, '^.*pages/api/', 'api/'), '[.](?:ts|js|tsx|jsx)$', ''), '/index$', '')"
+    methods = ", ".join(f"'{m}'" for m in signals.HTTP_METHODS)
+    named = f"filter(transform(regexp_extract_all(content, {sql_literal(_rx('pages_method'))}, 1), x -> upper(x)), x -> x IN ({methods}))"
+    page_methods = f"CASE WHEN size({named}) > 0 THEN {named} ELSE array('ALL') END"
+    auth = auth_words_sql("content")
+    page_routes = f"transform({page_methods}, (m, i) -> {_route('nextjs', 'm', f'concat(\'/\', {pages})', '1', auth, 'i')})"
 
-    per_method = [
-        F.when(declared(F.col("content"), m), F.struct(F.lit(m).alias("method"), line_of(m).cast("int").alias("line_no")))
+    def declares(text: str, method: str) -> str:
+        return f"{text} RLIKE {sql_literal(to_java(rf'export\s+(?:async\s+)?function\s+{method}\b'))}"
+
+    app = "regexp_replace(regexp_replace(regexp_replace(path, '^.*/app/', ''), '/route[.](?:ts|js)$', ''), '[(].*?[)]/', '')"
+    each = [
+        f"CASE WHEN {declares('content', m)} THEN named_struct('m', '{m}', 'line_no', greatest(array_position("
+        f"transform(split(content, '\n', -1), l -> {declares('l', m)}), true), 1)) END"
         for m in signals.HTTP_METHODS
     ]
-    present = F.filter(F.array(*per_method), lambda s: s.isNotNull())
-    fallback = F.array(F.struct(F.lit("ALL").alias("method"), line_of("ALL").cast("int").alias("line_no")))
-    exported = F.when(F.size(present) > 0, present).otherwise(fallback)
-    app_rows = app.select("repo_id", "path", "content", F.posexplode(exported).alias("seq", "e")).select(
-        "repo_id", "path", "content", "seq", "e.*"
-    )
-    b = _routes(app_rows, "nextjs", F.col("method"), F.concat(F.lit("/"), app_route), has_auth_words(F.col("content")))
-    return a.unionByName(b)
+    present = f"array_compact(array({', '.join(each)}))"
+    exported = f"CASE WHEN size({present}) > 0 THEN {present} ELSE array(named_struct('m', 'ALL', 'line_no', 1L)) END"
+    app_routes = f"transform({exported}, (h, i) -> {_route('nextjs', 'h.m', f'concat(\'/\', {app})', 'h.line_no', auth, 'i')})"
+    is_page = "contains(path, 'pages/api/') AND ext IN ('.ts', '.js', '.tsx', '.jsx')"
+    is_app = "contains(path, '/app/') AND name IN ('route.ts', 'route.js') AND content <> ''"
+    return f"concat({_guarded(is_page, page_routes)}, {_guarded(is_app, app_routes)})"
 
 
-def routes_node(files: DataFrame) -> DataFrame:
-    path = F.col("path")
-    src = files.filter(
-        extname(basename(path)).isin(".ts", ".js", ".mjs") & ~path.contains("node_modules")
-        & ~path.contains(".test.") & ~path.contains(".spec.")
-    )
-    hits = _matches(src, "node")
+def _node_sql() -> str:
     # the two lines above and the three below the route's own line
-    first = F.greatest(F.col("line_no") - 2, F.lit(1))
-    near = F.array_join(F.slice(F.split("content", "\n", -1), first, F.col("line_no") + 4 - first), "\n")
-    return _routes(hits, "node", F.upper(_group("node", 1)), _group("node", 2), has_auth_words(near))
+    near = "array_join(slice(split(content, '\n', -1), greatest(h.line_no - 2, 1), h.line_no + 4 - greatest(h.line_no - 2, 1)), '\n')"
+    routes = _declared("node", "node", f"upper({_part('node', 1)})", _part("node", 2), auth_words_sql(near))
+    return _guarded(f"ext IN ('.ts', '.js', '.mjs') AND {_NOT_TEST}", routes)
 
 
-def routes_fastapi(files: DataFrame) -> DataFrame:
-    hits = _matches(files.filter(F.col("path").endswith(".py") & F.col("content").contains("@")), "fastapi")
-    return _routes(hits, "fastapi", F.upper(_group("fastapi", 1)), _group("fastapi", 2), has_python_auth(F.col("content")))
+def _fastapi_sql() -> str:
+    auth = "(contains(content, 'Depends') AND (contains(content, 'current_user') OR contains(content, 'oauth2_scheme')))"
+    routes = _declared("fastapi", "fastapi", f"upper({_part('fastapi', 1)})", _part("fastapi", 2), auth)
+    return _guarded("endswith(path, '.py') AND contains(content, '@')", routes)
 
 
-def routes_django(files: DataFrame) -> DataFrame:
-    hits = _matches(files.filter(basename(F.col("path")) == "urls.py"), "django")
-    auth = F.col("content").contains("login_required") | F.col("content").contains("IsAuthenticated")
-    return _routes(hits, "django", F.lit("ALL"), F.concat(F.lit("/"), _group("django", 1)), auth)
+def _django_sql() -> str:
+    auth = "(contains(content, 'login_required') OR contains(content, 'IsAuthenticated'))"
+    return _guarded("name = 'urls.py'", _declared("django", "django", "'ALL'", f"concat('/', {_part('django', 1)})", auth))
 
 
-def routes_rails(files: DataFrame) -> DataFrame:
-    candidates = files.filter(F.col("path").contains("config/routes.rb")).select("repo_id", "path", "content")
-    first = first_per_key(candidates, ["repo_id"], [F.col("path")])
-    verbs = _matches(first, "rails")
-    plain = _routes(verbs, "rails", F.upper(_group("rails", 1)), _group("rails", 2), F.lit(False))
-    template = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(s).alias("suffix")) for m, s in signals.RESOURCE_ROUTES])
-    declared = _matches(first, "rails_resources").select("*", F.posexplode(template).alias("t", "r"))
-    declared = declared.withColumn("seq", 100_000 + F.col("seq") * 6 + F.col("t"))
-    route = F.concat(F.lit("/"), _group("rails_resources", 1), F.col("r.suffix"))
-    return plain.unionByName(_routes(declared, "rails", F.col("r.method"), route, F.lit(False)))
+def _rails_sql() -> str:
+    plain = _declared("rails", "rails", f"upper({_part('rails', 1)})", _part("rails", 2), "false")
+    template = "array(" + ", ".join(f"named_struct('verb', '{m}', 'suffix', '{x}')" for m, x in signals.RESOURCE_ROUTES) + ")"
+    path = f"concat('/', {_part('rails_resources', 1)}, t.suffix)"
+    one = _route("rails", "t.verb", path, "h.line_no", "false", f"100000 + h.i * {len(signals.RESOURCE_ROUTES)} + k")
+    resources = f"flatten(transform({_hits('rails_resources')}, h -> transform({template}, (t, k) -> {one})))"
+    return _guarded("contains(path, 'config/routes.rb')", f"concat({plain}, {resources})")
 
 
-def routes_spring(files: DataFrame) -> DataFrame:
-    path = F.col("path")
-    hits = _matches(files.filter((path.endswith(".java") | path.endswith(".kt")) & F.col("content").contains("Mapping")), "spring")
-    verb = F.upper(_group("spring", 1))
-    auth = F.col("content").contains("@Secured") | F.col("content").contains("@PreAuthorize")
-    return _routes(hits, "spring", F.when(verb == "REQUEST", F.lit("ALL")).otherwise(verb), _group("spring", 2), auth)
+def _spring_sql() -> str:
+    verb = _part("spring", 1)
+    auth = "(contains(content, '@Secured') OR contains(content, '@PreAuthorize'))"
+    routes = _declared("spring", "spring", f"CASE WHEN {verb} = 'Request' THEN 'ALL' ELSE upper({verb}) END", _part("spring", 2), auth)
+    return _guarded("(endswith(path, '.java') OR endswith(path, '.kt')) AND contains(content, 'Mapping')", routes)
 
 
-def routes_laravel(files: DataFrame) -> DataFrame:
-    path = F.col("path")
-    hits = _matches(files.filter(path.endswith(".php") & (path.contains("routes/api") | path.contains("routes/web"))), "laravel")
-    auth = F.col("content").contains("->middleware('auth')") | F.col("content").contains("auth:")
-    return _routes(hits, "laravel", F.upper(_group("laravel", 1)), _group("laravel", 2), auth)
+def _laravel_sql() -> str:
+    auth = "(contains(content, '->middleware(\\'auth\\')') OR contains(content, 'auth:'))"
+    routes = _declared("laravel", "laravel", f"upper({_part('laravel', 1)})", _part("laravel", 2), auth)
+    return _guarded("endswith(path, '.php') AND (contains(path, 'routes/api') OR contains(path, 'routes/web'))", routes)
 
 
 EXTRACTORS = {
-    "nextjs": routes_nextjs, "node": routes_node, "fastapi": routes_fastapi, "django": routes_django,
-    "rails": routes_rails, "spring": routes_spring, "laravel": routes_laravel,
+    "nextjs": _nextjs_sql, "node": _node_sql, "fastapi": _fastapi_sql, "django": _django_sql, "rails": _rails_sql,
+    "spring": _spring_sql, "laravel": _laravel_sql,
 }
 
 
+def extract_routes(files: DataFrame, extractors=tuple(EXTRACTORS)) -> DataFrame:
+    """(repo_id, extractor, method, route, path, line_no, auth_required, seq) of the chosen extractors, from one scan of the
+    files: every extractor is an expression over the file's own path and content."""
+    name = basename(F.col("path"))
+    base = files.select("repo_id", "path", "content", name.alias("name"), extname(name).alias("ext"))
+    arrays = ", ".join(EXTRACTORS[x]() for x in extractors)
+    rows = base.select("repo_id", "path", F.explode(F.expr(f"concat({arrays})")).alias("r"))
+    flat = rows.select("repo_id", "r.extractor", "r.method", "r.route", "path", "r.line_no", "r.auth_required", "r.seq")
+    if "rails" not in extractors:
+        return flat
+    # one routes file counts per repository, the first by path (read from the paths alone)
+    first = files.filter(F.col("path").contains("config/routes.rb")).groupBy("repo_id").agg(F.min("path").alias("_first"))
+    kept = flat.join(first, "repo_id", "left").filter((F.col("extractor") != "rails") | (F.col("path") == F.col("_first")))
+    return kept.drop("_first")
+
+
 def dedupe_routes(routes: DataFrame) -> DataFrame:
     """First route per (method, route, file) in extractor order, then text order."""
     order = F.array_position(F.array(*[F.lit(x) for x in EXTRACTORS]), F.col("extractor"))
@@ -170,8 +165,7 @@ def route_gates(deps: DataFrame, frameworks: DataFrame) -> DataFrame:
 
 def union_routes(files: DataFrame, deps: DataFrame, frameworks: DataFrame) -> DataFrame:
     """All routes of all extractors a repository switches on, deduplicated."""
-    everything = reduce(DataFrame.unionByName, [fn(files) for fn in EXTRACTORS.values()])
-    gated = everything.join(route_gates(deps, frameworks), ["repo_id", "extractor"], "left_semi")
+    gated = extract_routes(files).join(route_gates(deps, frameworks), ["repo_id", "extractor"], "left_semi")
     return dedupe_routes(gated)
 
 
