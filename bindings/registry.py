@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("pii", "files", "facts", "patterns")
+_MODULES = ("pii", "files", "facts", "patterns", "io")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
