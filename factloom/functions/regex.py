@@ -81,6 +81,20 @@ def to_re2(pattern: str, flags: str = "") -> str:
     return _render(pattern, flags, lambda *_: r"\b")
 
 
+def any_word(words) -> str:
+    """Regex for a choice of words, factored by common beginnings so that a position is tested letter by letter instead
+    of word by word."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        heads.setdefault(word[:1], []).append(word[1:])
+    ends = "" in heads
+    branches = [head + any_word(tails) for head, tails in heads.items() if head]
+    if not branches:
+        return ""
+    choice = branches[0] if len(branches) == 1 and not ends else "(?:" + "|".join(branches) + ")"
+    return choice + "?" if ends else choice
+
+
 def trim_ws(col: Column) -> Column:
     """Trim every ECMAScript whitespace character, not only blanks."""
     return F.btrim(col, F.lit(WS_CHARS))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom import signals
 from factloom.functions.checkpoints import cut
-from factloom.functions.paths import basename, resolve_relative
+from factloom.functions.paths import basename, extname, resolve_relative
 from factloom.functions.ranking import top_k_per_group
 
 
@@ -23,11 +23,20 @@ def resolution_stems(files: DataFrame) -> DataFrame:
     it is an index file.  Keeping the best rank per stem here means that a lookup returns at most one row.
     """
     path = F.col("path")
-    ranks = [F.struct(F.lit(0).alias("rank"), path.alias("stem"))]
-    for i, suffix in enumerate((*signals.RESOLVE_EXTENSIONS, *signals.RESOLVE_INDEXES), 1):
-        stem = F.left(path, F.length(path) - len(suffix))
-        ranks.append(F.when(path.endswith(suffix) & (F.length(path) > len(suffix)), F.struct(F.lit(i).alias("rank"), stem.alias("stem"))))
-    rows = files.select("repo_id", "path", F.explode(F.array_compact(F.array(*ranks))).alias("r"))
+    ext = extname(path)
+    ext_rank = F.array_position(F.array(*[F.lit(e) for e in signals.RESOLVE_EXTENSIONS]), ext)
+    index = F.regexp_extract(path, r"/(?:index\.(?:ts|tsx|js|jsx|mjs)|mod\.ts|__init__\.py)\z", 0)
+    index_rank = F.array_position(F.array(*[F.lit(e) for e in signals.RESOLVE_INDEXES]), index)
+
+    def named(rank: Column, cut_chars: Column) -> Column:
+        return F.struct(rank.cast("int").alias("rank"), F.left(path, F.length(path) - cut_chars).alias("stem"))
+
+    stems = F.array_compact(F.array(
+        named(F.lit(0), F.lit(0)),
+        F.when(ext_rank > 0, named(ext_rank, F.length(ext))),
+        F.when(index_rank > 0, named(index_rank + len(signals.RESOLVE_EXTENSIONS), F.length(index))),
+    ))
+    rows = files.select("repo_id", "path", F.explode(stems).alias("r"))
     return rows.groupBy("repo_id", F.col("r.stem").alias("stem")).agg(F.min_by("path", "r.rank").alias("target"))
 
 

@@ -39,8 +39,8 @@ def _read_workflow(content: str):
             triggers = [str(t) for t in on] if isinstance(on, dict) else []
         jobs = doc.get("jobs")
         return name if isinstance(name, str) else None, triggers, [str(j) for j in jobs] if isinstance(jobs, dict) else []
-    name = re.search(r"(?m)^name:\s*(.+?)\s*$", content)
-    inline = re.search(r"(?m)^on:\s*(\S.*?)\s*$", content)
+    name = re.search(r"(?m)^name:[ \t]*(\S.*?)[ \t]*$", content)
+    inline = re.search(r"(?m)^on:[ \t]*(\S.*?)[ \t]*$", content)
     sections = {k: re.findall(r"(?m)^  (\S+):", body) for k, body in re.findall(r"(?ms)^(\w+):\s*\n(.*?)(?=^\S|\Z)", content)}
     triggers = re.findall(r"[\w-]+", inline[1]) if inline else sections.get("on", [])
     return name[1] if name else None, triggers, sections.get("jobs", [])

@@ -117,15 +117,19 @@ def _options(seg: str) -> str:
       array(named_struct('v', '*', 'loss', 1.0D)))"""
 
 
-def fuzzy_match(queries: DataFrame, patterns: DataFrame, threshold: float = signals.MATCH_THRESHOLD, max_segments: int = 8) -> DataFrame:
+def fuzzy_match(queries: DataFrame, patterns: DataFrame, threshold: float = signals.MATCH_THRESHOLD, max_segments: int | None = None) -> DataFrame:
     """Best eligible pattern at or above ``threshold`` per query fingerprint; ties go to the fittest, then to store order.
 
     No pair of fingerprints is compared.  A similarity of at least t over n segments leaves a budget of (1 - t) * n to
     lose and every differing segment costs at least 0.5, so at most d = floor((1 - t) * n / 0.5) segments differ.  Each
     distinct query fingerprint is expanded to the keys within its budget; stored fingerprints are reduced to the best
     pattern per key (their own form, and the forms with up to d segments masked).  The join returns at most one row per
-    key.  Fingerprints of different length are padded with 'unknown' to the longer one.
+    key.  Fingerprints of different length are padded with 'unknown' to the longer one; ``max_segments`` (the longest
+    fingerprint of both sides) is looked up when it is not given.
     """
+    if max_segments is None:
+        sizes = queries.select("fingerprint").unionByName(patterns.select("fingerprint"))
+        max_segments = sizes.agg(F.max(F.size(F.split("fingerprint", r"\+", -1)))).first()[0] or 1
     budget = (1.0 - threshold) * max_segments
     d = int(math.floor(budget / (1 - signals.SIMILARITY_RELATED) + 1e-9))
 

@@ -7,6 +7,7 @@ them are the table-level operators.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from factloom import signals
 from factloom.functions.numbers import sha256_hex
 from factloom.functions.paths import basename, extname
-from factloom.functions.regex import spans_sql, sql_literal, to_java, trim_ws
+from factloom.functions.regex import any_word, spans_sql, sql_literal, to_java, trim_ws
 
 _RAW = "array<struct<start_pos:int,neg_pct:int,ord:int,end_pos:int,matched:string>>"
 
@@ -261,11 +262,11 @@ def any_signal(line_signals=signals.LINE_SIGNALS) -> str:
     so a scan tests words only where a word begins."""
     words, others = [], []
     for rx, _ in line_signals:
-        if rx.startswith(r"\b(?:") and rx.endswith(r")\b") and rx.count(r"\b") == 2:
-            words.append(rx[5:-3])
+        if re.fullmatch(r"\\b\(\?:[\w|]+\)\\b", rx):
+            words += rx[5:-3].split("|")
         else:
             others.append(f"(?:{to_java(rx)})")
-    merged = [r"(?<!\w)(?:" + "|".join(words) + r")(?!\w)"] if words else []
+    merged = [r"(?<!\w)" + any_word(words) + r"(?!\w)"] if words else []
     return "(?i)" + "|".join(merged + others)
 
 
