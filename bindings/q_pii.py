@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings import relations as rel
+from factloom.functions.arrays import explode_once
 from factloom.functions.regex import line_of_offset
 from factloom.operators import attest, json_leaves, pii
 
@@ -71,7 +72,7 @@ def purity_after_scrub(spark, sf) -> DataFrame:
 
 def line_of_match(spark, sf) -> DataFrame:
     texts = rel.pii_texts(spark, sf)
-    kept = pii.scrub(texts, ["doc_id", "text"]).select("doc_id", "text", F.explode("detections").alias("d"))
+    kept = pii.scrub(texts, ["doc_id", "text"]).select("doc_id", "text", explode_once("detections").alias("d"))
     return kept.select("doc_id", F.col("d.start_pos").alias("start_pos"), line_of_offset(F.col("text"), F.col("d.start_pos")).alias("line_no"))
 
 

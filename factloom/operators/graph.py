@@ -58,21 +58,40 @@ def _first_package(imports: DataFrame, packages: DataFrame) -> DataFrame:
     )
 
 
+def is_local_import(raw: Column) -> Column:
+    return raw.startswith(".") | raw.startswith("/") | raw.startswith("~")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame) -> DataFrame:
     """Edges of all imports: workspace packages, external packages as they are, relative ones by lookup.
-    Relative imports that resolve to nothing are dropped; package imports fall back to the bare directory."""
+    Relative imports that resolve to nothing are dropped; package imports fall back to the bare directory.
+
+    Only imports that may name a file meet the lookup table: external packages (usually the most frequent names) leave
+    after the package join, relative imports never enter it.  A package name does not begin with '.', '/' or '~'.
+    """
     raw = F.col("raw_import")
-    tagged = imports.join(_first_package(imports, packages), ["repo_id", "raw_import"], "left")
+    named = imports.filter(~is_local_import(raw))
+    hits = _first_package(named, packages.filter(~is_local_import(F.col("package_name"))))
+    external = named.join(hits, ["repo_id", "raw_import"], "left_anti").select(
+        "repo_id", F.col("path").alias("src"), raw.alias("dst"), F.lit(True).alias("is_external"),
+        F.lit(False).alias("is_cross_package"), "raw_import", "import_no",
+    )
     sub = F.regexp_replace(F.substring(raw, F.length("pkg.package_name") + 1, F.length(raw)), "^/", "")
     in_package = F.concat(F.col("pkg.package_path"), F.when(sub != "", F.concat(F.lit("/"), sub)).otherwise(F.lit("")))
-    local = raw.startswith(".") | raw.startswith("/") | raw.startswith("~")
-    stem = F.when(F.col("pkg").isNotNull(), in_package).when(local, resolve_relative(F.col("path"), raw))
-    based = tagged.select("repo_id", F.col("path").alias("src"), "import_no", "raw_import", F.col("pkg").isNotNull().alias("is_cross_package"), stem.alias("stem"))
-    found = based.join(resolution_stems(files), ["repo_id", "stem"], "left")
-    external = F.col("stem").isNull()
-    dst = F.when(external, raw).otherwise(F.coalesce("target", F.when(F.col("is_cross_package"), F.col("stem"))))
-    edges = found.select("repo_id", "src", dst.alias("dst"), external.alias("is_external"), "is_cross_package", "raw_import", "import_no")
-    return edges.filter("dst is not null")
+
+    def lookup_rows(df: DataFrame, stem: Column, crosses: bool) -> DataFrame:
+        return df.select(
+            "repo_id", F.col("path").alias("src"), "import_no", "raw_import", F.lit(crosses).alias("is_cross_package"), stem.alias("stem")
+        )
+
+    local = lookup_rows(imports.filter(is_local_import(raw)), resolve_relative(F.col("path"), raw), False)
+    cross = lookup_rows(named.join(hits, ["repo_id", "raw_import"]), in_package, True)
+    found = local.unionByName(cross).join(resolution_stems(files), ["repo_id", "stem"], "left")
+    dst = F.coalesce("target", F.when(F.col("is_cross_package"), F.col("stem")))
+    inside = found.select(
+        "repo_id", "src", dst.alias("dst"), F.lit(False).alias("is_external"), "is_cross_package", "raw_import", "import_no"
+    )
+    return external.unionByName(inside.filter("dst is not null"))
 
 
 def internal(edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import signals
+from factloom.functions.arrays import posexplode_once
 from factloom.functions.paths import basename
 from factloom.functions.regex import WS_CHARS, sql_literal, to_java
 
@@ -189,7 +190,7 @@ def dependencies(found: DataFrame) -> DataFrame:
     dep_pos, dep, dep_version, is_dev)."""
     rows = found.select(
         "repo_id", "file", "manifest_type", F.col("name").alias("manifest_name"),
-        F.col("version").alias("manifest_version"), F.posexplode("deps").alias("i", "d"),
+        F.col("version").alias("manifest_version"), posexplode_once("deps").alias("i", "d"),
     )
     return rows.select(
         "repo_id", "file", "manifest_type", "manifest_name", "manifest_version", (F.col("i") + 1).alias("dep_pos"), "d.*"

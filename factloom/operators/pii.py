@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import signals
+from factloom.functions.arrays import explode_once, posexplode_once
 from factloom.functions.numbers import sha256_hex
 from factloom.functions.paths import basename, extname
 from factloom.functions.regex import any_word, spans_sql, sql_literal, to_java, trim_ws
@@ -171,7 +172,7 @@ def payload_hash(scrubbed: Column, name: str = "text") -> Column:
 
 def detections(scrubbed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Kept detections of :func:`scrub`, one row each with their position in the text order."""
-    return scrubbed.select(*keys, F.posexplode("detections").alias("pos", "d")).select(
+    return scrubbed.select(*keys, posexplode_once("detections").alias("pos", "d")).select(
         *keys, (F.col("pos") + 1).alias("seq"), "d.*"
     )
 
@@ -189,7 +190,7 @@ def detection_counts(scrubbed: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def counts_by_type(scrubbed: DataFrame) -> DataFrame:
     """Corpus-wide counts by category and type, combined map-side."""
-    hits = scrubbed.select(F.explode("detections").alias("d"))
+    hits = scrubbed.select(explode_once("detections").alias("d"))
     return hits.groupBy(F.col("d.category").alias("category"), F.col("d.pii_type").alias("pii_type")).agg(
         F.count("*").alias("hits"), F.sum(F.length("d.matched")).alias("chars_replaced")
     )

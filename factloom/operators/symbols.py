@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import signals
+from factloom.functions.arrays import posexplode_once
 from factloom.functions.regex import WS_CHARS, sql_literal, to_java
 
 _R = signals.SYMBOL_REGEXES
@@ -107,5 +108,5 @@ def source_symbols(cat: DataFrame, caps: dict[str, int] = signals.SYMBOL_CAPS) -
 
 def raw_imports(symbols: DataFrame) -> DataFrame:
     """(repo_id, path, import_no, raw_import), distinct per file."""
-    out = symbols.select("repo_id", "path", F.posexplode("imports").alias("i", "raw_import"))
+    out = symbols.select("repo_id", "path", posexplode_once("imports").alias("i", "raw_import"))
     return out.select("repo_id", "path", (F.col("i") + 1).alias("import_no"), "raw_import")
