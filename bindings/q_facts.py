@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings import relations as rel
-from bindings.q_files import _repo_catalog, _repo_files
+from bindings.q_files import _repo_files
+from bindings.templates import SYMLINK_PATHS
 from factloom.functions import paths
-from factloom.functions.checkpoints import cut
+from factloom.functions.checkpoints import cut, stored
 from factloom.operators import files, graph, infra, inventory, manifests, patterns, pii, routes, slices, symbols
 
 
-def _found(spark, sf):
+def _files_table(spark, sf):
+    """The derived files as a stored table, for queries that scan them several times."""
+    return stored(_repo_files(spark, sf), "files")
+
+
+def _found(spark, sf, f=None):
     """Parsed manifests, written once: narrow facts that the inventories read several times."""
-    return cut(manifests.manifests(_repo_files(spark, sf)))
+    return cut(manifests.manifests(f if f is not None else _repo_files(spark, sf)))
 
 
-def _deps(spark, sf):
-    return manifests.dependencies(_found(spark, sf))
+def _deps(spark, sf, f=None):
+    return manifests.dependencies(_found(spark, sf, f))
 
 
 def _listed(df: DataFrame, *columns: str) -> DataFrame:
@@ -57,12 +63,13 @@ def connection_env_vars(spark, sf) -> DataFrame:
 
 
 def database_inventory(spark, sf) -> DataFrame:
-    out = inventory.database_inventory(_repo_files(spark, sf), _deps(spark, sf))
+    f = _files_table(spark, sf)
+    out = inventory.database_inventory(f, _deps(spark, sf, f))
     return _listed(out, "engines", "connection_env_vars")
 
 
 def phi_tables(spark, sf) -> DataFrame:
-    f = _repo_files(spark, sf)
+    f = _files_table(spark, sf)
     return inventory.phi_tables(f, pii.pii_candidates(f))
 
 
@@ -75,7 +82,9 @@ def auth_files(spark, sf) -> DataFrame:
 
 
 def auth_inventory(spark, sf) -> DataFrame:
-    return inventory.auth_inventory(_repo_files(spark, sf), _deps(spark, sf), _routes(spark, sf))
+    f = _files_table(spark, sf)
+    deps = _deps(spark, sf, f)
+    return inventory.auth_inventory(f, deps, _routes_of(f, deps))
 
 
 def dep_test_frameworks(spark, sf) -> DataFrame:
@@ -119,11 +128,14 @@ def ci_tools(spark, sf) -> DataFrame:
 # ---------------------------------------------------------------- routes
 
 
-def _routes(spark, sf):
-    f, deps = _repo_files(spark, sf), _deps(spark, sf)
+def _routes_of(f, deps):
     return cut(routes.union_routes(f, deps, inventory.dep_frameworks(deps)))
 
 
+def _routes(spark, sf):
+    return _routes_of(_repo_files(spark, sf), _deps(spark, sf))
+
+
 def _extractor(name: str):
     def query(spark, sf) -> DataFrame:
         return routes.extract_routes(_repo_files(spark, sf), (name,))
@@ -145,17 +157,18 @@ def health_check_present(spark, sf) -> DataFrame:
 
 
 def phi_adjacent_routes(spark, sf) -> DataFrame:
-    return routes.phi_adjacent_routes(_routes(spark, sf), pii.pii_candidates(_repo_files(spark, sf)))
+    f = _files_table(spark, sf)
+    return routes.phi_adjacent_routes(_routes_of(f, _deps(spark, sf, f)), pii.pii_candidates(f))
 
 
 # ---------------------------------------------------------------- graph
 
 
 def _graph(spark, sf):
-    cat = _repo_catalog(spark, sf)
+    f = _files_table(spark, sf)
+    cat = files.catalog(f.withColumn("is_symlink", F.col("path").isin(*SYMLINK_PATHS)))
     syms = cut(symbols.source_symbols(cat))
-    paths_only = files.drop_excluded_paths(rel.repo_files(spark, sf).select("repo_id", "path"))
-    edges = graph.resolve_imports(symbols.raw_imports(syms), paths_only, files.workspace_packages(_repo_files(spark, sf)))
+    edges = graph.resolve_imports(symbols.raw_imports(syms), f.select("repo_id", "path"), files.workspace_packages(f))
     return cat, syms, edges
 
 
@@ -261,11 +274,12 @@ def slice_cycles(spark, sf) -> DataFrame:
 
 
 def _stack(spark, sf):
-    f, found = _repo_files(spark, sf), _found(spark, sf)
+    f = _files_table(spark, sf)
+    found = _found(spark, sf, f)
     deps = manifests.dependencies(found)
     lang = files.primary_language(files.catalog(f, read=False))
     fw = inventory.framework_inventory(f, deps, found).select("repo_id", "primary_framework")
-    auth = inventory.first_auth_type(inventory.auth_inventory(f, deps, _routes(spark, sf)))
+    auth = inventory.first_auth_type(inventory.auth_inventory(f, deps, _routes_of(f, deps)))
     cicd = infra.cicd_inventory(f, infra.ci_workflows(f))
     return (
         lang.join(fw, "repo_id", "left").join(inventory.dep_orm(deps, f), "repo_id", "left")

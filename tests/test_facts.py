@@ -169,3 +169,18 @@ def test_slices(spark):
     assert slices.slice_rows(df, ["src/"]).count() == 1 and slices.slice_rows(df, []).count() == 2
     table = spark.createDataFrame([("r", "one", "src/"), ("r", "one", "src/a"), ("r", "two", "l")], "repo_id string, slice string, prefix string")
     assert {(r.path, r.slice) for r in slices.slice_by_prefix_table(df, table).collect()} == {("src/a", "one"), ("lib/b", "two")}
+
+
+def test_plans(spark):
+    from factloom.plans.facts import repository_facts, scrub_and_attest
+
+    rows = [("package.json", '{"dependencies":{"express":"1","jsonwebtoken":"1"}}'), ("src/a.ts", "import b from './b';\napp.get('/health', h)"), ("src/b.ts", "export const ssn = 1;")]
+    facts = repository_facts(corpus(spark, rows))
+    assert {name: df.count() for name, df in facts.items()} == {
+        "catalog": 3, "symbols": 2, "manifests": 1, "dependencies": 2, "languages": 1, "frameworks": 1, "routes": 1, "databases": 1, "env_vars": 0,
+        "auth": 1, "workflows": 0, "cicd": 1, "tests": 1, "pii_candidates": 1, "phi_zones": 1, "import_edges": 1, "hub_files": 0, "entry_points": 0, "leaf_files": 1,
+    }
+    texts = spark.createDataFrame([(1, "a@b.org and 90210"), (2, "none")], "id long, text string")
+    out = scrub_and_attest(texts, "id", "text", "me", F.lit("r"), F.lit("c"), F.lit("2024"))
+    assert out.payloads.count() == 2 and out.entries.count() == 2 and out.uncertain.count() == 1
+    assert out.counts.orderBy("id").first().phi_count == 2
