@@ -16,13 +16,14 @@ from factloom import signals
 from factloom.functions.paths import basename, dirname, extname, normalize_path, parts
 from factloom.functions.regex import to_java
 
-LIT_MAP_TYPE = "map<string,string>"
-
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:
-    """Value of a fixed dictionary, NULL when absent."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    """Value of a fixed dictionary, NULL when absent.  Compiled comparisons, grouped by value; a map literal would be
+    searched entry by entry."""
+    keys_of: dict[str, list[str]] = {}
+    for k, value in mapping.items():
+        keys_of.setdefault(value, []).append(k)
+    return F.coalesce(*[F.when(key.isin(*keys), F.lit(value)) for value, keys in keys_of.items()])
 
 
 def any_of(col: Column, fragments: Sequence[str], how: str = "contains") -> Column:
@@ -139,12 +140,9 @@ def first_lines(content: Column, n: int) -> Column:
     return F.substring_index(content, "\n", n)
 
 
-_MARKED = r"\A(?:[^\n]*\n){0,9}[^\n]*?(?:%s)" % "|".join(signals.GENERATED_MARKERS)
-
-
-def has_generated_marker(content: Column) -> Column:
-    """One of the first ten lines says that the file is generated."""
-    return content.rlike(_MARKED)
+def has_generated_marker(head: Column) -> Column:
+    """One of the first lines says that the file is generated."""
+    return any_of(head, signals.GENERATED_MARKERS)
 
 
 def generator_of(path: Column, head: Column) -> Column:
@@ -157,13 +155,13 @@ def generator_of(path: Column, head: Column) -> Column:
     )
 
 
-def extraction_type(path: Column, base: Column, size_bytes: Column, content: Column, is_symlink: Column) -> Column:
+def extraction_type(path: Column, base: Column, size_bytes: Column, content: Column, head: Column, is_symlink: Column) -> Column:
     """Class after reading: binary sniff, large files as data, generated files; symlinks are 'unknown'."""
     binary = is_binary_content(content)
     generated = (
         in_directory(path, signals.GENERATED_DIRS, or_name=True)
         | path.endswith(".d.ts")
-        | ((base == "source") & has_generated_marker(content))
+        | ((base == "source") & has_generated_marker(head))
     )
     return (
         F.when(is_symlink, F.lit("unknown"))
@@ -202,7 +200,8 @@ def catalog(files: DataFrame, read: bool = True) -> DataFrame:
     front = ["repo_id", "path", "name", "ext", "size_bytes", "language", "is_symlink"]
     if not read:
         return base.select(*front, "file_class")
-    kind = extraction_type(path, F.col("file_class"), F.col("size_bytes"), F.col("content"), F.col("is_symlink"))
+    base = base.withColumn("_head", first_lines(F.col("content"), 10))
+    kind = extraction_type(path, F.col("file_class"), F.col("size_bytes"), F.col("content"), F.col("_head"), F.col("is_symlink"))
     return _once(base, "extraction_type", kind).select(*front, "extraction_type", "content")
 
 

@@ -65,10 +65,7 @@ def severity_filter(findings: DataFrame, severity: str = "all") -> DataFrame:
 
 
 def letter_grade(score: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for grade, least in signals.GRADES:
-        out = out.when(score >= least, F.lit(grade))
-    return out.otherwise(F.lit("F"))
+    return F.coalesce(*[F.when(score >= least, F.lit(grade)) for grade, least in signals.GRADES], F.lit("F"))
 
 
 def dimension_score(findings: DataFrame, start: float = 100.0) -> DataFrame:
