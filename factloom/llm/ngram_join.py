@@ -6,8 +6,8 @@ are listed under their tokens.  Listed groups are filtered by size and by what c
 members, filtered by an exact bound from parity bitmaps, and verified on whole sets.
 
 Links are found in two steps, so that a large group of near copies does not become all its pairs.  First each node of a list is
-compared with the list's first and last node.  What links joins components; then all pairs of a list that are still in different
-components are compared.  Pairs inside one component need no comparison, so no component is missed.
+compared with two nodes of the list.  What links joins components, and this is done once more; then all pairs of a list that are
+still in different components are compared.  Pairs inside one component need no comparison, so no component is missed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.checkpoints import cut, discard, stored
@@ -165,16 +165,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(same, "a long, b long")
 
 
-def _lists(posts: DataFrame, nodes: DataFrame, component: DataFrame | None) -> DataFrame:
-    """Posting lists of nodes, with the component of each, restricted to lists that hold several components."""
-    members = nodes.select("gid", "node", "n")
-    if component is None:
-        members = members.withColumn("comp", F.col("node"))
-    else:
-        members = members.join(component, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    rows = posts.join(members, "gid")
-    spread = rows.groupBy("tok").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).where("lo.comp <> hi.comp")
-    return rows.join(spread, "tok")
+def _spread(rows: DataFrame) -> DataFrame:
+    """Posting lists that hold several components, with two comparison nodes for each: that with the largest share of tokens that
+    others have too (an original among its copies), and that with the smallest id."""
+    dealt = rows.repartition("tok")
+    seen = F.struct("node", "comp", "n", "place")
+    ends = dealt.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max_by(seen, F.struct("shared", "rep")).alias("hub"), F.min_by(seen, "rep").alias("lo")).where("c1 <> c2").drop("c1", "c2")
+    return dealt.join(ends, "tok")
+
+
+def _against(spread: DataFrame) -> DataFrame:
+    """Pairs of each node with its lists' comparison nodes, where size and place allow a link."""
+    out = None
+    for end in ("hub", "lo"):
+        fits = f"""comp <> {end}.comp and 4 * least(n, {end}.n) >= 3 * greatest(n, {end}.n)
+                   and 7 * least(n - place, {end}.n - {end}.place) >= 3 * (n + {end}.n)"""
+        pairs = spread.where(fits).select(F.least("node", f"{end}.node").alias("a"), F.greatest("node", f"{end}.node").alias("b"))
+        out = pairs if out is None else out.union(pairs)
+    return out.distinct()
+
+
+def _with_components(rows: DataFrame, component: DataFrame) -> DataFrame:
+    return rows.drop("comp").join(component.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -198,19 +210,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     posts = stored(all_posts.join(shared, "tok").groupBy("tok", "gid").agg(F.first("sp").alias("sp")), "posts")
     discard(wide)
 
-    rows = _lists(posts, nodes, None)
-    first = rows.where("node <> lo.node").select(F.col("node").alias("a"), F.col("lo.node").alias("b"))
-    last = rows.where("node <> hi.node").select(F.col("node").alias("a"), F.col("hi.node").alias("b"))
-    compared = first.union(last).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(_verified(cut(_within_bound(compared, nodes)), docs, nodes))
+    # of a run of tokens that two documents share in the same order, only the first needs to bring them together
+    of_group = Window.partitionBy("gid")
+    placed = posts.select("tok", "gid", (F.col("sp") % (1 << 31)).alias("place")).withColumns({"before": F.lag(F.struct("tok", "place")).over(of_group.orderBy("place")), "k": F.count("*").over(of_group)})
+    placed = placed.select("tok", "gid", "place", "k", F.when(F.col("before.place") == F.col("place") - 1, F.col("before.tok")).alias("before"))
+    members = nodes.select("gid", "node", "rep", "n")
+    rows = placed.join(members, "gid").select("tok", "node", "rep", "n", "place", "before", (F.col("k") / F.col("n")).alias("shared"), F.col("node").alias("comp"))
+    rows = stored(_spread(rows), "lists")
+    discard(posts)
+
+    compared = cut(_within_bound(_against(rows), nodes))
+    links = cut(_verified(compared, docs, nodes))
     component = cut(connected_components(links))
 
-    rows = stored(_lists(posts, nodes, component).select("tok", "comp", "node", "n", (F.col("sp") % (1 << 31)).alias("place")), "lists")
-    other = rows.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("comp", "node", "n", "place")))
+    rest_rows = stored(_spread(_with_components(rows.drop("hub", "lo"), component)), "lists")
+    discard(rows)
+    again = cut(_within_bound(_against(rest_rows), nodes).join(compared, ["a", "b"], "left_anti"))
+    if not again.isEmpty():
+        links = cut(links.union(_verified(again, docs, nodes)))
+        component = cut(connected_components(links))
+    rows = _with_components(rest_rows.drop("hub", "lo"), component)
+    rows = rows.select("tok", "comp", "node", "n", "place", "before").repartition("tok")
+    mixed = rows.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("tok")
+    rows = stored(rows.join(mixed, "tok"), "lists")
+    other = rows.select("tok", *(F.col(c).alias(f"{c}_b") for c in ("comp", "node", "n", "place", "before")))
     fits = """comp < comp_b and 4 * least(n, n_b) >= 3 * greatest(n, n_b)
-              and 7 * least(n - place, n_b - place_b) >= 3 * (n + n_b)"""
+              and 7 * least(n - place, n_b - place_b) >= 3 * (n + n_b) and (before is null or before_b is null or before <> before_b)"""
     rest = rows.join(other, "tok").where(fits).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-    rest = cut(_within_bound(rest, nodes))
+    rest = cut(_within_bound(rest.join(compared.union(again), ["a", "b"], "left_anti"), nodes))
     if not rest.isEmpty():
         links = links.union(_verified(rest, docs, nodes))
         component = cut(connected_components(links))
