@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 #: characters whose class, case and composition no Unicode version has changed
 _COMMON = r"\t\n\r\x20-\x7e¡«°»¿-įı-ſ–—‘’“”…€"
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 class Remembered(dict):
@@ -125,26 +125,27 @@ class PrefixCounts:
         self.common = regex.compile(f"[{_COMMON}]*+")
         self.odd_gap = regex.compile(r"\s\s")
         self.alone = Remembered(lambda t: [x.value for x in self.model.tokenize(t)] == [t])
-        self.together = Remembered(lambda pair: [x.value for x in self.model.tokenize(pair[0] + pair[1])] == list(pair), 100_000)
-        self.states = Remembered(self._state, 100_000)
-        self.words = Remembered(self._word, 80_000)
+        self.together = Remembered(lambda pair: [x.value for x in self.model.tokenize(pair[0] + pair[1])] == list(pair), 150_000)
+        self.states = Remembered(self._state)
+        self.words = Remembered(self._word, 150_000)
         self.first = Remembered(self._piece)
         self.spaced = Remembered(lambda piece: self._piece(" " + piece))
 
-    def _state(self, s: str) -> tuple[int, str]:
-        """(tokens, last token) of a beginning of a pre-token; beginnings are shared by many words."""
+    def _state(self, s: str) -> tuple[int, str, bytes]:
+        """(tokens, last token, tokens of each prefix) of a beginning of at most 40 bytes; many words share beginnings."""
         vocabulary = self.vocabulary
         n = len(s)
-        for size in range(min(n, self.longest), 0, -1):
+        shorter = self.states[s[:-1]][2] if n > 1 else b""
+        for size in range(n, 0, -1):
             token = s[n - size :]
             if token in vocabulary:
                 if size == n:
                     if self.alone[token]:
-                        return 1, token
+                        return 1, token, shorter + b"\x01"
                 else:
                     before = self.states[s[: n - size]]
                     if self.together[before[1], token]:
-                        return before[0] + 1, token
+                        return before[0] + 1, token, shorter + bytes((before[0] + 1,))
         raise ValueError(f"no token ends {s!r}")
 
     def _long_word(self, s: str) -> list[int]:
@@ -161,14 +162,13 @@ class PrefixCounts:
 
     def _word(self, word: str) -> list[int] | bytes:
         """Counts of the prefixes of one pre-token."""
-        raw, letters, states = word.encode(), self.letters, self.states
-        s = "".join([letters[b] for b in raw])
-        if len(s) > 40:
-            counts = self._long_word(s)
-        elif len(raw) == len(word):
-            return bytes([states[s[:k]][0] for k in range(1, len(s) + 1)])  # 40 tokens at most
-        else:
-            counts = [states[s[:k]][0] for k in range(1, len(s) + 1)]
+        if word.isascii() and len(word) <= 40 and word.isprintable():
+            return self.states[word.replace(" ", self.letters[32])][2]
+        raw = word.encode()
+        s = "".join([self.letters[b] for b in raw])
+        counts = self._long_word(s) if len(s) > 40 else self.states[s][2]
+        if len(raw) == len(word):
+            return counts
         ends, e = [], -1
         for c in word:
             e += len(c.encode())
