@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bindings import relations as rel
 from bindings.templates import SYMLINK_PATHS
+from factloom import signals
 from factloom.functions import paths
 from factloom.operators import env, files, infra, manifests, symbols
 
@@ -92,7 +93,7 @@ def characterize_data(spark, sf) -> DataFrame:
 
 def cap_content(spark, sf) -> DataFrame:
     docs = rel.table(spark, sf, "documents")
-    return docs.select("doc_id", F.length(files.cap_content(F.col("text"), 5000)).alias("kept_chars"), F.length(files.cap_content(F.col("text"))).alias("kept_default"))
+    return docs.select("doc_id", F.length(files.cap_content(F.col("text"), 5000)).alias("kept_chars"), F.length(files.cap_content(F.col("text"), signals.STORED_TEXT_LIMIT)).alias("kept_default"))
 
 
 def is_test_file(spark, sf) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session (a folder all executors share).  Only where neither it nor the context's
-    checkpoint folder is set, as in local tests, a temporary folder is named."""
+    """``spark.checkpoint.dir`` of the session (a folder all executors share).  Only a local session
+    without one, as in tests, gets a temporary folder; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not named and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = named or tempfile.mkdtemp(prefix="factloom-ckpt-")
         sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()

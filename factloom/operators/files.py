@@ -231,8 +231,9 @@ def characterize_data(ext: Column, content: Column) -> tuple[Column, Column]:
     return data_format(ext, head), sample
 
 
-def cap_content(content: Column, limit: int = signals.STORED_TEXT_LIMIT) -> Column:
-    return F.left(content, F.lit(limit))
+def cap_content(content: Column, limit: int | None = None) -> Column:
+    """The whole text, or its first ``limit`` characters for a caller who stores no more."""
+    return content if limit is None else F.left(content, F.lit(limit))
 
 
 def lockfile_summary(cat: DataFrame) -> DataFrame:
@@ -283,7 +284,7 @@ def workspace_packages(files: DataFrame) -> DataFrame:
     """Workspace members: manifests below the top directory, with the name that package.json states."""
     path = F.col("path")
     hits = drop_excluded_paths(files).filter(basename(path).isin(*signals.WORKSPACE_MANIFESTS) & path.contains("/"))
-    name = F.get_json_object(cap_content(F.col("content")), "$.name")
+    name = F.get_json_object(F.col("content"), "$.name")
     quoted = F.col("content").rlike(r'"name"\s*:\s*"')  # only a string is a name
     named = F.when((basename(path) == "package.json") & quoted & (name != ""), name)
     return hits.select("repo_id", dirname(path).alias("package_path"), path.alias("manifest_path"), named.alias("package_name"))

@@ -10,17 +10,15 @@ from pyspark.sql import DataFrame
 
 from factloom import signals
 
-MAX_DEPTH = 50
 
-
-def _leaves(payload: str, root: str, max_depth: int):
+def _leaves(payload: str, root: str, max_depth: int | None):
     try:
         stack = [(json.loads(payload), root, root, 0)]
     except (TypeError, ValueError):
         return
     while stack:
         node, field, where, depth = stack.pop()
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             continue
         if isinstance(node, str):
             yield where, field, node
@@ -30,7 +28,7 @@ def _leaves(payload: str, root: str, max_depth: int):
             stack += [(v, k, f"{where}.{k}", depth + 1) for k, v in node.items()][::-1]
 
 
-def walk_string_leaves(df: DataFrame, key: str, payload: str, root: str = "root", max_depth: int = MAX_DEPTH) -> DataFrame:
+def walk_string_leaves(df: DataFrame, key: str, payload: str, root: str = "root", max_depth: int | None = None) -> DataFrame:
     """(key, leaf_no, json_path, field, value, scrubbable) for every string below a JSON payload.
 
     Array items inherit the field name of their array.  Documents are independent; only the JSON walk of

@@ -40,7 +40,8 @@ def detect(text: str, patterns: Sequence[signals.PiiPattern] = signals.PII_PATTE
         spans = f"""transform({spans_sql(text, _java(p))}, s -> named_struct('start_pos', s.start_pos,
             'neg_pct', {-p.confidence_pct}, 'ord', {n}, 'end_pos', s.end_pos, 'matched', s.matched))"""
         if p.needs:
-            spans = f"CASE WHEN contains({text}, {sql_literal(p.needs)}) THEN {spans} ELSE cast(array() AS {_RAW}) END"
+            holder, part = (f"lower({text})", p.needs.lower()) if "i" in p.flags else (text, p.needs)
+            spans = f"CASE WHEN contains({holder}, {sql_literal(part)}) THEN {spans} ELSE cast(array() AS {_RAW}) END"
         return spans
 
     per_pattern = ", ".join(tagged(n, p) for n, p in enumerate(patterns, 1))
@@ -227,7 +228,7 @@ def purity_check(df: DataFrame, keys: Sequence[str], text: str, patterns=signals
     return found.select(
         *keys,
         _attr(strict, "description", F.col("_n")).alias("first_pattern"),
-        (F.instr("_text", F.col("_m")) - 1).alias("first_position"),
+        F.length(F.element_at(F.split("_text", regex, 2), 1)).alias("first_position"),
         F.concat(F.left("_m", F.lit(60)), F.when(F.length("_m") > 60, F.lit("…")).otherwise(F.lit(""))).alias(
             "first_value"
         ),

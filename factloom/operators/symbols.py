@@ -91,9 +91,9 @@ _DEFAULT = f"""CASE WHEN language IN ('TypeScript', 'JavaScript') THEN exists(_l
   ELSE false END"""
 
 
-def source_symbols(cat: DataFrame, caps: dict[str, int] = signals.SYMBOL_CAPS) -> DataFrame:
+def source_symbols(cat: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """(repo_id, path, language, exports, imports, functions, classes, decorators, has_default_export), lists
-    distinct in order of appearance and cut to the report's sizes (``caps``)."""
+    distinct in order of appearance; a report may cut them with ``caps`` (``signals.SYMBOL_CAPS``)."""
     src = cat.filter(F.col("extraction_type") == "source").select("repo_id", "path", "language", "content")
     raw = src.select(
         "repo_id", "path", "language", F.split("content", "\n", -1).alias("_raw"), F.lit(WS_CHARS).alias("_ws")
@@ -102,7 +102,8 @@ def source_symbols(cat: DataFrame, caps: dict[str, int] = signals.SYMBOL_CAPS) -
         "repo_id", "path", "language", "transform(_raw, l -> btrim(l, _ws)) AS _lines",
         f"CASE WHEN language = 'Go' THEN {_GO_FOLD} END AS _go",
     )
-    lists = [f"slice(array_distinct({sql}), 1, {caps[name]}) AS {name}" for name, sql in _LISTS.items()]
+    whole = {name: f"array_distinct({sql})" for name, sql in _LISTS.items()}
+    lists = [f"slice({sql}, 1, {caps[name]}) AS {name}" if caps else f"{sql} AS {name}" for name, sql in whole.items()]
     return lined.selectExpr("repo_id", "path", "language", *lists, f"{_DEFAULT} AS has_default_export")
 
 

@@ -141,5 +141,31 @@ def test_json_leaves(spark):
         deep = [deep]
     doc = {"a": ["u", {"path": "p"}], "n": 1, "deep": deep}
     df = spark.createDataFrame([(1, json.dumps(doc)), (2, "not json")], "id long, payload string")
-    got = [(r.json_path, r.field, r.value, r.scrubbable) for r in json_leaves.walk_string_leaves(df, "id", "payload").collect()]
+    got = [(r.json_path, r.field, r.value, r.scrubbable) for r in json_leaves.walk_string_leaves(df, "id", "payload", max_depth=50).collect()]
     assert got == [("root.a[0]", "a", "u", True), ("root.a[1].path", "path", "p", False)]
+    whole = json_leaves.walk_string_leaves(df, "id", "payload").collect()
+    assert [r.json_path for r in whole if r.value == "x"] == ["root.deep" + "[0]" * 60]  # no depth hides a string
+
+
+def test_every_secret_alternative_is_found(spark):
+    """Fixed forms of each alternative: no guard of a pattern may hide one."""
+    forms = {
+        "secret-gh-token": ["github_pat_" + "a" * 82, "ghp_" + "a" * 36, "ghs_" + "B" * 36],
+        "secret-connection-string": ["mysql://u:p@h/d", "mongodb+srv://u:p@h", "REDIS://u:p@h", "postgresql://u:p@h"],
+        "secret-high-entropy": ["pk-" + "x" * 24, "secret-" + "y" * 24],
+    }
+    rows = [(name, f"tok {form} x") for name, found in forms.items() for form in found]
+    df = spark.createDataFrame(rows, "name string, text string")
+    for r in df.select("name", "text", pii.detect("text").alias("d")).collect():
+        ids = {signals.PII_PATTERNS[x["ord"] - 1].pattern_id for x in r.d}
+        assert r.name in ids, r.text
+
+
+def test_guard_ignores_case_with_flag_i(spark):
+    own = signals.PiiPattern("own", r"token=\w+", "SECRET", "X", "HIGH", 99, None, None, "own", flags="i", needs="token=")
+    assert len(spark.createDataFrame([("TOKEN=abc",)], "text string").select(pii.detect("text", [own]).alias("d")).first().d) == 1
+
+
+def test_purity_reports_the_place_of_the_match(spark):
+    df = spark.createDataFrame([(1, "x9123-45-67891 and then 123-45-6789")], "k int, text string")
+    assert pii.purity_check(df, ["k"], "text").first().first_position == 24
