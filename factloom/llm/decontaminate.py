@@ -7,7 +7,6 @@ verified by the share of the item's question and of its answer (word trigrams) t
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -24,6 +23,9 @@ TERM_BYTES = LETTER_BYTES | byte_class(b"0123456789")
 #: text of test items that one index may hold; more items are asked in several passes
 INDEX_BYTES = 32 << 20
 BLOCK = 16
+#: bounds that are held at a time, and passages that are asked at a time
+BOUNDS = 1 << 20
+PASSAGES = 1024
 THRESHOLD = 0.6
 OVERLAP = 0.6
 K1, B = 1.2, 0.75
@@ -31,16 +33,31 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class Index:
+    """Postings of all terms one after another, in order of (term, item place).  A block holds the postings of one term for items of
+    ``BLOCK`` neighbouring places, so blocks of different terms line up."""
+
     terms: np.ndarray  # sorted hashes
-    postings: list[list[int]]  # per term: item places in order
-    impacts: list[list[float]]
-    block_tops: list[list[float]]  # per term: largest impact of each block of postings
+    lists: np.ndarray  # per term and one more: its first posting
+    places: np.ndarray  # per posting: item place
+    weights: np.ndarray  # per posting: impact
     tops: np.ndarray  # per term: largest impact
+    block_lists: np.ndarray  # per term and one more: its first block
+    blocks: np.ndarray  # per block: its number, place // BLOCK
+    block_tops: np.ndarray  # per block: largest impact
+    block_cuts: np.ndarray  # per block and one more: its first posting
     items: list[int]
-    questions: list[np.ndarray]  # per item: hashes of its word trigrams
+    questions: list[np.ndarray]  # per item: hashes of its word trigrams, or of all its words if there are fewer
     answers: list[np.ndarray]
     window: int  # words of a passage; passages start at every half of it, so each item lies whole in one
 
+    @property
+    def postings(self) -> list[np.ndarray]:
+        return np.split(self.places, self.lists[1:-1])
+
+    @property
+    def impacts(self) -> list[np.ndarray]:
+        return np.split(self.weights, self.lists[1:-1])
+
 
 def _words(text: str) -> np.ndarray:
     data = LOWER[np.frombuffer(text.encode(), np.uint8)]
@@ -81,83 +98,95 @@ def build_index(items: Sequence[tuple[int, str]]) -> Index:
         weights.append({p: idf * n * (K1 + 1) / (n + K1 * (1 - B + B * length[p] / mean)) for p, n in sorted(found.items())})
         for p, w in weights[-1].items():
             own[p] += w
-    postings = [list(w) for w in weights]
-    impacts = [[float(w / own[p]) for p, w in x.items()] for x in weights]
-    block_tops = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in impacts]
+    lists = np.concatenate(([0], np.cumsum([len(w) for w in weights], dtype=np.int64)))
+    places = np.array([p for w in weights for p in w], np.int64)
+    impacts = np.array([x for w in weights for x in w.values()]) / own[places]
+    term_of = np.repeat(np.arange(len(terms)), np.diff(lists))
+    first = np.ones(len(places), bool)
+    first[1:] = (np.diff(term_of) != 0) | (np.diff(places // BLOCK) != 0)
+    cuts = np.flatnonzero(first)
     halves = [split_item(t) for _, _, t in worded]
-    return Index(np.array(terms, np.uint64), postings, impacts, block_tops, np.array([max(x) for x in impacts]), [i for i, _, _ in worded],
-                 [_grams(_words(q)) for q, _ in halves], [_grams(_words(a)) for _, a in halves], max(64, 2 * int(length.max(initial=1))))
+    return Index(
+        terms=np.array(terms, np.uint64), lists=lists, places=places, weights=impacts, tops=np.maximum.reduceat(impacts, lists[:-1]) if terms else np.zeros(0),
+        block_lists=np.searchsorted(cuts, lists), blocks=places[cuts] // BLOCK, block_tops=np.maximum.reduceat(impacts, cuts) if terms else np.zeros(0),
+        block_cuts=np.append(cuts, len(places)), items=[i for i, _, _ in worded],
+        questions=[_grams(_words(q)) for q, _ in halves], answers=[_grams(_words(a)) for _, a in halves], window=max(64, 2 * int(length.max(initial=1))))
+
+
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, member) for each member of the ranges start..stop-1."""
+    sizes = np.maximum(stops - starts, 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner] + starts[owner]
+
+
+def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, item place, score) of every score of ``threshold`` or more, by passage and place, for distinct (passage, term) in
+    order of the passage.
+
+    Block-max WAND over many passages at once: a passage is left when the tops of its lists stay below the threshold, a block of items
+    when the tops of its blocks do; postings are read in the other blocks only.
+    """
+    low = threshold - 1e-9
+    n_blocks = -(-len(index.items) // BLOCK)
+    number = np.unique(passage, return_inverse=True)[1] if len(passage) else passage
+    promising = np.bincount(number, index.tops[term])[number] >= low if len(passage) else np.zeros(0, bool)
+    passage, term = passage[promising], term[promising]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    begins = np.flatnonzero(np.diff(passage, prepend=-1))
+    step = max(1, BOUNDS // max(n_blocks, 1))
+    for k in range(0, len(begins), step):
+        part = slice(begins[k], begins[k + step] if k + step < len(begins) else len(passage))
+        names, local = np.unique(passage[part], return_inverse=True)
+        owner, block = _ranges(index.block_lists[term[part]], index.block_lists[term[part] + 1])
+        cell = local[owner] * n_blocks + index.blocks[block]
+        live = (np.bincount(cell, index.block_tops[block]) >= low)[cell]
+        owner, block = owner[live], block[live]
+        entry, posting = _ranges(index.block_cuts[block], index.block_cuts[block + 1])
+        cells, place_of = np.unique(cell[live], return_inverse=True)
+        scores = np.bincount(place_of[entry] * BLOCK + index.places[posting] % BLOCK, index.weights[posting], len(cells) * BLOCK)
+        best = np.flatnonzero(scores >= low)
+        hit = cells[best // BLOCK]
+        found.append((names[hit // n_blocks], hit % n_blocks * BLOCK + best % BLOCK, scores[best]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def block_max_wand(index: Index, terms: Sequence[int], threshold: float) -> list[tuple[int, float]]:
-    """All (item place, score) with a score of ``threshold`` or more for the distinct ``terms``."""
-    at = {t: 0 for t in terms}
-    found = []
-    while at:
-        order = sorted(at, key=lambda t: index.postings[t][at[t]])
-        bound, pivot = 0.0, None
-        for k, t in enumerate(order):
-            bound += index.tops[t]
-            if bound >= threshold - 1e-9:
-                pivot = k
-                break
-        if pivot is None:
-            return found
-        item = index.postings[order[pivot]][at[order[pivot]]]
-        ahead = [t for t in order if index.postings[t][at[t]] <= item]
-        block_bound, skip_to = 0.0, None
-        for t in ahead:
-            k = bisect_left(index.postings[t], item, at[t])
-            if k < len(index.postings[t]):
-                block_bound += index.block_tops[t][k // BLOCK]
-                last = index.postings[t][min((k // BLOCK + 1) * BLOCK, len(index.postings[t])) - 1]
-                skip_to = last + 1 if skip_to is None else min(skip_to, last + 1)
-        if block_bound >= threshold - 1e-9:
-            score = 0.0
-            for t in ahead:
-                k = bisect_left(index.postings[t], item, at[t])
-                if k < len(index.postings[t]) and index.postings[t][k] == item:
-                    score += index.impacts[t][k]
-            if score >= threshold - 1e-9:
-                found.append((item, score))
-            target = item + 1
-        else:  # no item up to the end of the nearest block can reach it, unless a further term joins
-            others = [index.postings[t][at[t]] for t in order if t not in set(ahead)]
-            target = max(item + 1, min([skip_to or item + 1, *others]))
-        for t in ahead:
-            k = bisect_left(index.postings[t], target, at[t])
-            if k < len(index.postings[t]):
-                at[t] = k
-            else:
-                del at[t]
-    return found
-
-
-def _leaks(index: Index, hashes: np.ndarray, threshold: float, overlap: float) -> list[dict]:
-    """Verified items of one document, by its words' hashes: the best passage of each."""
-    n, half = len(hashes), index.window // 2
+    """All (item place, score) with a score of ``threshold`` or more for the distinct ``terms`` of one passage."""
+    term = np.array(terms, np.int64)
+    _, places, scores = retrieve(index, np.zeros(len(term), np.int64), term, threshold)
+    return list(zip(places.tolist(), scores.tolist()))
+
+
+def _leaks(index: Index, hashes: np.ndarray, counts: np.ndarray, threshold: float, overlap: float) -> list[list[dict]]:
+    """Verified items of each document, by its words' hashes: the best passage of each."""
+    half, cut = index.window // 2, np.concatenate(([0], np.cumsum(counts)))
     place = np.searchsorted(index.terms, hashes)
     place[place == len(index.terms)] = 0
     known = index.terms[place] == hashes
     bound = np.concatenate(([0.0], np.cumsum(np.where(known, index.tops[place], 0.0))))
-    starts = np.arange(0, max(n - half, 1), half)
-    stops = np.minimum(starts + index.window, n)
-    best: dict[int, dict] = {}
-    for a, b in zip(starts.tolist(), stops.tolist()):
-        if bound[b] - bound[a] < threshold - 1e-9:
-            continue
-        terms = np.unique(place[a:b][known[a:b]])
-        if index.tops[terms].sum() < threshold - 1e-9:
-            continue
-        grams = None
-        for item, score in block_max_wand(index, terms.tolist(), threshold):
-            if grams is None:
-                grams = [np.unique(windows(hashes[a:b], np.array([b - a]), k)[0]) for k in (1, 2, 3)]
-            asked = [x if not len(x) else np.isin(x, grams[2]) for x in (index.questions[item], index.answers[item])]
-            shares = [float(x.mean()) if len(x) else 1.0 for x in asked]
-            if min(shares) >= overlap and score > best.get(item, {"score": -1})["score"]:
-                best[item] = {"item_id": index.items[item], "score": score, "question_overlap": shares[0], "answer_overlap": shares[1], "word_start": a}
-    return [best[k] for k in sorted(best)]
+    doc, starts = _ranges(np.zeros(len(counts), np.int64), np.where(counts > 0, np.maximum(-(-(counts - half) // half), 1), 0))
+    starts = cut[doc] + starts * half
+    stops = np.minimum(starts + index.window, cut[doc + 1])
+    asked = np.flatnonzero(bound[stops] - bound[starts] >= threshold - 1e-6)
+    best: list[dict[int, dict]] = [{} for _ in counts]
+    for k in range(0, len(asked), PASSAGES):
+        some = asked[k : k + PASSAGES]
+        passage, word = _ranges(starts[some], stops[some])
+        passage, word = passage[known[word]], word[known[word]]
+        pairs = np.unique(passage * len(index.terms) + place[word])
+        grams: dict[int, np.ndarray] = {}  # of the passage at hand
+        for p, item, score in zip(*(x.tolist() for x in retrieve(index, pairs // len(index.terms), pairs % len(index.terms), threshold))):
+            d, a, b = int(doc[some[p]]), starts[some[p]], stops[some[p]]
+            if score <= best[d].get(item, {"score": -1})["score"]:
+                continue
+            if p not in grams:
+                grams = {p: np.concatenate([windows(hashes[a:b], np.array([b - a]), n)[0] for n in (1, 2, 3)])}
+            held = [x if not len(x) else np.isin(x, grams[p]) for x in (index.questions[item], index.answers[item])]
+            shares = [float(x.mean()) if len(x) else 1.0 for x in held]
+            if min(shares) >= overlap:
+                best[d][item] = {"item_id": index.items[item], "score": score, "question_overlap": shares[0], "answer_overlap": shares[1], "word_start": int(a - cut[d])}
+    return [[x[k] for k in sorted(x)] for x in best]
 
 
 LEAK = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,word_start:int>>"
@@ -175,8 +204,7 @@ def with_leaks(df: DataFrame, index: Index, text: str = "text", threshold: float
             folded = LOWER[data]
             mask, starts, ends, counts = spans(folded, offsets, TERM_BYTES)
             [hashes] = span_hashes(folded, mask, starts, ends)
-            cut = np.concatenate(([0], np.cumsum(counts)))
-            found = [_leaks(index, hashes[a:b], threshold, overlap) if b > a and len(index.terms) else [] for a, b in zip(cut[:-1], cut[1:])]
+            found = _leaks(index, hashes, counts, threshold, overlap) if len(index.terms) else [[] for _ in counts]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("word_start", pa.int32())]))
             return [pa.array(found, kind)]
 
