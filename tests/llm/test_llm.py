@@ -247,11 +247,16 @@ def test_line_dedup(spark, docs, none):
 
 
 def test_simhash_is_the_majority_of_word_hashes(spark):
-    table = spark.createDataFrame([(1, LINE)], "doc_id long, text string")
-    got = line_dedup.signed_lines(table).first().simhash
-    hashes = [r.x % 2**64 for r in spark.createDataFrame([(w,) for w in LINE.split()], "w string").select(F.xxhash64("w").alias("x")).collect()]
-    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    assert got % 2**64 == want
+    several = " ".join(f"w{k}" for k in range(200))
+    lines = [LINE, "same " * 300, several, several + " w7" * 130, "odd even " * 20_000 + "odd"]
+    signed = line_dedup.signed_lines(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.simhash % 2**64) for r in signed.collect()}
+    vocabulary = sorted({w for t in lines for w in t.split()})
+    hashes = {r.w: r.x % 2**64 for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("x")).collect()}
+    for i, t in enumerate(lines):
+        counts = Counter(t.split())
+        n = sum(counts.values())
+        assert got[i] == (n, sum(1 << b for b in range(64) if 2 * sum(k for w, k in counts.items() if hashes[w] >> b & 1) > n))
 
 
 def test_block_max_wand_equals_full_scoring():
