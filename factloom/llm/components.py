@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.checkpoints import cut
+from factloom.functions.checkpoints import discard, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -27,10 +27,11 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     an error is raised if ``rounds`` do not suffice.
     """
     pairs = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = cut(pairs)
+    pairs = stored(pairs, "links")
     state = None
     for _ in range(rounds):
-        pairs = cut(_small_star(_large_star(pairs).distinct()).distinct())
+        before, pairs = pairs, stored(_small_star(_large_star(pairs).distinct()).distinct(), "links")
+        discard(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())

@@ -249,7 +249,9 @@ def test_line_dedup(spark, docs, none):
 def test_simhash_is_the_majority_of_word_hashes(spark):
     several = " ".join(f"w{k}" for k in range(200))
     lines = [LINE, "same " * 300, several, several + " w7" * 130, "odd even " * 20_000 + "odd"]
-    signed = line_dedup.signed_lines(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string"))
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    signed = line_dedup.signed_groups(line_dedup.hashed_lines(table.union(table)))
+    assert {r.k for r in signed.collect()} == {2}
     got = {r.doc_id: (r.n_words, r.simhash % 2**64) for r in signed.collect()}
     vocabulary = sorted({w for t in lines for w in t.split()})
     hashes = {r.w: r.x % 2**64 for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("x")).collect()}
