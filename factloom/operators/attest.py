@@ -7,6 +7,8 @@ predecessor with an equi-join on (chain, sequence number), which spreads evenly
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,15 +88,18 @@ def attestation_chain(
     )
 
 
-def verify_chain(entries: DataFrame) -> DataFrame:
+def verify_chain(entries: DataFrame, by: Sequence[str] = ("chain_id",)) -> DataFrame:
     """Per chain: number of entries, whether it holds, and the first error in sequence order.
 
+    ``by`` names the columns that tell chains apart: ("chain_id", "batch") for what ``streaming.jobs.attest_batch`` writes,
+    where a payload that arrives in two batches has a chain in each.
+
     An entry is wrong when its number is repeated or has no direct predecessor, when ``prev_hash`` is not the hash of the
     predecessor, or when ``this_hash`` does not cover its members.
     """
     members = {name: F.col(name) for _, name, _ in ENTRY_FIELDS}
     checked = entries.select(
-        "chain_id", "chain_seq", "prev_hash",
+        *by, "chain_seq", "prev_hash",
         (F.col("this_hash") == sha256_hex(_json(members))).alias("hash_ok"),
         sha256_hex(_json(members, F.col("this_hash"))).alias("full_hash"),
     )
@@ -108,9 +113,9 @@ def verify_chain(entries: DataFrame) -> DataFrame:
         ),
     )
     linked = (
-        checked.select("chain_id", F.explode(roles).alias("r"))
-        .select("chain_id", "r.*")
-        .groupBy("chain_id", "chain_seq")
+        checked.select(*by, F.explode(roles).alias("r"))
+        .select(*by, "r.*")
+        .groupBy(*by, "chain_seq")
         .agg(
             F.min("prev_hash").alias("prev_hash"), F.min("hash_ok").alias("hash_ok"),
             F.sum("copies").alias("copies"), F.min("expected").alias("expected"),
@@ -125,11 +130,11 @@ def verify_chain(entries: DataFrame) -> DataFrame:
         .when(~F.col("hash_ok"), F.concat(label, F.lit("thisHash tampered")))
     )
     return (
-        linked.select("chain_id", "chain_seq", "copies", error.alias("error"))
-        .groupBy("chain_id")
+        linked.select(*by, "chain_seq", "copies", error.alias("error"))
+        .groupBy(*by)
         .agg(
             F.sum("copies").alias("entries"),
             F.expr("min_by(error, chain_seq) filter (where error is not null)").alias("first_error"),
         )
-        .select("chain_id", "entries", F.col("first_error").isNull().alias("valid"), "first_error")
+        .select(*by, "entries", F.col("first_error").isNull().alias("valid"), "first_error")
     )

@@ -51,7 +51,8 @@ def stream_fitness(uses: DataFrame, delay: str = "1 day") -> DataFrame:
 def attest_batch(path: str, chain: str, analyst_id: str, repo: str, commit: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: scrub the batch and write the chains of its payloads.
 
-    A chain belongs to one payload and is complete in its batch.  Every batch overwrites its own folder, so a batch that is
+    A chain belongs to one payload of one batch and is complete there: verify with
+    ``attest.verify_chain(entries, ("chain_id", "batch"))``.  Every batch overwrites its own folder, so a batch that is
     repeated after a failure leaves one copy.
     """
 

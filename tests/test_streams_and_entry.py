@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from bindings import q_io
 from factloom.functions.checkpoints import scratch
-from factloom.operators import patterns
+from factloom.operators import attest, patterns
 from factloom.sources import files as file_source
 from factloom.streaming import jobs
 
@@ -72,3 +72,16 @@ def test_query_against_oracle(spark, sf, name):
 def test_pattern_store_newest_wins(spark, sf):
     rows = q_io.read_pattern_store(spark, sf)
     assert rows.count() == rows.select("fingerprint").distinct().count() > 0
+
+
+def test_a_payload_in_two_batches_has_a_valid_chain_in_each(spark):
+    out = scratch(spark, "chains")
+    write = jobs.attest_batch(out, "id", "me", "r", "c")
+    batch = spark.createDataFrame([(1, "ssn 123-45-6789 and 987-65-4321, mail a.b@example.com")], "id long, text string")
+    write(batch, 0)
+    write(batch, 1)
+    write(batch, 1)  # repeated after a failure
+    entries = spark.read.parquet(out)
+    got = attest.verify_chain(entries, ("chain_id", "batch")).collect()
+    assert {(r.chain_id, r.batch, r.valid) for r in got} == {(1, 0, True), (1, 1, True)}
+    assert len({r.entries for r in got}) == 1
