@@ -246,6 +246,49 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(docs).count() == docs.count()
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_lines_are_found_at_the_production_values(spark):
+    draw = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    vocabulary = ["".join(draw.choice(letters, draw.integers(2, 9))) for _ in range(2000)]
+    pairs = []
+    for words in (5, 7, 9, 12, 16, 20, 30, 39):
+        for k in range(30):
+            line = " ".join(draw.choice(vocabulary, words))
+            other = list(line)
+            for at in draw.choice([i for i, c in enumerate(line) if c != " "], 1 + k % 2, replace=False):
+                other[at] = "é"
+            other = "".join(other)
+            if 1 - edits(line, other) / max(len(line), len(other)) >= line_dedup.SIMILARITY:
+                pairs.append((words, line, other))
+    table = spark.createDataFrame([(2 * i + j, p[1 + j]) for i, p in enumerate(pairs) for j in range(2)], "doc_id long, text string")
+    removed = {r.doc_id for r in line_dedup.dedup_lines(table).where("n_removed > 0").collect()}
+    assert removed <= {2 * i + 1 for i in range(len(pairs))}
+    for low, high in ((5, 9), (10, 19), (20, 39)):
+        near = [2 * i + 1 in removed for i, p in enumerate(pairs) if low <= p[0] <= high]
+        assert len(near) >= 50 and np.mean(near) >= 0.9
+
+
+def test_links_of_real_lines_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("length(text) < 4000")
+    hashed = line_dedup.hashed_lines(docs)
+    lines = hashed.select("line").distinct()
+    most = f"cast(floor((1 - {line_dedup.SIMILARITY}) * greatest(length(a.line), length(b.line))) as int)"
+    pairs = lines.alias("a").join(lines.alias("b"), F.expr(f"a.line < b.line and abs(length(a.line) - length(b.line)) <= {most}"))
+    near = pairs.where(f"levenshtein(a.line, b.line, {most}) >= 0").select("a.line", F.col("b.line").alias("other")).collect()
+    keep = {r.line: tuple(r.keep) for r in hashed.join(line_dedup.line_classes(docs, hashed), ["h1", "h2"]).select("line", "keep").distinct().collect()}
+    found = sum(keep.get(r.line, 1) == keep.get(r.other, 2) for r in near)
+    assert near and found >= 0.9 * len(near)
+
+
 def test_simhash_is_the_majority_of_distinct_word_hashes(spark):
     several = " ".join(f"w{k}" for k in range(200))
     lines = [LINE, "same " * 300, several, several + " w7" * 130, " ".join(f"v{k}" for k in range(40_000))]
