@@ -42,7 +42,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

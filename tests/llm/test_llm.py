@@ -246,6 +246,19 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(docs).count() == docs.count()
 
 
+def test_no_copy_is_left_as_a_fragment_of_short_lines(spark):
+    import corpus_pipeline
+
+    chinese = "我们今天在北京的大学里学习新的语言和历史"
+    rows = [(1, f"Haanth.\n{LINE}\nMenu\n  two  words "), (2, f"Haanth.\n{LINE}\nMenu\n  two  words "), (3, f"MENU\n\n{LINE.replace('lazy', 'lazi')}\nhaanth.")]
+    rows += [(4, chinese), (5, chinese.replace("今", "明")), (6, "tab\tbetween\tall\tthe\twords\there"), (7, "tab\tbetween\tall\tthe\twords\thers"), (8, "one two three fous"), (9, "one two three four")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, table, "").collect()}
+    assert kept == {i: t for i, t in rows if i in (1, 4, 6, 8, 9)}
+    stay = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(table).collect()}
+    assert stay[2] == 1
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
