@@ -302,6 +302,13 @@ def test_links_of_real_lines_equal_brute_force(spark, sf):
     assert near and found >= 0.9 * len(near)
 
 
+def test_lines_of_edit_similarity_above_four_fifths_are_linked(spark):
+    other = LINE.replace("quick", "xxxxx").replace("jumps", "yyyyy")
+    assert 0.8 <= 1 - edits(LINE, other) / len(LINE) < 0.9
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame([(1, LINE), (2, other)], "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 1}
+
+
 def test_simhash_is_the_majority_of_distinct_word_hashes(spark):
     several = " ".join(f"w{k}" for k in range(200))
     lines = [LINE, "same " * 300, several, several + " w7" * 130, " ".join(f"v{k}" for k in range(40_000))]
