@@ -69,11 +69,11 @@ def directory_listing(spark, sf) -> DataFrame:
 
 def classify_file(spark, sf) -> DataFrame:
     f = _files(spark, sf)
-    return f.select("repo_id", "path", files.classify(F.col("path"), F.col("size_bytes")).alias("file_class"))
+    return f.select("repo_id", "path", files.classify(F.col("path"), F.col("size_bytes"), signals.DATA_SIZE_LIMIT).alias("file_class"))
 
 
 def refine_extraction_type(spark, sf) -> DataFrame:
-    cat = _catalog(spark, sf)
+    cat = files.catalog(_files(spark, sf), data_size_limit=signals.DATA_SIZE_LIMIT)
     head = files.first_lines(F.col("content"), 10)
     gen = F.when(F.col("extraction_type") == "generated", files.generator_of(F.col("path"), head))
     return cat.select("repo_id", "path", "extraction_type", gen.alias("generator"))

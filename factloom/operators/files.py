@@ -90,19 +90,20 @@ def migration_hits(path: Column) -> Column:
     return F.when(fits, hits).otherwise(F.lit(0))
 
 
-def classify(path: Column, size_bytes: Column) -> Column:
+def classify(path: Column, size_bytes: Column, data_size_limit: int | None = None) -> Column:
     """File class from path and size."""
     name = basename(path)
-    return _class_of(path, name, F.lower(extname(name)), language_of(path), size_bytes)
+    return _class_of(path, name, F.lower(extname(name)), language_of(path), size_bytes, data_size_limit)
 
 
-def _class_of(path: Column, name: Column, ext: Column, language: Column, size_bytes: Column) -> Column:
-    """The order of the rules matters."""
+def _class_of(path: Column, name: Column, ext: Column, language: Column, size_bytes: Column, data_size_limit: int | None = None) -> Column:
+    """The order of the rules matters.  Only with ``data_size_limit`` a larger file of no known kind is data."""
     schema = (
         ext.isin(*signals.SCHEMA_EXTENSIONS)
         | name.rlike(r"(?i)^(?:schema|models|types)\.")
         | in_directory(path, signals.SCHEMA_DIRS, or_name=True)
     )
+    large = F.lit(False) if data_size_limit is None else size_bytes > data_size_limit
     return (
         F.when(name.isin(*signals.LOCKFILE_FORMATS), F.lit("lockfile"))
         .when(name.rlike(r"^\.env(?:\.|\z)"), F.lit("env"))
@@ -116,7 +117,7 @@ def _class_of(path: Column, name: Column, ext: Column, language: Column, size_by
             F.lit("source"),
         )
         .when(ext.isin(*signals.CONFIG_EXTENSIONS), F.lit("config"))
-        .when(size_bytes > signals.DATA_SIZE_LIMIT, F.lit("data"))
+        .when(large, F.lit("data"))
         .otherwise(F.lit("source"))
     )
 
@@ -155,20 +156,25 @@ def generator_of(path: Column, head: Column) -> Column:
     )
 
 
-def extraction_type(path: Column, base: Column, size_bytes: Column, content: Column, head: Column, is_symlink: Column) -> Column:
-    """Class after reading: binary sniff, large files as data, generated files; symlinks are 'unknown'."""
+def extraction_type(path: Column, base: Column, size_bytes: Column, content: Column, head: Column, is_symlink: Column,
+                    data_size_limit: int | None = None) -> Column:
+    """Class after reading: binary sniff, files above ``data_size_limit`` (none by default) as data, generated files; symlinks are
+    'unknown'."""
     binary = is_binary_content(content)
     generated = (
         in_directory(path, signals.GENERATED_DIRS, or_name=True)
         | path.endswith(".d.ts")
         | ((base == "source") & has_generated_marker(head))
     )
+    data = base == "data"
+    if data_size_limit is not None:
+        data = data | (size_bytes > data_size_limit)
     return (
         F.when(is_symlink, F.lit("unknown"))
         .when(base == "binary", base)
         .when(base.isin("lockfile", "env"), F.when(binary, F.lit("error")).otherwise(base))
         .when(binary, F.lit("binary"))
-        .when((base == "data") | (size_bytes > signals.DATA_SIZE_LIMIT), F.lit("data"))
+        .when(data, F.lit("data"))
         .when(generated, F.lit("generated"))
         .otherwise(base)
     )
@@ -180,7 +186,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def catalog(files: DataFrame, read: bool = True) -> DataFrame:
+def catalog(files: DataFrame, read: bool = True, data_size_limit: int | None = None) -> DataFrame:
     """The file catalog: excluded paths dropped, name, extension, language, size and class added.
 
     With ``read`` the extraction type (which looks into ``content``) replaces the class by path and ``content`` is kept;
@@ -196,12 +202,12 @@ def catalog(files: DataFrame, read: bool = True) -> DataFrame:
         "repo_id", "path", basename(path).alias("name"), "size_bytes", "is_symlink", *(["content"] if read else [])
     ).withColumn("ext", F.lower(extname(F.col("name"))))
     lang = named.withColumn("language", F.when(~F.col("is_symlink"), lookup(signals.LANGUAGE_OF_EXTENSION, F.col("ext"))))
-    base = _once(lang, "file_class", _class_of(path, F.col("name"), F.col("ext"), F.col("language"), F.col("size_bytes")))
+    base = _once(lang, "file_class", _class_of(path, F.col("name"), F.col("ext"), F.col("language"), F.col("size_bytes"), data_size_limit))
     front = ["repo_id", "path", "name", "ext", "size_bytes", "language", "is_symlink"]
     if not read:
         return base.select(*front, "file_class")
     base = base.withColumn("_head", first_lines(F.col("content"), 10))
-    kind = extraction_type(path, F.col("file_class"), F.col("size_bytes"), F.col("content"), F.col("_head"), F.col("is_symlink"))
+    kind = extraction_type(path, F.col("file_class"), F.col("size_bytes"), F.col("content"), F.col("_head"), F.col("is_symlink"), data_size_limit)
     return _once(base, "extraction_type", kind).select(*front, "extraction_type", "content")
 
 

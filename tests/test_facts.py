@@ -22,6 +22,14 @@ def test_paths(spark):
     assert df.filter(paths.resolve_relative(F.col("f"), F.col("r")) != F.col("want")).count() == 0
 
 
+def test_a_large_source_file_stays_source_unless_a_limit_is_given(spark):
+    table = corpus(spark, [("a.ts", "export function f() {}\n" + "// x\n" * 250_000), ("LICENSE", "y" * 1_100_000)])
+    of = lambda df, c: {r.path: r[c] for r in df.collect()}
+    assert of(files.catalog(table), "extraction_type") == of(files.catalog(table, read=False), "file_class") == {"a.ts": "source", "LICENSE": "source"}
+    assert {r.path: list(r.functions) for r in symbols.source_symbols(files.catalog(table)).collect()}["a.ts"] == ["f"]
+    assert of(files.catalog(table, data_size_limit=1_000_000), "extraction_type") == {"a.ts": "data", "LICENSE": "data"}
+
+
 def test_catalog_rules(spark):
     rows = {
         "node_modules/x.js": None, ".git/config": None, ".github/workflows/a.yml": "config", ".env": "env", "yarn.lock": "lockfile", "x.lock": "binary",
