@@ -1,4 +1,4 @@
-"""The ten operators over the shared tables, with production parameters, and the SQL that checks them where SQL can."""
+"""The operators over the shared tables, with production parameters, and the SQL that checks them where SQL can."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, langid, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from factloom.llm import decontaminate, divergence, langid, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from factloom.llm.sampling import fold
 
 
@@ -65,10 +65,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"quality_score": "score", "quality_predicted": "predicted"})
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_packing, op3_toxicity, op4_quality_rules, op5_sharding, op6_line_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_decontamination, op10_quality_classifier)}
+    op1_language_id, op2_packing, op3_toxicity, op4_quality_rules, op5_sharding, op6_line_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_decontamination, op10_quality_classifier,
+    op11_source_divergence)}
 
-#: all pairs that share a shingle, then labels spread along links: for small tables, which is where the check runs
+#: op8: all pairs that share a shingle, then labels spread along links; op11: every term for every pair of sources.  For small
+#: tables, which is where the check runs
 ORACLES = {
     "op8_ngram_jaccard_join": r"""
 WITH RECURSIVE words AS (
@@ -82,4 +88,20 @@ links AS (SELECT p.a, p.b FROM pairs p JOIN sizes x ON x.doc_id = p.a JOIN sizes
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM words UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
 classes AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM classes LEFT JOIN sizes USING (doc_id)""",
+    "op11_source_divergence": r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+found AS (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n, count(*) OVER (PARTITION BY lang) AS v FROM found GROUP BY 1, 2 HAVING count(DISTINCT d) >= 10),
+lang_p AS (SELECT lang, term, n, v, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM kept),
+uses AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (SELECT lang, source, term, coalesce(u.n, 0) AS n, q, v FROM groups JOIN lang_p USING (lang) LEFT JOIN uses u USING (lang, source, term)),
+shares AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM dense),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.f, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s1, y.source AS s2, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS f FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) f
+  ON f.lang = a.lang AND f.s1 = a.source AND f.s2 = b.source),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts) WHERE part = 'pair' OR rank <= 10""",
 }
