@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, divergence, langid, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from factloom.llm import centroids, decontaminate, divergence, langid, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from factloom.llm.sampling import fold
 
 
@@ -69,9 +69,33 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_read(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_read(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_packing, op3_toxicity, op4_quality_rules, op5_sharding, op6_line_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_decontamination, op10_quality_classifier,
-    op11_source_divergence)}
+    op11_source_divergence, op13_centroid_clustering)}
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Every vector against every centroid in every round."""
+    near = """a{t} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'j': j}}) AS b FROM (
+  SELECT r, vec_id, v, j, list_sum(list_transform(range(1, {e}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM kept, c{t}) GROUP BY r)"""
+    move = """c{n} AS MATERIALIZED (SELECT o.j, coalesce(m.c, o.c) AS c FROM c{t} o LEFT JOIN (
+  SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (SELECT b.j AS j, i, sum(v[i]) AS s, count(*) AS n FROM a{t}, range(1, {e}) g(i) GROUP BY 1, 2) GROUP BY j) m USING (j))"""
+    steps = []
+    for t in range(rounds):
+        steps += [near.format(t=t, e=dims + 1), move.format(t=t, n=t + 1, e=dims + 1)]
+    steps.append(near.format(t=rounds, e=dims + 1))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT n - 1 AS j, v AS c FROM (SELECT v, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) AS n FROM kept) WHERE n <= {k}),
+""" + ",\n".join(steps) + f"""
+SELECT vec_id, b.j::INTEGER AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.j)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON b.j = c{rounds}.j"""
+
 
 #: op8: all pairs that share a shingle, then labels spread along links; op11: every term for every pair of sources.  For small
 #: tables, which is where the check runs
@@ -104,4 +128,5 @@ parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
   UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts) WHERE part = 'pair' OR rank <= 10""",
+    "op13_centroid_clustering": _clusters_sql(),
 }
