@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import centroids, decontaminate, divergence, langid, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from factloom.llm import centroids, decontaminate, divergence, fingerprints, langid, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from factloom.llm.sampling import fold
 
 
@@ -69,13 +69,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_read(spark, sf_dir, "documents"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(_read(spark, sf_dir, "embeddings"), k=40, rounds=5)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_packing, op3_toxicity, op4_quality_rules, op5_sharding, op6_line_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_decontamination, op10_quality_classifier,
-    op11_source_divergence, op13_centroid_clustering)}
+    op11_source_divergence, op12_document_fingerprints, op13_centroid_clustering)}
 
 
 def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
