@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import signals
 from factloom.functions import paths
 from factloom.operators import env, files, graph, infra, inventory, manifests, pii, routes, slices, symbols
 
@@ -47,7 +48,7 @@ def test_binary_large_and_generated_content(spark):
          ("r", "late.ts", "\n" * 10 + "// @generated", 30, False), ("r", "link", "", 0, True), ("r", ".env", "\0\0\0", 3, False)],
         FILES + ", size_bytes long, is_symlink boolean",
     )
-    got = {r.path: r.extraction_type for r in files.catalog(df).collect()}
+    got = {r.path: r.extraction_type for r in files.catalog(df, data_size_limit=signals.DATA_SIZE_LIMIT).collect()}
     assert got == {"bin.ts": "binary", "big.json": "data", "g.ts": "generated", "late.ts": "source", "link": "unknown", ".env": "error"}
 
 
