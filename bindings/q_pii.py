@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindings import relations as rel
 from factloom.functions.arrays import explode_once
-from factloom.functions.regex import line_of_offset
+from factloom.functions.regex import lines_of_offsets
 from factloom.operators import attest, json_leaves, pii
 
 DETECTED_AT = "2024-01-01T00:00:00.000Z"
@@ -71,9 +71,9 @@ def purity_after_scrub(spark, sf) -> DataFrame:
 
 
 def line_of_match(spark, sf) -> DataFrame:
-    texts = rel.pii_texts(spark, sf)
-    kept = pii.scrub(texts, ["doc_id", "text"]).select("doc_id", "text", explode_once("detections").alias("d"))
-    return kept.select("doc_id", F.col("d.start_pos").alias("start_pos"), line_of_offset(F.col("text"), F.col("d.start_pos")).alias("line_no"))
+    kept = pii.scrub(rel.pii_texts(spark, sf), ["doc_id", "text"]).select("doc_id", "text", F.transform("detections", lambda d: d["start_pos"]).alias("starts"))
+    found = kept.select("doc_id", F.arrays_zip(F.col("starts").alias("start_pos"), lines_of_offsets("text", "starts").alias("line_no")).alias("places"))
+    return found.select("doc_id", explode_once("places").alias("p")).select("doc_id", "p.start_pos", "p.line_no")
 
 
 def _chain(spark, sf):

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.arrays import scan_sql
+
 # characters stripped by a whitespace trim
 WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _WS_CLASS = (
@@ -121,15 +123,11 @@ SPAN_TYPE = "struct<start_pos:int,end_pos:int,matched:string>"
 def spans_sql(text: str, java_regex: str) -> str:
     """SQL text of :func:`match_spans`; ``text`` is SQL as well."""
     rx = sql_literal(java_regex)
-    start = "acc.pos + length(p.`0`)"
-    end = f"{start} + length(p.`1`)"
-    return f"""CASE WHEN {text} RLIKE {rx} THEN aggregate(
-        filter(arrays_zip(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0)), p -> p.`1` IS NOT NULL),
-        named_struct('pos', 0, 'spans', cast(array() AS array<{SPAN_TYPE}>)),
-        (acc, p) -> named_struct('pos', {end}, 'spans', array_append(acc.spans,
-            named_struct('start_pos', {start}, 'end_pos', {end}, 'matched', p.`1`))),
-        acc -> acc.spans)
-      ELSE cast(array() AS array<{SPAN_TYPE}>) END"""
+    start = "s.state + length(x.`0`)"
+    end = f"{start} + length(x.`1`)"
+    pieces = f"filter(arrays_zip(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0)), p -> p.`1` IS NOT NULL)"
+    found = scan_sql(pieces, "0", end, f"named_struct('start_pos', {start}, 'end_pos', {end}, 'matched', x.`1`)", SPAN_TYPE)
+    return f"CASE WHEN {text} RLIKE {rx} THEN {found} ELSE cast(array() AS array<{SPAN_TYPE}>) END"
 
 
 def match_spans(text: str, java_regex: str) -> Column:
@@ -142,6 +140,45 @@ def match_spans(text: str, java_regex: str) -> Column:
     return F.expr(spans_sql(text, java_regex))
 
 
-def line_of_offset(text: Column, offset: Column) -> Column:
-    """1-based line holding a 0-based code point offset."""
-    return F.size(F.split(F.left(text, offset), "\n", -1))
+#: code points of a block: a text is cut into blocks once, and places are looked up in their block
+BLOCK = 1024
+
+
+def blocks_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)"
+
+
+def _newlines(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, '\n', '')))"
+
+
+def line_starts_sql(blocks: str) -> str:
+    """Newlines before each block."""
+    return scan_sql(blocks, "0", f"s.state + {_newlines('x')}", "s.state", "int")
+
+
+def line_sql(blocks: str, before: str, offset: str) -> str:
+    """1-based line of a 0-based code point offset, by the names of the blocks and of :func:`line_starts_sql`."""
+    at = f"cast({offset} div {BLOCK} AS int)"
+    inside = _newlines(f"left(get({blocks}, {at}), cast({offset} % {BLOCK} AS int))")
+    # an offset at the very end of the text may lie behind the last block
+    last = f"(element_at({before}, -1) + {_newlines(f'element_at({blocks}, -1)')})"
+    return f"(1 + CASE WHEN size({blocks}) = 0 THEN 0 WHEN {at} < size({blocks}) THEN get({before}, {at}) + {inside} ELSE {last} END)"
+
+
+def lines_of_offsets(text: str, offsets: str) -> Column:
+    """1-based lines of an array of 0-based code point offsets into ``text`` (both SQL), in one pass over the text."""
+    return F.expr(f"""transform(array({blocks_sql(text)}), b -> transform(array({line_starts_sql('b')}), n ->
+        transform({offsets}, o -> {line_sql('b', 'n', 'o')}))[0])[0]""")
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text, given its blocks: costs their own length, not the length of the text."""
+    first, last = (F.call_function("div", p, F.lit(BLOCK)).cast("int") for p in (start, end))
+    inside = F.substring(F.get(blocks, first), start % BLOCK + 1, end - start)
+    across = F.concat(
+        F.substring(F.get(blocks, first), start % BLOCK + 1, F.lit(BLOCK)),
+        F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.coalesce(F.substring(F.get(blocks, last), F.lit(1), end % BLOCK), F.lit("")),
+    )
+    return F.when(end <= start, F.lit("")).when(first == last, inside).otherwise(across)

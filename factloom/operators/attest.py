@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.arrays import let, scan
 from factloom.functions.numbers import sha256_hex
 
 GENESIS = "0" * 64
@@ -46,7 +47,7 @@ def attestation_chain(
 
     ``this_hash`` covers the entry without it; ``prev_hash`` of the next entry covers the whole entry.
     """
-    out_type = "array<struct<chain_seq:int,prev_hash:string,this_hash:string,ref_id:string>>"
+    link_type = "struct<chain_seq:int,prev_hash:string,this_hash:string,ref_id:string>"
 
     def members(d: Column, seq: Column, prev: Column) -> dict[str, Column]:
         return {
@@ -65,21 +66,14 @@ def attestation_chain(
         F.concat(F.lit("[payload:"), F.col(chain).cast("string"), F.lit("]")).alias("_file"),
     )
 
-    def step(acc: Column, d: Column) -> Column:
-        seq = acc["seq"] + 1
-        m = members(d, seq, acc["prev"])
-        this = sha256_hex(_json(m))
-        link = F.struct(seq.alias("chain_seq"), acc["prev"].alias("prev_hash"), this.alias("this_hash"), d["ref_id"].alias("ref_id"))
-        return F.struct(
-            seq.alias("seq"), sha256_hex(_json(m, this)).alias("prev"), F.array_append(acc["links"], link).alias("links")
-        )
+    def step(state: Column, d: Column) -> Column:
+        m = members(d, state["seq"] + 1, state["prev"])
+        return let(sha256_hex(_json(m)), lambda this: F.struct(
+            F.struct((state["seq"] + 1).alias("seq"), sha256_hex(_json(m, this)).alias("prev")).alias("state"),
+            F.struct((state["seq"] + 1).alias("chain_seq"), state["prev"].alias("prev_hash"), this.alias("this_hash"), d["ref_id"].alias("ref_id")).alias("value"),
+        ))
 
-    links = F.aggregate(
-        "detections",
-        F.struct(F.lit(0).alias("seq"), F.lit(GENESIS).alias("prev"), F.expr(f"cast(array() as {out_type})").alias("links")),
-        step,
-        lambda acc: acc["links"],
-    )
+    links = scan(F.col("detections"), F.struct(F.lit(0).alias("seq"), F.lit(GENESIS).alias("prev")), step, link_type)
     rows = base.withColumn("_links", links).select("*", F.explode(F.arrays_zip("_links", "detections")).alias("z"))
     m = members(F.col("z.detections"), F.col("z._links.chain_seq"), F.col("z._links.prev_hash"))
     return rows.select(

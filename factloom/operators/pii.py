@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import signals
-from factloom.functions.arrays import explode_once, posexplode_once
+from factloom.functions.arrays import explode_once, let, posexplode_once, scan
 from factloom.functions.numbers import sha256_hex
 from factloom.functions.paths import basename, extname
-from factloom.functions.regex import any_word, spans_sql, sql_literal, to_java, trim_ws
+from factloom.functions.regex import BLOCK, any_word, cut, spans_sql, sql_literal, to_java, trim_ws
 
-_RAW = "array<struct<start_pos:int,neg_pct:int,ord:int,end_pos:int,matched:string>>"
+_HIT = "struct<start_pos:int,neg_pct:int,ord:int,end_pos:int,matched:string>"
+_RAW = f"array<{_HIT}>"
 
 DETECTIONS = (
     "array<struct<ref_id:string,pattern_id:string,category:string,pii_type:string,confidence:string,"
@@ -32,9 +33,8 @@ def _java(p: signals.PiiPattern) -> str:
     return to_java(p.regex, p.flags, word_start=p.word_start, word_end=p.word_end)
 
 
-def detect(text: str, patterns: Sequence[signals.PiiPattern] = signals.PII_PATTERNS) -> Column:
-    """Every match of every pattern in ``text`` (a column name or SQL expression), ordered by start, then
-    confidence (high first), then pattern order."""
+def detect_sql(text: str, patterns: Sequence[signals.PiiPattern] = signals.PII_PATTERNS) -> str:
+    """SQL text of :func:`detect`, for use inside the lambda of another array."""
 
     def tagged(n: int, p: signals.PiiPattern) -> str:
         spans = f"""transform({spans_sql(text, _java(p))}, s -> named_struct('start_pos', s.start_pos,
@@ -45,21 +45,23 @@ def detect(text: str, patterns: Sequence[signals.PiiPattern] = signals.PII_PATTE
         return spans
 
     per_pattern = ", ".join(tagged(n, p) for n, p in enumerate(patterns, 1))
-    return F.expr(f"array_sort(flatten(array({per_pattern})))")
+    return f"array_sort(flatten(array({per_pattern})))"
+
+
+def detect(text: str, patterns: Sequence[signals.PiiPattern] = signals.PII_PATTERNS) -> Column:
+    """Every match of every pattern in ``text`` (a column name or SQL expression), ordered by start, then
+    confidence (high first), then pattern order."""
+    return F.expr(detect_sql(text, patterns))
 
 
 def resolve(raw: Column) -> Column:
     """Drop overlaps: in start order keep a hit that begins at or after the end of the last kept one."""
-    empty = F.expr(f"cast(array() as {_RAW})")
-    return F.aggregate(
-        raw,
-        F.struct(F.lit(-1).alias("last_end"), empty.alias("kept")),
-        lambda acc, d: F.when(
-            d["start_pos"] >= acc["last_end"],
-            F.struct(d["end_pos"].alias("last_end"), F.array_append(acc["kept"], d).alias("kept")),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
+
+    def step(last_end: Column, d: Column) -> Column:
+        keep = d["start_pos"] >= last_end
+        return F.struct(F.when(keep, d["end_pos"]).otherwise(last_end).alias("state"), F.when(keep, d).alias("value"))
+
+    return let(raw, lambda hits: F.when(F.size(hits) <= 1, hits).otherwise(scan(hits, F.lit(-1), step, _HIT)))
 
 
 def _attr(patterns, field: str, ord_col: Column) -> Column:
@@ -110,17 +112,19 @@ def describe(kept: Column, key: Column, field: Column, patterns=signals.PII_PATT
 
 
 def apply_tokens(text: Column, detections: Column) -> Column:
-    """Replace every detection by its token; detections are ordered and do not overlap."""
-    start = F.struct(F.lit(0).alias("cursor"), F.lit("").alias("out"))
+    """Replace every detection by its token; detections are ordered and do not overlap.  The text is cut into blocks once and put
+    together once, so time follows its length and the number of detections."""
 
-    def step(acc: Column, d: Column) -> Column:
-        gap = F.substring(text, acc["cursor"] + 1, d["start_pos"] - acc["cursor"])
-        return F.struct(d["end_pos"].alias("cursor"), F.concat(acc["out"], gap, d["token"]).alias("out"))
+    def put(blocks: Column, found: Column) -> Column:
+        def piece(d: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1)["end_pos"])
+            return F.concat(cut(blocks, before, d["start_pos"]), d["token"])
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["cursor"] + 1, F.length(text)))
+        rest = cut(blocks, F.element_at(found, -1)["end_pos"], F.length(text))
+        return F.concat(F.array_join(F.transform(found, piece), ""), rest)
 
-    return F.when(F.size(detections) == 0, text).otherwise(F.aggregate(detections, start, step, finish))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(detections) == 0, text).otherwise(let(blocks, lambda b: let(detections, lambda found: put(b, found))))
 
 
 # ---------------------------------------------------------------- table-level operators
@@ -299,25 +303,29 @@ def pii_candidates(files: DataFrame, line_signals=signals.LINE_SIGNALS) -> DataF
     """Islands of neighbouring lines with one hint: (repo_id, path, line_start, line_end, hint, island).
 
     An island grows while the *previous* candidate has the same hint and ends at most three lines above.
-    The fold runs over the lines of one file inside its row, so it needs no window and no shuffle.
+    It is found from the lines of one file inside its row, without a window or a shuffle.
     """
     scoped = files.filter(in_pii_scope(F.col("path")) & any_line_signal(F.col("content"), line_signals))
-    isl = "array<struct<line_start:int,line_end:int,hint:string>>"
     lines = F.transform(
         F.split("content", "\n", -1), lambda l, i: F.struct((i + 1).alias("n"), line_hint(l, line_signals).alias("hint"))
     )
     marked = F.filter(lines, lambda l: l["hint"].isNotNull())
 
-    def step(acc: Column, l: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grows = F.coalesce((last["hint"] == l["hint"]) & (l["n"] - 1 - last["line_end"] <= 2), F.lit(False))
-        grown = F.struct(last["line_start"].alias("line_start"), l["n"].alias("line_end"), l["hint"].alias("hint"))
-        fresh = F.struct(l["n"].alias("line_start"), l["n"].alias("line_end"), l["hint"].alias("hint"))
-        return F.when(grows, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(
-            F.array_append(acc, fresh)
-        )
+    def starts(found: Column) -> Column:
+        """Places of the candidates that begin an island; each looks at its predecessor only, so nothing is carried along."""
+        places = F.transform(found, lambda l, i: let(F.get(found, i - 1), lambda before: F.when(
+            F.coalesce((before["hint"] == l["hint"]) & (l["n"] - 1 - before["n"] <= 2), F.lit(False)), F.lit(None)).otherwise(i)))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    def bounds(found: Column, begin: Column) -> Column:
+        def one(i: Column, k: Column) -> Column:
+            last = F.coalesce(F.get(begin, k + 1), F.size(found)) - 1
+            first = F.get(found, i)
+            return F.struct(first["n"].alias("line_start"), F.get(found, last)["n"].alias("line_end"), first["hint"].alias("hint"))
+
+        return F.transform(begin, one)
 
-    islands = F.aggregate(marked, F.expr(f"cast(array() as {isl})"), step)
+    islands = let(marked, lambda found: let(starts(found), lambda begin: bounds(found, begin)))
     out = scoped.select("repo_id", "path", F.posexplode(islands).alias("island", "c"))
     return out.select("repo_id", "path", (F.col("island") + 1).alias("island"), "c.*")
 

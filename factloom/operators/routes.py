@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom import signals
 from factloom.functions.paths import basename, extname
 from factloom.functions.ranking import first_per_key
-from factloom.functions.regex import spans_sql, sql_literal, to_java
+from factloom.functions.regex import blocks_sql, line_sql, line_starts_sql, spans_sql, sql_literal, to_java
 
 ROUTE = "struct<extractor:string,method:string,route:string,line_no:int,auth_required:boolean,seq:int>"
 _NONE = f"cast(array() as array<{ROUTE}>)"
@@ -42,8 +42,8 @@ def _route(extractor: str, method: str, route: str, line: str, auth: str, seq: s
 
 def _hits(key: str) -> str:
     """Matches of a route regex with their line: array<struct<m, line_no, i>>."""
-    line = "size(split(left(content, s.start_pos), '\n', -1))"
-    return f"transform({spans_sql('content', _rx(key))}, (s, i) -> named_struct('m', s.matched, 'line_no', {line}, 'i', i + 1))"
+    hits = f"transform({spans_sql('content', _rx(key))}, (s, i) -> named_struct('m', s.matched, 'line_no', {line_sql('b', 'n', 's.start_pos')}, 'i', i + 1))"
+    return f"transform(array({blocks_sql('content')}), b -> transform(array({line_starts_sql('b')}), n -> {hits})[0])[0]"
 
 
 def _declared(extractor: str, key: str, method: str, route: str, auth: str) -> str:
