@@ -1,7 +1,8 @@
 """Arrays inside a row: folds in linear time, and exploding computed arrays without computing them twice.
 
-A fold that appends to an array copies it at every step, so its time grows with the square of the length.  ``scan`` and ``scan_sql``
-fold in two levels: a part of about the square root of the items is built and then appended as a whole.
+Spark copies the whole accumulator of a fold at every step, so a fold that carries what it has built takes time with the square of the
+length.  ``scan`` and ``scan_sql`` fold in two levels: the inner accumulator holds a part of about the square root of the items, and
+only whole parts meet in the outer one.
 
 For ``explode(column)`` the optimizer adds ``size(column) > 0`` as a filter and pushes it down, below the projection that
 computes the column and even below exchanges; an expensive array is then evaluated once more per row, possibly on fewer
@@ -53,17 +54,15 @@ def scan(items: Column, start: Column, step: Callable[[Column, Column], Column],
     """
     part, parts = (F.expr(f"cast(array() as {t})") for t in (f"array<{emitted}>", f"array<array<{emitted}>>"))
 
-    def inner(acc: Column, chunk: Column) -> Column:
-        zero = F.struct(acc["state"].alias("state"), acc["out"].alias("out"), part.alias("part"))
+    def merge(s: Column, item: Column) -> Column:
+        return let(step(s["state"], item), lambda b: F.struct(
+            b["state"].alias("state"), F.when(b["value"].isNull(), s["part"]).otherwise(F.array_append(s["part"], b["value"])).alias("part")))
 
-        def merge(s: Column, item: Column) -> Column:
-            return let(step(s["state"], item), lambda b: F.struct(
-                b["state"].alias("state"), s["out"].alias("out"),
-                F.when(b["value"].isNull(), s["part"]).otherwise(F.array_append(s["part"], b["value"])).alias("part")))
+    def outer(acc: Column, chunk: Column) -> Column:
+        built = F.aggregate(chunk, F.struct(acc["state"].alias("state"), part.alias("part")), merge)
+        return let(built, lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["part"]).alias("out")))
 
-        return F.aggregate(chunk, zero, merge, lambda s: F.struct(s["state"].alias("state"), F.array_append(s["out"], s["part"]).alias("out")))
-
-    return F.flatten(F.aggregate(chunks(items), F.struct(start.alias("state"), parts.alias("out")), inner, lambda acc: acc["out"]))
+    return F.flatten(F.aggregate(chunks(items), F.struct(start.alias("state"), parts.alias("out")), outer, lambda acc: acc["out"]))
 
 
 def scan_sql(items: str, start: str, state: str, value: str, emitted: str) -> str:
@@ -72,7 +71,7 @@ def scan_sql(items: str, start: str, state: str, value: str, emitted: str) -> st
         transform(array({items}), a -> transform(array(greatest({PART}, cast(ceil(sqrt(size(a))) AS int))), w ->
             transform(sequence(0, cast((size(a) - 1) div w AS int)), i -> slice(a, i * w + 1, w)))[0])[0],
         named_struct('state', {start}, 'out', cast(array() AS array<array<{emitted}>>)),
-        (acc, chunk) -> aggregate(chunk, named_struct('state', acc.state, 'out', acc.out, 'part', cast(array() AS array<{emitted}>)),
-            (s, x) -> named_struct('state', {state}, 'out', s.out, 'part', array_append(s.part, {value})),
-            s -> named_struct('state', s.state, 'out', array_append(s.out, s.part))),
+        (acc, chunk) -> transform(array(aggregate(chunk, named_struct('state', acc.state, 'part', cast(array() AS array<{emitted}>)),
+            (s, x) -> named_struct('state', {state}, 'part', array_append(s.part, {value})))),
+            r -> named_struct('state', r.state, 'out', array_append(acc.out, r.part)))[0],
         acc -> acc.out))"""
