@@ -45,8 +45,8 @@ KEPT = (
 )
 FULL = (
     "full_hits",
-    """SELECT k.*, p.* EXCLUDE (ord), left(sha256(doc_id || '|text|' || s || '|' || pattern_id), 12) AS ref_id,
-  '[' || category || ':' || pii_type || ':ref:' || left(sha256(doc_id || '|text|' || s || '|' || pattern_id), 12) || ':CONF:' || confidence
+    """SELECT k.*, p.* EXCLUDE (ord), left(sha256(doc_id || '|text|' || s || '|' || pattern_id), 32) AS ref_id,
+  '[' || category || ':' || pii_type || ':ref:' || left(sha256(doc_id || '|text|' || s || '|' || pattern_id), 32) || ':CONF:' || confidence
   || CASE WHEN confidence IN ('UNCERTAIN', 'LOW') THEN ':REVIEW_REQUIRED]' ELSE ']' END AS token
 FROM kept k JOIN patterns p USING (ord)""",
 )
@@ -139,6 +139,31 @@ FROM (SELECT *, sum(fresh) OVER (PARTITION BY repo_id, path ORDER BY line_no) AS
 GROUP BY repo_id, path, island""",
 )
 
+# ---- JSON payloads: one note text at two places of a payload, each with reference ids of its own
+JSON_PLACES = ("root.body.text", "root.body.list[1][0]")
+JSON_TOKENS = (14, 24)
+
+
+def _scrubbed_at(name: str, path: str, token: int) -> tuple[str, str]:
+    ref = f"left(sha256(doc_id || '|{path}#{token}|' || s || '|' || pattern_id), 32)"
+    return (
+        name,
+        f"""SELECT t.doc_id, coalesce(r.head || substring(t.text, r.tail + 1), t.text) AS scrubbed, coalesce(hits, 0) AS hits, places
+FROM pii_texts t LEFT JOIN (
+  SELECT doc_id, string_agg(substring(text, prev + 1, s - prev) || replace(token, ref_id, {ref}), '' ORDER BY s) AS head, max(e) AS tail, count(*) AS hits,
+    string_agg('{path}@' || s, ' ' ORDER BY s) AS places
+  FROM (SELECT f.*, text, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM full_hits f JOIN pii_texts USING (doc_id))
+  GROUP BY doc_id) r USING (doc_id)""",
+    )
+
+
+_NOTE_JSON = (
+    "to_json({'id': t.doc_id, 'name': t.text, 'body': {'text': a.scrubbed, 'list': [['x'], [b.scrubbed, 'y']], 'none': NULL::VARCHAR}, 'n': 1.5::DOUBLE, 'ok': true})::VARCHAR"
+)
+_EVENT_JSON = (
+    """'{"type":"' || event_type || '","props":' || props || ',"notes":["user ' || user_id || '",{"path":"/e/' || event_id || '","tags":["' || event_type || '",["deep",1,null,true]]}]}'"""
+)
+
 ORACLES = {
     "counts_by_type": with_(*BASE, select="SELECT category, pii_type, count(*) AS hits, sum(length(m))::BIGINT AS chars_replaced FROM full_hits GROUP BY ALL"),
     "detect_pii": with_(PII_TEXTS, PATTERNS, RAW, ORDERED, select="SELECT doc_id, pattern_id, category, pii_type, confidence, confidence_pct, safe_harbor_item, s AS start_pos, e AS end_pos FROM ordered JOIN patterns USING (ord)"),
@@ -151,7 +176,7 @@ ORACLES = {
 UNION ALL SELECT doc_id, 'note', replace_refs, hits FROM (
   SELECT t.doc_id, coalesce(r.head || substring(t.text, r.tail + 1), t.text) AS replace_refs, coalesce(r.hits, 0) AS hits
   FROM pii_texts t LEFT JOIN (
-    SELECT doc_id, string_agg(substring(text, prev + 1, s - prev) || replace(token, ref_id, left(sha256(doc_id || '|note|' || s || '|' || pattern_id), 12)), '' ORDER BY s) AS head,
+    SELECT doc_id, string_agg(substring(text, prev + 1, s - prev) || replace(token, ref_id, left(sha256(doc_id || '|note|' || s || '|' || pattern_id), 32)), '' ORDER BY s) AS head,
       max(e) AS tail, count(*) AS hits
     FROM (SELECT f.*, text, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM full_hits f JOIN pii_texts USING (doc_id))
     GROUP BY doc_id) r USING (doc_id) WHERE t.doc_id % 2 <> 0)""",
@@ -198,4 +223,26 @@ SELECT event_id AS payload_id, unnest([1, 2, 3, 4, 5]) AS leaf_no,
   unnest(['root.type', 'root.notes[0]', 'root.notes[1].path', 'root.notes[1].tags[0]', 'root.notes[1].tags[1][0]']) AS json_path,
   unnest(['type', 'notes', 'path', 'tags', 'tags']) AS field,
   unnest([event_type, 'user ' || user_id, '/e/' || event_id, event_type, 'deep']) AS value FROM events)""",
+    # no event text holds anything to scrub
+    "scrub_json": with_(
+        *BASE, _scrubbed_at("at_text", JSON_PLACES[0], JSON_TOKENS[0]), _scrubbed_at("at_list", JSON_PLACES[1], JSON_TOKENS[1]),
+        (
+            "payloads",
+            f"""SELECT t.doc_id AS payload_id, {_NOTE_JSON} AS scrubbed, a.hits + b.hits AS hits, concat_ws(' ', a.places, b.places) AS places
+FROM pii_texts t JOIN at_text a USING (doc_id) JOIN at_list b USING (doc_id)
+UNION ALL SELECT -event_id - 1, {_EVENT_JSON}, 0, '' FROM events""",
+        ),
+        select="SELECT payload_id, scrubbed, 'sha256:' || sha256(scrubbed) AS payload_hash, hits, places FROM payloads",
+    ),
+    "json_purity": with_(
+        PII_TEXTS, PATTERNS, RAW, ORDERED,
+        (
+            "descriptions",
+            "SELECT * FROM " + values((i, p.description) for i, p in enumerate(P, 1)) + " t(ord, description)",
+        ),
+        select=f"""SELECT doc_id AS payload_id, unnest({slist(JSON_PLACES)}) AS json_path, first_pattern, first_position, first_value FROM (
+SELECT doc_id, description AS first_pattern, s AS first_position, left(m, 60) || CASE WHEN length(m) > 60 THEN '…' ELSE '' END AS first_value
+FROM ordered JOIN patterns USING (ord) JOIN descriptions USING (ord) WHERE confidence IN ('HIGH', 'MEDIUM')
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord, s) = 1)""",
+    ),
 }

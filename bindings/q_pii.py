@@ -115,7 +115,7 @@ def phi_zones(spark, sf) -> DataFrame:
 
 
 def _payloads(spark, sf) -> DataFrame:
-    """A nested JSON payload per event and per customer note."""
+    """A nested JSON payload per event."""
     events = rel.table(spark, sf, "events").select(
         F.col("event_id").alias("payload_id"),
         F.concat(
@@ -127,15 +127,36 @@ def _payloads(spark, sf) -> DataFrame:
     return events
 
 
+def _note_payloads(spark, sf) -> DataFrame:
+    """A nested JSON payload per document and note: its text under a structural field, in an object and in an array of arrays."""
+    texts = rel.pii_texts(spark, sf)
+    body = F.struct("text", F.array(F.array(F.lit("x")), F.array(F.col("text"), F.lit("y"))).alias("list"), F.lit(None).cast("string").alias("none"))
+    whole = F.struct(F.col("doc_id").alias("id"), F.col("text").alias("name"), body.alias("body"), F.lit(1.5).alias("n"), F.lit(True).alias("ok"))
+    return texts.select(F.col("doc_id").alias("payload_id"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def walk_string_leaves(spark, sf) -> DataFrame:
     return json_leaves.walk_string_leaves(_payloads(spark, sf), "payload_id", "payload")
 
 
+def scrub_json(spark, sf) -> DataFrame:
+    """Payloads of all events (negative ids), documents and notes, scrubbed in place."""
+    events = _payloads(spark, sf).select((-F.col("payload_id") - 1).alias("payload_id"), "payload")
+    out = json_leaves.scrub_json(events.unionByName(_note_payloads(spark, sf)), ["payload_id"])
+    paths = F.array_join(F.transform("detections", lambda d: F.concat(d["json_path"], F.lit("@"), d["start_pos"].cast("string"))), " ")
+    return out.select("payload_id", "scrubbed", "payload_hash", F.size("detections").cast("long").alias("hits"), paths.alias("places"))
+
+
+def json_purity(spark, sf) -> DataFrame:
+    """Strings of the payloads, before scrubbing, that would stop a run."""
+    return json_leaves.impure_leaves(_note_payloads(spark, sf), ["payload_id"], "payload")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         counts_by_type, detect_pii, resolve_overlaps, build_token, scrub_value, structural_gate, detection_counts,
         uncertain_detections, purity_check, purity_after_scrub, line_of_match, attestation_chain, verify_chain,
-        pii_candidate_lines, pii_scan_scope, merge_pii_islands, phi_zones, walk_string_leaves,
+        pii_candidate_lines, pii_scan_scope, merge_pii_islands, phi_zones, walk_string_leaves, scrub_json, json_purity,
     )
 }

@@ -72,9 +72,9 @@ def _attr(patterns, field: str, ord_col: Column) -> Column:
 
 
 def ref_id(key: Column, field: Column, start: Column, pattern_id: Column) -> Column:
-    """Deterministic reference id of one detection (12 hex digits)."""
+    """Deterministic reference id of one detection (128 bits as hex digits), unique over a corpus of any size."""
     joined = F.concat_ws("|", key.cast("string"), field, start.cast("string"), pattern_id)
-    return F.left(F.sha2(joined, 256), F.lit(12))
+    return F.left(F.sha2(joined, 256), F.lit(32))
 
 
 def build_token(category: Column, pii_type: Column, ref: Column, confidence: Column) -> Column:
@@ -239,11 +239,14 @@ def purity_check(df: DataFrame, keys: Sequence[str], text: str, patterns=signals
     )
 
 
-def assert_pure(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Pass rows through, failing the job on the first impure one."""
-    strict = [p for p in signals.PII_PATTERNS if p.confidence not in signals.REVIEW_LEVELS]
+def assert_pure(df: DataFrame, keys: Sequence[str], text: str, patterns: Sequence[signals.PiiPattern] = signals.PII_PATTERNS, field: str | None = None) -> DataFrame:
+    """Pass rows through, failing the job on the first text that a HIGH or MEDIUM one of ``patterns`` hits.  ``field`` names the column
+    with the JSON field of the text; structural fields are left alone, as by :func:`scrub`."""
+    strict = [p for p in patterns if p.confidence not in signals.REVIEW_LEVELS]
     col = F.col(text)
-    label = F.coalesce(*[F.when(col.rlike(_java(p)), F.lit(p.description)) for p in strict])
+    label = F.coalesce(F.lit(None).cast("string"), *[F.when(col.rlike(_java(p)), F.lit(p.description)) for p in strict])
+    if field:
+        label = F.when(~F.col(field).isin(*signals.STRUCTURAL_FIELDS), label)
     key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     message = F.concat(F.lit("purity check failed: "), label, F.lit(" in "), key)
     guarded = F.when(label.isNotNull(), F.raise_error(message).cast("string")).otherwise(col)

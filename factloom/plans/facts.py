@@ -55,7 +55,7 @@ def scrub_and_attest(
     args = {} if patterns is None else {"patterns": patterns}
     scrubbed = pii.scrub(texts, [key], text, **args)
     return Scrubbed(
-        payloads=pii.assert_pure(scrubbed, [key], "scrubbed"),
+        payloads=pii.assert_pure(scrubbed, [key], "scrubbed", **args),
         entries=attest.attestation_chain(scrubbed, key, analyst_id, repo, commit, detected_at),
         uncertain=pii.uncertain_detections(scrubbed, [key]),
         counts=pii.detection_counts(scrubbed, [key]),

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 import time
 
 import pytest
@@ -233,3 +235,95 @@ def test_islands_with_alternating_hints(spark):
             want.append([n, n, word])
     got = pii.pii_candidates(files).orderBy("island").collect()
     assert [(r.line_start, r.line_end) for r in got] == [tuple(w[:2]) for w in want] and [r.island for r in got] == list(range(1, len(want) + 1))
+
+
+def _masked(text):
+    return re.sub(r":ref:[0-9a-f]+:", ":ref:X:", text)
+
+
+def _scrubbed_tree(node, field, plain):
+    """The recursive form: strings of other than structural fields replaced, members kept as pairs."""
+    if isinstance(node, str):
+        return node if field in signals.STRUCTURAL_FIELDS else plain[node]
+    if isinstance(node, tuple):
+        return tuple((k, _scrubbed_tree(v, k, plain)) for k, v in node)
+    return [_scrubbed_tree(v, field, plain) for v in node] if isinstance(node, list) else node
+
+
+def _strings(node):
+    if isinstance(node, str):
+        return [node]
+    if isinstance(node, tuple):
+        return [s for _, v in node for s in _strings(v)]
+    return [s for v in node for s in _strings(v)] if isinstance(node, list) else []
+
+
+def _json_cases():
+    draw = random.Random(5)
+    values = ["a@b.org", "x", "", "two: 10.0.0.1, c@d.org", 'quote " back \\ slash / tab \t', "é😀 a@b.org \n end", 1, -2.5e3, 1.50, True, False, None, "  123-45-6789"]
+
+    def node(depth):
+        kind = draw.randrange(4 if depth < 5 else 1)
+        if kind == 2:
+            return [node(depth + 1) for _ in range(draw.randrange(4))]
+        if kind == 3:
+            return {draw.choice(["a", "path", "name", "b c", "e\"f", "", "list", "ü"]): node(depth + 1) for _ in range(draw.randrange(5))}
+        return draw.choice(values)
+
+    texts = [json.dumps(node(0), ensure_ascii=i % 2 == 0, indent=[None, 1][i % 3 == 0]) for i in range(120)]
+    return [t for t in texts if t] + ['{"a":"a@b.org","a":"c@d.org","n":1.50,"m":1E5}', ' [ "a\\u0040b.org" , {} , [] ]\n', '"10.0.0.1"', json.dumps(["10.0.0.1"] * 300)]
+
+
+def test_scrub_json_equals_the_recursive_form(spark):
+    texts = _json_cases()
+    trees = [json.loads(t, object_pairs_hook=tuple) for t in texts]
+    distinct = sorted({s for t in trees for s in _strings(t)})
+    flat = pii.scrub(spark.createDataFrame([(i, s) for i, s in enumerate(distinct)], "id long, text string"), ["id"])
+    plain = {distinct[r.id]: _masked(r.scrubbed) for r in flat.collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, payload string").repartition(4)
+    rows = {r.id: r for r in json_leaves.scrub_json(df, ["id"]).collect()}
+    refs = [d.ref_id for r in rows.values() for d in r.detections]
+    assert len(rows) == len(texts) and len(set(refs)) == len(refs) > 100
+    for i, (text, tree) in enumerate(zip(texts, trees)):
+        got = rows[i]
+        assert json.loads(_masked(got.scrubbed), object_pairs_hook=tuple) == _scrubbed_tree(tree, "root", plain)
+        if not got.detections:
+            assert got.scrubbed == text
+    # all but the replaced strings is kept to the letter
+    assert _masked(rows[len(texts) - 4].scrubbed) == '{"a":"[PHI:EMAIL:ref:X:CONF:HIGH]","a":"[PHI:EMAIL:ref:X:CONF:HIGH]","n":1.50,"m":1E5}'
+    assert _masked(rows[len(texts) - 3].scrubbed) == ' [ "[PHI:EMAIL:ref:X:CONF:HIGH]" , {} , [] ]\n'
+    assert [d.json_path for d in rows[len(texts) - 1].detections] == [f"root[{k}]" for k in range(300)]
+    pure = json_leaves.impure_leaves(df.select("id", "payload"), ["id"], "payload")
+    assert pure.count() > 0
+    again = spark.createDataFrame([(i, r.scrubbed) for i, r in rows.items()], "id long, payload string")
+    assert json_leaves.impure_leaves(again, ["id"], "payload").count() == 0
+
+
+def test_texts_that_are_not_json_are_scrubbed_whole(spark):
+    texts = ["mail a@b.org", '{"a":"x"} a@b.org', "{'a':'a@b.org'}", '{"a":a@b.org}', "1], a@b.org [2", '1} a@b.org {"v":2', '{"a":"a@b.org"', "", None, '["path a@b.org",]']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, payload string")
+    out = {r.id: r for r in json_leaves.scrub_json(df, ["id"]).collect()}
+    for i, t in enumerate(texts):
+        assert out[i].scrubbed is None if t is None else "@" not in out[i].scrubbed
+        assert len(out[i].detections) == ("a@b.org" in (t or ""))
+    assert json_leaves.scrub_json(df.limit(0), ["id"]).count() == 0
+
+
+def test_json_depth_and_long_strings(spark):
+    deep = json.dumps("a@b.org")
+    for _ in range(200):
+        deep = f"[{deep}]"
+    long = json.dumps({"a": "w\\\n" * 300_000 + " a@b.org"})
+    df = spark.createDataFrame([(1, deep), (2, long)], "id long, payload string")
+    whole = {r.id: r for r in json_leaves.scrub_json(df, ["id"]).collect()}
+    assert whole[1].detections[0].json_path == "root" + "[0]" * 200 and "@" not in whole[2].scrubbed
+    assert json_leaves.scrub_json(df, ["id"], max_depth=50).where("id = 1").first().scrubbed == deep
+
+
+def test_purity_takes_patterns_and_leaves_structural_fields(spark):
+    own = signals.PiiPattern("own", r"zz\d+", "SECRET", "X", "HIGH", 99, None, None, "own")
+    df = spark.createDataFrame([(1, "zz12", "note"), (2, "a@b.org", "path")], "id int, text string, field string")
+    assert len(pii.assert_pure(df, ["id"], "text", field="field").collect()) == 2
+    with pytest.raises(Exception, match="purity check failed: own"):
+        pii.assert_pure(df, ["id"], "text", [own], field="field").collect()
+    assert len(pii.assert_pure(df.where("id = 2"), ["id"], "text", [own]).collect()) == 1
