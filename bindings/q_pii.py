@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bindings import relations as rel
 from factloom.functions.arrays import explode_once
+from factloom.functions.checkpoints import stored
 from factloom.functions.regex import lines_of_offsets
 from factloom.operators import attest, json_leaves, pii
 
@@ -95,6 +96,32 @@ def verify_chain(spark, sf) -> DataFrame:
     return attest.verify_chain(good.unionByName(edited))
 
 
+def _source_entries(spark, sf) -> DataFrame:
+    """Replacements of every document under its source, and of the notes under 'notes'."""
+    sources = rel.table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("chain"))
+    texts = rel.pii_texts(spark, sf).join(sources, "doc_id", "left").withColumn("chain", F.coalesce("chain", F.lit("notes")))
+    scrubbed = pii.scrub(texts, ["doc_id"], carry=["chain"])
+    return attest.unlinked_entries(scrubbed, "chain", "doc_id", "analyst", F.lit("documents"), F.lit("HEAD"), F.lit(DETECTED_AT))
+
+
+def attestation_chain_by_source(spark, sf) -> DataFrame:
+    """One chain per source over all its documents."""
+    return attest.linked_chain(_source_entries(spark, sf)).select("chain_id", "chain_seq", "entry_id", "file", "prev_hash", "this_hash")
+
+
+def verify_chain_by_source(spark, sf) -> DataFrame:
+    """Chains whose second half was linked in a later run, as written and with an edited entry (chain name with '!')."""
+    entries = stored(_source_entries(spark, sf), "entries")
+    early = F.col("payload") % 2 == 0
+    first = attest.linked_chain(entries.where(early))
+    later = attest.linked_chain(entries.where(~early), attest.chain_heads(first))
+    good = first.unionByName(later).drop("payload", "place")
+    edited = good.withColumn("chain_id", F.concat("chain_id", F.lit("!"))).withColumn(
+        "token_placed", F.when(F.col("chain_seq") == 2, F.lit("[edited]")).otherwise(F.col("token_placed"))
+    )
+    return attest.verify_chain(good.unionByName(edited))
+
+
 def pii_candidate_lines(spark, sf) -> DataFrame:
     return pii.pii_candidate_lines(rel.corpus_files(spark, sf))
 
@@ -157,6 +184,7 @@ QUERIES = {
     for f in (
         counts_by_type, detect_pii, resolve_overlaps, build_token, scrub_value, structural_gate, detection_counts,
         uncertain_detections, purity_check, purity_after_scrub, line_of_match, attestation_chain, verify_chain,
+        attestation_chain_by_source, verify_chain_by_source,
         pii_candidate_lines, pii_scan_scope, merge_pii_islands, phi_zones, walk_string_leaves, scrub_json, json_purity,
     )
 }

@@ -153,8 +153,10 @@ def scrub(
     text: str = "text",
     field: str | None = None,
     patterns=signals.PII_PATTERNS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``keys`` + ``text`` -> ``keys``, ``detections`` (array), ``scrubbed``, ``payload_hash``.
+    """``keys`` + ``text`` -> ``keys``, ``detections`` (array), ``scrubbed``, ``payload_hash``; columns named in ``carry`` stay and are
+    no part of the reference ids.
 
     ``field`` names the column that holds the JSON field of the text (default: the column name);
     values of structural fields pass through untouched.
@@ -165,7 +167,7 @@ def scrub(
     described = describe(resolve(detect(text, patterns)), key, field_col, patterns)
     extra = [field] if field and field not in keys else []
     gated = F.when(gate, described).otherwise(F.expr(f"cast(array() as {DETECTIONS})"))
-    out = df.select(*keys, *extra, F.col(text).alias("_text"), gated.alias("detections"))
+    out = df.select(*keys, *extra, *carry, F.col(text).alias("_text"), gated.alias("detections"))
     out = out.withColumn("scrubbed", apply_tokens(F.col("_text"), F.col("detections")))
     return out.withColumn("payload_hash", payload_hash(F.col("scrubbed"), text)).drop("_text")
 

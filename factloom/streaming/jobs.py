@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from factloom import signals
 from factloom.operators import attest, pii
 from factloom.operators.patterns import FOLD_START, fold_step
 
@@ -19,9 +22,59 @@ USE_OUTPUT = (
 )
 
 
-def stream_scrub(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+#: the state store that ``transformWithState`` needs
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Set the state store of queries that this session starts from now on."""
+    spark.conf.set(*STATE_STORE)
+
+
+def stream_scrub(texts: DataFrame, keys: Sequence[str], text: str = "text", patterns: Sequence[signals.PiiPattern] = signals.PII_PATTERNS) -> DataFrame:
     """Stateless: the batch operator on a stream."""
-    return pii.scrub(texts, keys, text)
+    return pii.scrub(texts, keys, text, patterns=patterns)
+
+
+def stream_chain(
+    texts: DataFrame, chain: str, payload: str, analyst_id: str, repo: Column, commit: Column, detected_at: Column,
+    text: str = "text", patterns: Sequence[signals.PiiPattern] = signals.PII_PATTERNS,
+) -> DataFrame:
+    """Audit entries of a stream of texts, one chain per value of ``chain`` that goes on over all batches.
+
+    State is the number and hash of the last entry of each chain.  A batch adds its entries in the order of (payload, place in the
+    payload), so a batch that runs again after a failure starts from the state it started from and writes the same entries.  A task holds
+    what one batch has of one chain; the trigger bounds that (``maxFilesPerTrigger``).  Verify with ``attest.verify_chain`` by
+    chain_id.  Call :func:`use_state_store` before the query starts.
+    """
+    scrubbed = pii.scrub(texts, [payload], text, patterns=patterns, carry=[chain])
+    entries = attest.json_sides(attest.unlinked_entries(scrubbed, chain, payload, analyst_id, repo, commit, detected_at))
+    entries = entries.withColumnsRenamed({"_left": "left_json", "_right": "right_json"})
+    members = [f for f in entries.schema.fields if f.name not in ("left_json", "right_json")]
+    linked = [StructField("chain_seq", LongType()), StructField("prev_hash", StringType()), StructField("this_hash", StringType())]
+    names, genesis, link = [f.name for f in members], attest.GENESIS, attest._linker()
+
+    # made here, so that it travels by value
+    class Linker(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last", "chain_seq long, head string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows)).sort_values(["payload", "place", "entry_id"], kind="stable", na_position="first")
+            number, prev = self.last.get() if self.last.exists() else (0, genesis)
+            added = []
+            for left, right in zip(batch["left_json"], batch["right_json"]):
+                number += 1
+                this, after = link(left, right, number, prev)
+                added.append((number, prev, this))
+                prev = after
+            self.last.update((number, prev))
+            out = batch[names].reset_index(drop=True)
+            out["chain_seq"], out["prev_hash"], out["this_hash"] = zip(*added)
+            yield out
+
+    done = entries.groupBy("chain_id").transformWithStateInPandas(Linker(), StructType([*members, *linked]), "Append", "None")
+    return done.select("chain_id", "payload", "place", *[name for _, name, _ in attest.ENTRY_FIELDS], "this_hash")
 
 
 def stream_fitness(uses: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -48,17 +101,17 @@ def stream_fitness(uses: DataFrame, delay: str = "1 day") -> DataFrame:
     return unique.groupBy("fingerprint").applyInPandasWithState(fold, USE_OUTPUT, USE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def attest_batch(path: str, chain: str, analyst_id: str, repo: str, commit: str) -> Callable[[DataFrame, int], None]:
+def attest_batch(path: str, chain: str, analyst_id: str, repo: str, commit: str, detected_at: Column | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: scrub the batch and write the chains of its payloads.
 
     A chain belongs to one payload of one batch and is complete there: verify with
     ``attest.verify_chain(entries, ("chain_id", "batch"))``.  Every batch overwrites its own folder, so a batch that is
-    repeated after a failure leaves one copy.
+    repeated after a failure leaves one copy.  ``detected_at`` defaults to the time of the batch.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         scrubbed = pii.scrub(batch, [chain])
-        at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if detected_at is None else detected_at
         entries = attest.attestation_chain(scrubbed, chain, analyst_id, F.lit(repo), F.lit(commit), at)
         entries.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 

@@ -1,3 +1,5 @@
+import hashlib
+import json
 import os
 
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from bindings import q_io
 from factloom.functions.checkpoints import scratch
-from factloom.operators import attest, patterns
+from factloom.operators import attest, patterns, pii
 from factloom.sources import files as file_source
 from factloom.streaming import jobs
 
@@ -85,3 +87,72 @@ def test_a_payload_in_two_batches_has_a_valid_chain_in_each(spark):
     got = attest.verify_chain(entries, ("chain_id", "batch")).collect()
     assert {(r.chain_id, r.batch, r.valid) for r in got} == {(1, 0, True), (1, 1, True)}
     assert len({r.entries for r in got}) == 1
+
+
+def _chain_texts(spark, n):
+    rows = [(i, ["r1", "r1", "r1", "r2", None][i % 5], "none" if i % 7 == 6 else f"mail a{i}@b.org and 10.0.0.{i % 200}") for i in range(n)]
+    return spark.createDataFrame(rows, "id long, repo string, text string")
+
+
+def test_one_chain_goes_on_over_payloads_and_blocks(spark):
+    texts = _chain_texts(spark, 120).repartition(5)
+
+    def entries(df):
+        return attest.unlinked_entries(pii.scrub(df, ["id"], carry=["repo"]), "repo", "id", "me", F.lit("r"), F.lit("c"), F.lit("2024"))
+
+    whole = attest.linked_chain(entries(texts)).orderBy("chain_id", "chain_seq").collect()
+    assert [tuple(r) for r in attest.linked_chain(entries(texts), block=7).orderBy("chain_id", "chain_seq").collect()] == [tuple(r) for r in whole]
+    for chain in ("r1", "r2", None):
+        own = [r for r in whole if r.chain_id == chain]
+        assert [r.chain_seq for r in own] == list(range(1, len(own) + 1))
+        assert [(r.payload, r.place) for r in own] == sorted((r.payload, r.place) for r in own)
+        prev = attest.GENESIS
+        for r in own:
+            body = {js: r[name] for js, name, _ in attest.ENTRY_FIELDS}
+            assert r.prev_hash == prev and r.this_hash == _sha(body)
+            prev = _sha({**body, "thisHash": r.this_hash})
+    first = attest.linked_chain(entries(texts.where("id < 50")), block=11)
+    later = attest.linked_chain(entries(texts.where("id >= 50")), attest.chain_heads(first), block=11)
+    both = first.unionByName(later)
+    assert sorted(map(str, both.collect())) == sorted(map(str, whole))
+    assert all(r.valid for r in attest.verify_chain(both).collect())
+    lost = attest.verify_chain(both.where("not (chain_id <=> 'r1' and chain_seq = 30)")).where("not valid").collect()
+    assert [(r.chain_id, r.first_error) for r in lost] == [("r1", "Entry 31: chainSeq out of order")]
+    none = attest.linked_chain(entries(texts.limit(0)))
+    assert none.count() == 0 and set(none.columns) == set(both.columns)
+
+
+def _sha(body):
+    return "sha256:" + hashlib.sha256(json.dumps(body, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def test_one_chain_goes_on_over_batches_and_a_repeated_batch_changes_nothing(spark):
+    src, out = scratch(spark, "src"), scratch(spark, "out")
+    texts = _chain_texts(spark, 60).where("repo is not null")
+    for part in range(3):
+        texts.where(f"id % 3 = {part}").coalesce(1).write.parquet(f"{src}/batch={part}")
+
+    def run():
+        stream = spark.readStream.schema(texts.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(src)
+        chained = jobs.stream_chain(stream, "repo", "id", "me", F.lit("r"), F.lit("c"), F.lit("2024"))
+        q = chained.writeStream.format("parquet").option("path", f"{out}/o").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(map(str, spark.read.parquet(f"{out}/o").collect()))
+
+    jobs.use_state_store(spark)
+    try:
+        once = run()
+        entries = spark.read.parquet(f"{out}/o")
+        got = attest.verify_chain(entries).collect()
+        assert all(r.valid for r in got) and {r.chain_id: r.entries for r in got} == {r.repo: r["count"] for r in (
+            pii.detections(pii.scrub(texts, ["id"], carry=["repo"]), ["repo"]).groupBy("repo").count().collect())}
+        # as after a failure: the last batch was written, but not committed
+        commits = f"{out}/c/commits".removeprefix("file:")
+        last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+        assert last == "2"
+        for name in (last, f".{last}.crc"):
+            if os.path.exists(f"{commits}/{name}"):
+                os.remove(f"{commits}/{name}")
+        assert run() == once
+    finally:
+        spark.conf.unset(jobs.STATE_STORE[0])
