@@ -1,8 +1,8 @@
 """Import graphs.
 
 Edges: (repo_id, src, dst, is_external, is_cross_package, raw_import).  Resolution is a pair of equi-joins against
-narrow, pre-reduced lookup tables; a file that a third of all imports point at is a hot key on the stream side only,
-which adaptive execution splits.
+narrow, pre-reduced lookup tables; a file or package that most imports point at is a hot key on the stream side only, whose rows
+are dealt over several tasks (``joins.lookup_join``).
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import signals
-from factloom.functions.checkpoints import cut
+from factloom.functions.checkpoints import cut, stored
+from factloom.functions.joins import ROWS_PER_TASK, lookup_join
 from factloom.functions.paths import basename, extname, resolve_relative
 from factloom.functions.ranking import top_k_per_group
 
@@ -62,17 +63,19 @@ def is_local_import(raw: Column) -> Column:
     return raw.startswith(".") | raw.startswith("/") | raw.startswith("~")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame) -> DataFrame:
+def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Edges of all imports: workspace packages, external packages as they are, relative ones by lookup.
     Relative imports that resolve to nothing are dropped; package imports fall back to the bare directory.
 
     Only imports that may name a file meet the lookup table: external packages (usually the most frequent names) leave
     after the package join, relative imports never enter it.  A package name does not begin with '.', '/' or '~'.
+    A target of more than ``rows_per_task`` imports is spread over tasks.  ``imports`` is read several times.
     """
     raw = F.col("raw_import")
-    named = imports.filter(~is_local_import(raw))
+    named = imports.filter(~is_local_import(raw)).select("repo_id", "path", "import_no", "raw_import")
     hits = _first_package(named, packages.filter(~is_local_import(F.col("package_name"))))
-    external = named.join(hits, ["repo_id", "raw_import"], "left_anti").select(
+    matched = lookup_join(named, hits, ["repo_id", "raw_import"], "left", rows_per_task)
+    external = matched.where("pkg is null").select(
         "repo_id", F.col("path").alias("src"), raw.alias("dst"), F.lit(True).alias("is_external"),
         F.lit(False).alias("is_cross_package"), "raw_import", "import_no",
     )
@@ -85,8 +88,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame) -
         )
 
     local = lookup_rows(imports.filter(is_local_import(raw)), resolve_relative(F.col("path"), raw), False)
-    cross = lookup_rows(named.join(hits, ["repo_id", "raw_import"]), in_package, True)
-    found = local.unionByName(cross).join(resolution_stems(files), ["repo_id", "stem"], "left")
+    cross = lookup_rows(matched.where("pkg is not null"), in_package, True)
+    # narrow rows, stored: they are counted by their target and then joined
+    wanted = stored(local.unionByName(cross), "import-stems")
+    found = lookup_join(wanted, resolution_stems(files), ["repo_id", "stem"], "left", rows_per_task)
     dst = F.coalesce("target", F.when(F.col("is_cross_package"), F.col("stem")))
     inside = found.select(
         "repo_id", "src", dst.alias("dst"), F.lit(False).alias("is_external"), "is_cross_package", "raw_import", "import_no"
