@@ -229,6 +229,23 @@ def _cycles(edges: str) -> tuple[tuple[str, str], ...]:
     )
 
 
+# levels from the smallest member on, then back along the smallest parents
+_SHOWN = (
+    ("inner_edges", "SELECT e.repo_id, a.component, src, dst FROM ie e JOIN cycles a ON a.repo_id = e.repo_id AND a.path = src JOIN cycles b ON b.repo_id = e.repo_id AND b.path = dst AND a.component = b.component"),
+    ("levels", """SELECT repo_id, component, path, min(d) AS d FROM (
+  WITH RECURSIVE l AS (
+    SELECT DISTINCT repo_id, component, component AS path, 0 AS d FROM cycles
+    UNION SELECT l.repo_id, l.component, e.dst, l.d + 1 FROM l JOIN inner_edges e ON e.repo_id = l.repo_id AND e.component = l.component AND e.src = l.path
+    WHERE l.d < 100 AND NOT EXISTS (SELECT 1 FROM inner_edges b WHERE b.repo_id = l.repo_id AND b.component = l.component AND b.src = l.path AND b.dst = l.component)
+  ) SELECT * FROM l) GROUP BY ALL"""),
+    ("ends", """SELECT repo_id, component, arg_min(path, (d, path)) AS path, min(d) AS d FROM levels l
+  WHERE EXISTS (SELECT 1 FROM inner_edges e WHERE e.repo_id = l.repo_id AND e.component = l.component AND e.src = l.path AND e.dst = l.component) GROUP BY ALL"""),
+    ("parents", "SELECT l.repo_id, l.component, l.path, min(e.src) AS parent FROM levels l JOIN inner_edges e ON e.repo_id = l.repo_id AND e.component = l.component AND e.dst = l.path JOIN levels p ON p.repo_id = l.repo_id AND p.component = l.component AND p.path = e.src AND p.d = l.d - 1 GROUP BY ALL"),
+    ("shown", """WITH RECURSIVE w AS (
+    SELECT repo_id, component, path, d FROM ends
+    UNION ALL SELECT w.repo_id, w.component, p.parent, w.d - 1 FROM w JOIN parents p USING (repo_id, component, path) WHERE w.d > 0
+  ) SELECT * FROM w"""),
+)
 _INTERNAL = "SELECT DISTINCT repo_id, src, dst FROM edges WHERE NOT is_external"
 _PARTS = "SELECT DISTINCT 's' || l_suppkey AS repo_id, (l_partkey % 97)::VARCHAR AS src, (l_orderkey % 89)::VARCHAR AS dst FROM lineitem"
 
@@ -336,6 +353,7 @@ LEFT JOIN (SELECT repo_id, path, array_to_string(list(v ORDER BY o)[1:3], ', ')
     LEFT JOIN (SELECT repo_id, path FROM hubs UNION SELECT * FROM entries) p USING (repo_id, path)))""",
     ),
     "import_cycles": with_(*GRAPH, *_cycles(_INTERNAL), select="SELECT * FROM cycles"),
+    "cycle_paths": with_(*_cycles(_PARTS), *_SHOWN, select="SELECT repo_id, component, d::INTEGER AS step, path FROM shown"),
     "part_graph_cycles": with_(*_cycles(_PARTS), select="SELECT * FROM cycles"),
     "slice_by_prefix": with_(*REPO, KEPT, select=f"SELECT repo_id, path FROM kept WHERE {_UNDER}"),
     "slice_edges": with_(*GRAPH, select="SELECT * FROM edges WHERE starts_with(src, 'packages/') OR starts_with(dst, 'packages/')"),

@@ -243,6 +243,11 @@ def part_graph_cycles(spark, sf) -> DataFrame:
     return graph.import_cycles(_order_graph(spark, sf))
 
 
+def cycle_paths(spark, sf) -> DataFrame:
+    """One shortest cycle through the smallest part of each component."""
+    return graph.cycle_paths(_order_graph(spark, sf))
+
+
 PREFIXES = ("src/", "packages/core", "app/")
 
 
@@ -305,7 +310,7 @@ QUERIES = {
         test_inventory, dependency_listing, infra_flags, deployment_targets, cicd_inventory, ci_tools,
         *[_extractor(n) for n in routes.EXTRACTORS], union_routes, route_auth_split, health_check_present, phi_adjacent_routes,
         resolve_relative_path, import_edges, cross_package_imports, degree_counts, hub_files, entry_points, top_entry_points,
-        leaf_files, key_modules, rank_sources_capped, import_cycles, part_graph_cycles, slice_by_prefix, slice_edges,
+        leaf_files, key_modules, rank_sources_capped, import_cycles, part_graph_cycles, cycle_paths, slice_by_prefix, slice_edges,
         slice_by_prefix_table, slice_cycles, repo_fingerprints,
     )
 }

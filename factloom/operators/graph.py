@@ -7,6 +7,7 @@ are dealt over several tasks (``joins.lookup_join``).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from factloom.functions.joins import ROWS_PER_TASK, lookup_join
 from factloom.functions.paths import basename, extname, resolve_relative
 from factloom.functions.ranking import top_k_per_group
 
+#: edges of a repository that one task solves, after trimming
+LOCAL_EDGES = 500_000
+
 
 def resolution_stems(files: DataFrame) -> DataFrame:
     """(repo_id, stem, target): the file that an extension-less import of ``stem`` resolves to.
@@ -198,17 +202,118 @@ def trim_acyclic(edges: DataFrame) -> DataFrame:
     return edges.join(heads, ["repo_id", "src"], "left_semi").join(tails, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst")
 
 
-def import_cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def import_cycles(edges: DataFrame, max_rounds: int = 10_000, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(repo_id, path, component): every file that lies on an import cycle, with the smallest path of its strongly
-    connected component.
+    connected component."""
+    return cycles(edges, max_rounds, local_edges).select("repo_id", "path", "component")
+
+
+def cycle_paths(edges: DataFrame, max_rounds: int = 10_000, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(repo_id, component, step, path): for each component one shortest cycle through its smallest path, from that path (step 0) on;
+    the last file imports the first.  Of equally short ones, each file's predecessor is the smallest there is, from the end on."""
+    return cycles(edges, max_rounds, local_edges).where("step is not null").select("repo_id", "component", "step", "path")
+
 
-    Forward colouring: each round gives every node the smallest node known to reach it (a join on edges and a
-    combinable minimum).  Nodes that reach their own colour back inside the colour form that colour's component;
-    they leave the graph and the rest goes on.  State is one row per node, never per pair of nodes.
+def cycles(edges: DataFrame, max_rounds: int = 10_000, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(repo_id, path, component, step): the files on import cycles, and the place of those on the shown cycle (else null).
+
+    Edges that no cycle can use are trimmed.  A repository whose rest has at most ``local_edges`` edges is one bounded group and is
+    solved in one pass; larger ones are coloured in rounds over the cluster, with the same result.  More than ``max_rounds`` rounds are
+    an error, never a shorter answer.
     """
     live = cut(internal(edges).select("repo_id", "src", "dst").distinct())
     for _ in range(2):
         live = cut(trim_acyclic(live))
+    sizes = live.groupBy("repo_id").agg(F.count("*").alias("n"))
+    large = cut(sizes.where(F.col("n") > local_edges).select("repo_id"))
+    if large.isEmpty():
+        return _local_cycles(live)
+    small = _local_cycles(live.join(large, "repo_id", "left_anti"))
+    return small.unionByName(_wide_cycles(cut(live.join(large, "repo_id", "left_semi")), max_rounds))
+
+
+def _local_cycles(live: DataFrame) -> DataFrame:
+    """Components and shown cycles of graphs that fit in a task, each within its repository."""
+
+    def components(after: dict[str, list[str]]) -> list[list[str]]:
+        """Strongly connected components, by one depth-first walk with an explicit stack."""
+        index: dict[str, int] = {}
+        low: dict[str, int] = {}
+        open_nodes: list[str] = []
+        waiting: set[str] = set()
+        found = []
+        for root in after:
+            if root in index:
+                continue
+            walk = [(root, iter(after[root]))]
+            index[root] = low[root] = len(index)
+            open_nodes.append(root)
+            waiting.add(root)
+            while walk:
+                node, rest = walk[-1]
+                for other in rest:
+                    if other not in index:
+                        index[other] = low[other] = len(index)
+                        open_nodes.append(other)
+                        waiting.add(other)
+                        walk.append((other, iter(after[other])))
+                        break
+                    if other in waiting:
+                        low[node] = min(low[node], index[other])
+                else:
+                    walk.pop()
+                    if walk:
+                        low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                    if low[node] == index[node]:
+                        group = []
+                        while not group or group[-1] != node:
+                            group.append(open_nodes.pop())
+                        waiting.difference_update(group)
+                        found.append(group)
+        return found
+
+    def shown(root: str, members: set[str], after: dict[str, list[str]]) -> list[str]:
+        """The shortest way from ``root`` back to it; levels are visited in order, so the first parent is the smallest."""
+        parent, level = {}, [root]
+        while level:
+            closing = min((node for node in level if root in after[node]), default=None)
+            if closing is not None:
+                way = [closing]
+                while way[-1] != root:
+                    way.append(parent[way[-1]])
+                return way[::-1]
+            coming = []
+            for node in sorted(level):
+                for other in after[node]:
+                    if other in members and other not in parent and other != root:
+                        parent[other] = node
+                        coming.append(other)
+            level = coming
+        return []
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list[str]] = {}
+        for src, dst in zip(pdf["src"], pdf["dst"]):
+            after.setdefault(src, []).append(dst)
+            after.setdefault(dst, [])
+        rows = []
+        for nodes in components(after):
+            if len(nodes) > 1 or nodes[0] in after[nodes[0]]:
+                root = min(nodes, key=str.encode)
+                step = {path: i for i, path in enumerate(shown(root, set(nodes), after))}
+                rows += [(path, root, step.get(path)) for path in nodes]
+        out = pd.DataFrame(rows, columns=["path", "component", "step"]).astype({"step": "Int32"})
+        out.insert(0, "repo_id", pdf["repo_id"].iloc[0])
+        return out
+
+    return live.groupBy("repo_id").applyInPandas(solve, "repo_id string, path string, component string, step int")
+
+
+def _wide_cycles(live: DataFrame, max_rounds: int) -> DataFrame:
+    """Components of any size.  Forward colouring: each round gives every node the smallest node known to reach it (a join on edges, a
+    combinable minimum, and a jump to the colour of its colour, which reaches it as well).  Nodes that reach their own colour back inside
+    the colour form that colour's component; they leave the graph and the rest goes on.  State is one row per node, never per pair."""
+    start = live
     parts: list[DataFrame] = []
     for _ in range(max_rounds):
         if live.isEmpty():
@@ -231,12 +336,54 @@ def import_cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         rest = live.join(done.withColumnRenamed("path", "src"), ["repo_id", "src"], "left_anti")
         rest = rest.join(done.withColumnRenamed("path", "dst"), ["repo_id", "dst"], "left_anti")
         live = cut(trim_acyclic(cut(rest.select("repo_id", "src", "dst"))))
+    else:
+        if not live.isEmpty():
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not parts:
-        return edges.select("repo_id", F.col("src").alias("path"), F.col("src").alias("component")).limit(0)
-    out = parts[0]
+        return start.select("repo_id", F.col("src").alias("path"), F.col("src").alias("component"), F.lit(None).cast("int").alias("step")).limit(0)
+    members = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        members = members.unionByName(p)
+    steps = _wide_paths(cut(members), start, max_rounds)
+    return members.join(steps, ["repo_id", "component", "path"], "left").select("repo_id", "path", "component", "step")
+
+
+def _wide_paths(members: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(repo_id, component, path, step) of the shown cycles: levels from the smallest member on, each node with its smallest parent, then
+    back along the parents.  As many rounds as the longest shown cycle has files."""
+    key = ["repo_id", "component"]
+    inner = cut(
+        edges.join(members.withColumnRenamed("path", "src"), ["repo_id", "src"])
+        .join(members.select("repo_id", F.col("path").alias("dst"), F.col("component").alias("_other")), ["repo_id", "dst"])
+        .where("component = _other").select(*key, "src", "dst")
+    )
+    level = cut(members.where("path = component").select(*key, "path"))
+    seen = cut(level.withColumn("parent", F.lit(None).cast("string")))
+    ends: list[DataFrame] = []
+    for depth in range(max_rounds):
+        if level.isEmpty():
+            break
+        out = cut(inner.join(level.withColumnRenamed("path", "src"), [*key, "src"]))
+        closed = cut(out.where("dst = component").groupBy(*key).agg(F.min("src").alias("path")).withColumn("step", F.lit(depth)))
+        ends.append(closed)
+        coming = out.join(closed.select(*key), key, "left_anti").groupBy(*key, F.col("dst").alias("path")).agg(F.min("src").alias("parent"))
+        fresh = cut(coming.join(seen.select(*key, "path"), [*key, "path"], "left_anti").select(*key, "path", "parent"))
+        seen = cut(seen.unionByName(fresh))
+        level = fresh.select(*key, "path")
+    else:
+        if not level.isEmpty():
+            raise RuntimeError(f"cycles are longer than {max_rounds} files")
+    at = ends[0]
+    for e in ends[1:]:
+        at = at.unionByName(e)
+    at = cut(at)
+    way = at
+    for _ in range(len(ends)):
+        at = cut(at.join(seen, [*key, "path"]).where("parent is not null").select(*key, F.col("parent").alias("path"), (F.col("step") - 1).alias("step")))
+        if at.isEmpty():
+            break
+        way = cut(way.unionByName(at))
+    return way
 
 
 def _smallest_reaching(color: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
@@ -245,7 +392,10 @@ def _smallest_reaching(color: DataFrame, edges: DataFrame, max_rounds: int) -> D
         pushed = edges.join(color.withColumnRenamed("path", "src"), ["repo_id", "src"]).select(
             "repo_id", F.col("dst").alias("path"), "color", F.lit(None).cast("string").alias("old")
         )
-        merged = color.select("repo_id", "path", "color", F.col("color").alias("old")).unionByName(pushed)
+        # whatever reaches a node's colour reaches the node
+        further = color.select("repo_id", F.col("path").alias("color"), F.col("color").alias("far"))
+        jumped = color.join(further, ["repo_id", "color"]).select("repo_id", "path", F.col("far").alias("color"), F.lit(None).cast("string").alias("old"))
+        merged = color.select("repo_id", "path", "color", F.col("color").alias("old")).unionByName(pushed).unionByName(jumped)
         step = cut(merged.groupBy("repo_id", "path").agg(F.min("color").alias("color"), F.min("old").alias("old")))
         color = step.select("repo_id", "path", "color")
         if step.filter("color < old").isEmpty():

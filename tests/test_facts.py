@@ -193,3 +193,67 @@ def test_plans(spark):
     out = scrub_and_attest(texts, "id", "text", "me", F.lit("r"), F.lit("c"), F.lit("2024"))
     assert out.payloads.count() == 2 and out.entries.count() == 2 and out.uncertain.count() == 1
     assert out.counts.orderBy("id").first().phi_count == 2
+
+
+EDGES = "repo_id string, src string, dst string, is_external boolean"
+
+
+def _shown_cycle(root, pairs):
+    """Shortest way from root back to it, level by level, smallest parents."""
+    parent, level = {}, [root]
+    while True:
+        closing = [n for n in level if (n, root) in pairs]
+        if closing:
+            way = [min(closing)]
+            while way[-1] != root:
+                way.append(parent[way[-1]])
+            return way[::-1]
+        coming = {}
+        for a, b in sorted(pairs):
+            if a in level and b != root and b not in parent:
+                coming.setdefault(b, a)
+        parent |= coming
+        level = list(coming)
+
+
+@pytest.mark.parametrize("local_edges", [10**6, 0])
+def test_shown_cycles_are_brute_force(spark, local_edges):
+    rnd = random.Random(7)
+    rows, want = [], {}
+    for repo in range(6 if local_edges else 2):
+        pairs = {(f"n{rnd.randrange(12)}", f"n{rnd.randrange(12)}") for _ in range(18)}
+        rows += [(f"r{repo}", a, b, False) for a, b in pairs]
+        reach = set(pairs)
+        while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+            reach |= more
+        for a in {a for a, b in reach if a == b}:
+            own = {b for x, b in reach if x == a and (b, a) in reach}
+            if a == min(own):
+                want[f"r{repo}", a] = _shown_cycle(a, {(x, y) for x, y in pairs if x in own and y in own})
+    got = {}
+    for r in graph.cycle_paths(spark.createDataFrame(rows, EDGES), local_edges=local_edges).orderBy("step").collect():
+        got.setdefault((r.repo_id, r.component), []).append(r.path)
+        assert r.step == len(got[r.repo_id, r.component]) - 1
+    assert got == want
+
+
+def test_a_ring_of_a_thousand_files_takes_few_jobs(spark):
+    names = [f"f{(k * 7919) % 1000:04d}" for k in range(1000)]
+    rows = [("r", a, b, False) for a, b in zip(names, names[1:] + names[:1])] + [("r", "x", names[5], False), ("other", "a", "b", False)]
+    edges = spark.createDataFrame(rows, EDGES)
+    spark.sparkContext.setJobGroup("ring", "ring")
+    try:
+        way = graph.cycle_paths(edges).orderBy("step").collect()
+        jobs_run = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ring"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.path for r in way] == names[names.index("f0000"):] + names[: names.index("f0000")]
+    assert 0 < jobs_run < 40
+
+
+def test_too_few_rounds_are_an_error(spark):
+    edges = spark.createDataFrame([("r", "a", "b", False), ("r", "b", "a", False)], EDGES)
+    assert graph.import_cycles(edges, local_edges=0).count() == 2
+    with pytest.raises(RuntimeError):
+        graph.import_cycles(edges, max_rounds=0, local_edges=0)
+    assert graph.import_cycles(edges.limit(0)).count() == 0
