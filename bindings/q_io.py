@@ -63,13 +63,13 @@ def _store(spark, sf) -> str:
     """A store with a first version of every document and a later one (one more use) of those of even parts, plus garbage."""
     path = scratch(spark, "patterns")
     docs = _documents(spark, sf)
-    stores.write_pattern_versions(docs, path)
+    stores.upsert_patterns(docs, path)
     later = docs.filter(F.substring("pattern_id", 2, 20).cast("long") % 2 == 0)
     newer = later.withColumn("updated_at", F.timestamp_add("DAY", F.lit(1), "updated_at")).withColumn(
         "fitness", F.col("fitness").withField("use_count", F.col("fitness.use_count") + 1)
     )
-    stores.write_pattern_versions(newer, path)
-    rel.table(spark, sf, "part").select(F.concat(F.lit("{broken "), F.col("p_partkey").cast("string")).alias("value")).write.mode("append").text(path)
+    stores.upsert_patterns(newer, path)
+    rel.table(spark, sf, "part").select(F.concat(F.lit("{broken "), F.col("p_partkey").cast("string")).alias("value")).write.mode("append").text(stores.store_folders(spark, path)[0])
     return path
 
 
