@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.checkpoints import cut, discard, stored
@@ -105,10 +105,10 @@ def _described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 group = mix64(sums_by_text(mix64(head_tokens + np.uint64(29)), heads).astype(np.uint64) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 bits = _bitmaps(tokens, n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(heads))).astype(np.int32)), pa.array(head_tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(first), pa.array(second), pa.array(group), pa.array([b.tobytes() for b in bits], pa.binary()), lists],
-                                                 ["doc_id", "n", "s1", "s2", "gid", "bits", "head"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(first), pa.array(second), pa.array(group), pa.array([b.tobytes() for b in bits], pa.binary()), lists],
+                                                 ["doc_id", "text_hash", "n", "s1", "s2", "gid", "bits", "head"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, gid long, bits binary, head array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, gid long, bits binary, head array<long>")
 
 
 def _within_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -190,15 +190,15 @@ def _with_components(rows: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles (distinct), component_id (smallest doc_id reachable by links of
+    """One row per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles (distinct), component_id (smallest doc_id reachable by links of
     Jaccard similarity 0.75 or more) and representative (smallest doc_id with an equal set).
 
     Null, empty and wordless texts have no shingle and are linked with nothing.  Rows with equal ids and different texts are
     documents of their own; equal texts are one node.  A row without an id keeps a null component.  An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), _text_hash("text").alias("text_hash"))
     wide = stored(_described(docs, _bucket_levels(docs)), "sets")
-    narrow = stored(wide.select("doc_id", "n", "s1", "s2"), "signatures")
+    narrow = stored(wide.select("doc_id", "text_hash", "n", "s1", "s2"), "signatures")
     linked = wide.where("n > 0 and doc_id is not null")
     nodes = stored(
         linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()),
@@ -245,13 +245,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = nodes.join(component, "node", "left").select("s1", "s2", "rep", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = named.join(smallest, "component").select("s1", "s2", "rep", "component_id")
-    lone = narrow.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("representative"))
+    lone = narrow.where("n = 0 or doc_id is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("representative"))
     joined = narrow.where("n > 0 and doc_id is not null").join(classes, ["s1", "s2"])
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("representative")).unionByName(lone)
+    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("representative")).unionByName(lone)
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that with the smallest id, with its columns as they were; rows without shingles or id
-    all stay.  Of several rows with the id that stays, all stay that carry it."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays, with its columns as they were: that with the smallest id, then the smallest hash of its text.
+    A row goes by its id and its text, so a different text under the id of a removed copy stays.  Rows without shingles or id all stay.
+    """
+    found = jaccard_components(docs).where("n_shingles > 0 and doc_id is not null")
+    rows = stored(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"), F.first("component_id").alias("component_id")), "rows")
+    kept = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    judged = rows.join(kept, "component_id").withColumn("stays", F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.text_hash") == F.col("text_hash")))
+    # only rows that go or come several times are named
+    named = judged.where("not stays or copies > 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "stays")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), _text_hash("text").alias("own_hash"))
+    met = packed.join(named, (F.col("own_id") == F.col("id")) & (F.col("own_hash") == F.col("hash")), "left")
+    single = met.where("stays is null").select("row")
+    # equal rows: those with other columns apart are told by nothing, so any one of them stays
+    repeated = met.where("stays").groupBy("own_id", "own_hash").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")

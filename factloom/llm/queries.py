@@ -51,7 +51,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents")).drop("representative")
+    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents")).drop("representative", "text_hash")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
