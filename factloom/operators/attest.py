@@ -168,6 +168,8 @@ def linked_chain(entries: DataFrame, heads: DataFrame | None = None, block: int
     (payload, place) have no defined order among each other; the chain holds in any case.  A null chain_id is a chain like others.
     """
     spark = entries.sparkSession
+    # dealing by range samples its input first; stored, so that texts are scrubbed once
+    entries = stored(entries, "unlinked")
     order = [F.asc_nulls_first("payload"), F.asc("place"), F.asc("entry_id")]
     ranged = entries.repartitionByRange("chain_id", "payload", "place", "entry_id")
     # the number of a range grows along the order; stored, so that it stays what it was
