@@ -21,11 +21,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return out.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def top_k_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
-    """Top k rows per group with their rank.  ``row_number() <= k`` lets Spark drop the rest of each
+def top_k_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int | None, name: str = "rank") -> DataFrame:
+    """Top k rows per group with their rank, all rows with ``k`` None.  ``row_number() <= k`` lets Spark drop the rest of each
     group before the shuffle (window group limit)."""
     w = Window.partitionBy(*groups).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    ranked = df.withColumn(name, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(name) <= k)
 
 
 def running_sums(

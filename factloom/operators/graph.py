@@ -135,8 +135,8 @@ def leaf_files(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.select("repo_id", "path").join(importing, ["repo_id", "path"], "left_anti")
 
 
-def key_modules(hubs: DataFrame, cat: DataFrame, symbols: DataFrame, top: int = 15) -> DataFrame:
-    """The first ``top`` hubs of a repository (by path) with their first three exports."""
+def key_modules(hubs: DataFrame, cat: DataFrame, symbols: DataFrame, top: int | None = 15) -> DataFrame:
+    """The first ``top`` hubs of a repository (by path; None: all) with their first three exports."""
     kept = top_k_per_group(hubs, ["repo_id"], [F.asc("path")], top, "module_rank")
     types = cat.select("repo_id", "path", "extraction_type")
     exports = symbols.select("repo_id", "path", F.array_join(F.slice("exports", 1, 3), ", ").alias("exports"))
@@ -162,7 +162,8 @@ def entry_point_type(path: Column) -> Column:
     )
 
 
-def top_entry_points(entries: DataFrame, top: int = 10) -> DataFrame:
+def top_entry_points(entries: DataFrame, top: int | None = 10) -> DataFrame:
+    """The first ``top`` entry points of a repository by path (None: all), with their role."""
     ranked = top_k_per_group(entries, ["repo_id"], [F.asc("path")], top, "entry_rank")
     return ranked.withColumn("entry_type", entry_point_type(F.col("path")))
 

@@ -384,7 +384,7 @@ def merge_gaps(stored: DataFrame, found: DataFrame, use_count: DataFrame) -> Dat
     return both.select("fingerprint", "dimension", "gap", F.coalesce("severity", "new_severity").alias("severity"), freq.alias("frequency"))
 
 
-def top_gaps(gaps: DataFrame, k: int = 3) -> DataFrame:
+def top_gaps(gaps: DataFrame, k: int | None = 3) -> DataFrame:
     return top_k_per_group(gaps, ["fingerprint"], [F.desc("frequency"), F.asc("dimension"), F.asc("gap")], k, "gap_rank")
 
 

@@ -335,8 +335,8 @@ def pii_candidates(files: DataFrame, line_signals=signals.LINE_SIGNALS) -> DataF
     return out.select("repo_id", "path", (F.col("island") + 1).alias("island"), "c.*")
 
 
-def phi_zones(candidates: DataFrame, top: int = 50) -> DataFrame:
-    """Per file: span, number of candidates, first three hints; the busiest ``top`` files of a repository."""
+def phi_zones(candidates: DataFrame, top: int | None = 50) -> DataFrame:
+    """Per file: span, number of candidates, first three hints; the busiest ``top`` files of a repository (None: all)."""
     from factloom.functions.ranking import top_k_per_group
 
     # hints are a small dictionary, so one first-position per hint bounds what meets per file

@@ -257,3 +257,9 @@ def test_too_few_rounds_are_an_error(spark):
     with pytest.raises(RuntimeError):
         graph.import_cycles(edges, max_rounds=0, local_edges=0)
     assert graph.import_cycles(edges.limit(0)).count() == 0
+
+
+def test_top_k_without_a_limit_gives_all(spark):
+    entries = spark.createDataFrame([("r", f"f{i:02d}.ts") for i in range(30)], "repo_id string, path string")
+    assert graph.top_entry_points(entries).count() == 10
+    assert [r.entry_rank for r in graph.top_entry_points(entries, None).orderBy("path").collect()] == list(range(1, 31))
