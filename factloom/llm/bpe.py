@@ -12,6 +12,7 @@ from array import array
 from collections.abc import Iterable
 from types import ModuleType
 
+import ahocorasick
 import numpy as np
 import regex
 from tokenizers import Tokenizer
@@ -101,7 +102,8 @@ class PrefixCounts:
 
     Within a pre-token, the last token of each prefix follows by dynamic programming: it is the one token that ends there and may
     stand after the last token of the prefix before it (two tokens may stand together if they are the encoding of their joined
-    text).  The count of a prefix is one more than that of the prefix before its last token.
+    text).  The count of a prefix is one more than that of the prefix before its last token.  An automaton over the vocabulary names
+    the tokens that end at each place; whether two tokens may stand together follows from the ranks of the merges.
     """
 
     #: fixed values: the word pattern of byte-level BPE files with ``use_regex``
@@ -116,57 +118,80 @@ class PrefixCounts:
             raise ValueError("prefix counts need a byte-level BPE file without normalizer, with the usual word pattern")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.vocabulary = frozenset(spec["model"]["vocab"])
-        self.longest = max(map(len, self.vocabulary))
+        self._learn(spec["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]])
         self.letters = byte_letters()
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(self.PATTERN)
         self.common = regex.compile(f"[{_COMMON}]*+")
         self.odd_gap = regex.compile(r"\s\s")
-        self.alone = Remembered(lambda t: [x.value for x in self.model.tokenize(t)] == [t])
-        self.together = Remembered(lambda pair: [x.value for x in self.model.tokenize(pair[0] + pair[1])] == list(pair), 150_000)
-        self.states = Remembered(self._state)
         self.words = Remembered(self._word, 150_000)
         self.first = Remembered(self._piece)
         self.spaced = Remembered(lambda piece: self._piece(" " + piece))
 
-    def _state(self, s: str) -> tuple[int, str, bytes]:
-        """(tokens, last token, tokens of each prefix) of a beginning of at most 40 bytes; many words share beginnings."""
-        vocabulary = self.vocabulary
-        n = len(s)
-        shorter = self.states[s[:-1]][2] if n > 1 else b""
-        for size in range(n, 0, -1):
-            token = s[n - size :]
-            if token in vocabulary:
-                if size == n:
-                    if self.alone[token]:
-                        return 1, token, shorter + b"\x01"
-                else:
-                    before = self.states[s[: n - size]]
-                    if self.together[before[1], token]:
-                        return before[0] + 1, token, shorter + bytes((before[0] + 1,))
-        raise ValueError(f"no token ends {s!r}")
-
-    def _long_word(self, s: str) -> list[int]:
-        """The same in two lists, for runs whose beginnings are not worth keeping."""
-        counts, last = [0], [""]
-        for i in range(1, len(s) + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                token = s[i - size : i]
-                if token in self.vocabulary and (self.alone[token] if size == i else self.together[last[i - size], token]):
-                    counts.append(counts[i - size] + 1)
+    def _learn(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> None:
+        """Tables of the merges by token id: the rank that makes a token (-1 for a letter), its halves, and the rank that joins a pair."""
+        most = max(vocabulary.values()) + 1
+        self.size, self.rank, self.first_half, self.second_half = [0] * most, [-1] * most, [0] * most, [0] * most
+        self.joins: dict[int, int] = {}
+        for rank, (a, b) in enumerate(merges):
+            left, right, made = vocabulary[a], vocabulary[b], vocabulary[a + b]
+            if self.rank[made] >= 0 or len(a + b) < 2 or max(self.rank[left], self.rank[right]) >= rank or (len(a) > 1 and self.rank[left] < 0) or (len(b) > 1 and self.rank[right] < 0):
+                raise ValueError("prefix counts need merges that make every token once, from tokens made before")
+            self.rank[made], self.first_half[made], self.second_half[made] = rank, left, right
+            self.joins[left << 32 | right] = rank
+        self.tokens = ahocorasick.Automaton()
+        self.alone = bytearray(most)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
+            if len(token) == 1 or self.rank[i] >= 0:
+                self.tokens.add_word(token, i)
+        self.tokens.make_automaton()
+        for i in sorted(vocabulary.values(), key=self.rank.__getitem__):
+            left, right, rank = self.first_half[i], self.second_half[i], self.rank[i]
+            self.alone[i] = self.size[i] == 1 or (rank >= 0 and self.alone[left] and self.alone[right] and self._apart(left, right, rank))
+        self.together = Remembered(lambda pair: self._apart(pair >> 32, pair & 0xFFFFFFFF, len(merges)))
+
+    def _apart(self, a: int, b: int, below: int) -> bool:
+        """Whether no merge of a rank under ``below`` joins the end of token ``a`` with the beginning of token ``b`` before both are
+        made.  The merges are undone from the last one back.  Merges of one rank go from left to right, so one on the left comes
+        before an equal one across the border, and one on the right after it."""
+        rank, joins = self.rank, self.joins
+        while joins.get(a << 32 | b, below) >= below:
+            if rank[a] > rank[b]:
+                a, below = self.second_half[a], rank[a]
+            elif rank[b] >= 0:
+                b, below = self.first_half[b], rank[b] + 1
+            else:
+                return True
+        return False
+
+    def _prefixes(self, s: str) -> list[int]:
+        """Tokens of every prefix of ``s``, given in the letters of the vocabulary."""
+        size, alone, together = self.size, self.alone, self.together
+        counts: list[int] = []
+        last: list[int] = []
+        for end, token in self.tokens.iter(s):
+            if end < len(counts):
+                continue
+            before = end - size[token]
+            if before < 0:
+                if alone[token]:
+                    counts.append(1)
                     last.append(token)
-                    break
-        return counts[1:]
-
-    def _word(self, word: str) -> list[int] | bytes:
+            elif together[last[before] << 32 | token]:
+                counts.append(counts[before] + 1)
+                last.append(token)
+        if len(counts) != len(s):
+            raise ValueError(f"not all of {s!r} can be written in tokens")
+        return counts
+
+    def _word(self, word: str) -> list[int]:
         """Counts of the prefixes of one pre-token."""
-        if word.isascii() and len(word) <= 40 and word.isprintable():
-            return self.states[word.replace(" ", self.letters[32])][2]
-        raw = word.encode()
-        s = "".join([self.letters[b] for b in raw])
-        counts = self._long_word(s) if len(s) > 40 else self.states[s][2]
+        if word.isascii() and word.isprintable():
+            return self._prefixes(word.replace(" ", self.letters[32]))
+        letters, raw = self.letters, word.encode()
+        counts = self._prefixes("".join([letters[b] for b in raw]))
         if len(raw) == len(word):
             return counts
         ends, e = [], -1
@@ -202,6 +227,8 @@ class PrefixCounts:
         return out
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):
+            return array("I", self._word(piece)).tobytes()
         words = self.pattern.findall(piece)
         if "'" in piece or len(piece.split()) != 1 or piece[:2].isspace() or piece[-1].isspace():
             return array("I", self._joined(words)).tobytes()

@@ -152,6 +152,8 @@ def test_prefix_counts_and_ids_equal_the_library(docs, none):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((r.text or "").encode()), n > 512)
         steps = bytes(r.token_steps)
         assert token_counts.tokens_of_prefix(steps, len(r.text or "")) == n
+    for r in token_counts.prefix_token_counts(docs, path, limit=10).collect():
+        assert r.chars_in_limit == token_counts.longest_prefix(bytes(r.token_steps), 10)
     assert token_counts.prefix_token_counts(none, path).count() == 0
     short = token_counts.truncate_to_budget(token_counts.prefix_token_counts(docs, path), 10).collect()
     assert all(len(library.encode(r.truncated, add_special_tokens=False).ids) <= 10 for r in short)
@@ -377,3 +379,28 @@ def test_pipeline_stages_and_registration(spark, sf):
     assert ids and ids < documents
     leaked = {r.doc_id for r in __spark_entry__.queries()["op9_decontamination"](spark, sf).collect()}
     assert not ids & leaked
+
+
+def test_merge_ranks_say_which_tokens_stand_together():
+    import random
+
+    import public_tokenizers
+    from factloom.llm.bpe import PrefixCounts
+
+    counter = PrefixCounts(public_tokenizers.path("byte_bpe_50k.json"))
+    named = {i: t for t, i in counter.tokenizer.get_vocab().items()}
+    plain = [i for i in named if counter.size[i] == 1 or counter.rank[i] >= 0]
+    draw = random.Random(3)
+    near = {}
+    for i in plain:
+        near.setdefault(named[i][0], []).append(i)
+    for _ in range(20_000):
+        a = draw.choice(plain)
+        # half of the pairs come from the halves of a token, as these are the ones that merges join
+        b = draw.choice(plain) if draw.random() < 0.5 else draw.choice(near[named[counter.second_half[a]][0]])
+        alone = [t.id for t in counter.model.tokenize(named[a])] == [a]
+        assert bool(counter.alone[a]) == alone
+        if alone and counter.alone[b]:
+            assert counter.together[a << 32 | b] == ([t.id for t in counter.model.tokenize(named[a] + named[b])] == [a, b]), (named[a], named[b])
+    for run in ("a" * 300, "ab" * 200, "0" * 77, "\u00e9" * 90, "-" * 513):
+        assert list(counter.counts(run)) == [len(counter.tokenizer.encode(run[:k]).ids) for k in range(1, len(run) + 1)]
