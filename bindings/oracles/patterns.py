@@ -223,8 +223,9 @@ FROM (SELECT fingerprint, max(use_count) AS use_count, arg_max(status, use_count
         PATTERNS, QUERIES_,
         select=f"""SELECT fingerprint, coalesce(pattern_id, left(sha256(fingerprint), 12)) AS pattern_id, CASE WHEN status = 'active' OR pu >= 3 THEN 'active' ELSE 'probation' END AS status, n AS use_count, pu AS probation_uses, sc AS success_count,
   {r4('sv')} AS avg_savings, {r4('sc::DOUBLE / n * 0.6 + sv * 0.3 + 0.1')} AS fitness_score, fitness_score AS history_score, use_count AS history_use_count
-FROM (SELECT *, coalesce(use_count, 0) + 1 AS n, coalesce(probation_uses, 0) + 1 AS pu, coalesce(success_count, 0) + 1 AS sc, CASE WHEN use_count IS NULL THEN 0.0::DOUBLE WHEN use_count > 0 THEN (avg_savings * use_count + least(0.8, avg_savings * 1.05)) / (use_count + 1) ELSE least(0.8, avg_savings * 1.05) END AS sv
-  FROM (SELECT DISTINCT fingerprint FROM qs) LEFT JOIN (SELECT * FROM pats QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY store_ord) = 1) USING (fingerprint))""",
+FROM (SELECT *, coalesce(use_count, 0) + more AS n, coalesce(probation_uses, 0) + more AS pu, coalesce(success_count, 0) + more AS sc,
+    list_reduce(list_prepend(coalesce(avg_savings, 0.0)::DOUBLE, range(1, more + 1)::DOUBLE[]), lambda a, i: (a * (coalesce(use_count, 0) + i - 1) + least(0.8, a * 1.05)) / (coalesce(use_count, 0) + i)) AS sv
+  FROM (SELECT fingerprint, count(*) AS more FROM qs GROUP BY fingerprint) LEFT JOIN (SELECT * FROM pats QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY store_ord) = 1) USING (fingerprint))""",
     ),
     "stack_summary": """SELECT 'repo-' || c_custkey AS repo_id, 'server: starts [source-file] | cli: starts [source-file]' AS entry_points,
   CASE WHEN c_custkey = 0 THEN 'No layer structure identified' ELSE 'api: handles api at [location] → data: handles data at [location]' END AS layers,

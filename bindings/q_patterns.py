@@ -297,7 +297,7 @@ def top_gaps(spark, sf) -> DataFrame:
 
 
 def learn_pattern(spark, sf) -> DataFrame:
-    """Every query fingerprint learns from one use; existing state is the best stored pattern of the fingerprint."""
+    """Every query is a use of its fingerprint; existing state is the best stored pattern of the fingerprint."""
     from factloom.functions.ranking import first_per_key
 
     stored = first_per_key(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import signals
+from factloom.functions.arrays import let
 from factloom.functions.folds import ordered_fold, round4
 from factloom.functions.numbers import round_half_up
 from factloom.functions.ranking import running_sums, top_k_per_group
@@ -388,20 +389,55 @@ def top_gaps(gaps: DataFrame, k: int | None = 3) -> DataFrame:
     return top_k_per_group(gaps, ["fingerprint"], [F.desc("frequency"), F.asc("dimension"), F.asc("gap")], k, "gap_rank")
 
 
+#: savings grow by this factor a use, up to this most; this many uses are counted step by step
+GROWTH, MOST_SAVINGS, STEPS = 1.05, 0.8, 32
+
+
+def savings_after(average: Column, uses: Column, more: Column) -> Column:
+    """Average savings after ``more`` further uses of a pattern with ``uses`` uses, each with min(0.8, 1.05 average), not rounded.
+
+    While the average a is under 0.8 / 1.05, a use multiplies it by (u + 1.05) / (u + 1), and the product over many uses is a quotient
+    of gamma functions; beyond, every use adds 0.8 and the average is linear in what is added.  The first 32 uses are counted step by
+    step, which makes the two terms of the quotient's expansion exact to nine digits.  Cost does not depend on ``more``.
+    """
+    few = F.least(more, F.lit(STEPS)).cast("int")
+
+    def use(a: Column, i: Column) -> Column:
+        return (a * (uses + i - 1) + F.least(F.lit(MOST_SAVINGS), a * GROWTH)) / (uses + i)
+
+    stepped = F.aggregate(F.when(few > 0, F.sequence(F.lit(1), few)).otherwise(F.expr("cast(array() as array<int>)")), average.cast("double"), use)
+    g = GROWTH - 1
+
+    def quotient(w: Column) -> Column:
+        """gamma(z + g) / gamma(z) for w = z + (g - 1) / 2."""
+        return F.pow(w, F.lit(g)) * (1 - g * (g - 1) * (g + 1) / 24 / (w * w))
+
+    def rest(a: Column) -> Column:
+        u, left = (uses + few).cast("double"), (more - few).cast("double")
+        w = u + 1 + (g - 1) / 2
+        until = F.greatest(F.lit(0.0), F.ceil(F.least(left, w * F.pow(MOST_SAVINGS / GROWTH / a, F.lit(1 / g)) - w)).cast("double"))
+        growing = F.when(a > 0, F.least(left, until)).otherwise(left)
+        grown = a * quotient(w + growing) / quotient(w)
+        return F.when(left > 0, (grown * (u + growing) + MOST_SAVINGS * (left - growing)) / (u + left)).otherwise(a)
+
+    return let(stepped, rest)
+
+
 def learn_pattern(uses: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
-    """New version of the pattern of every fingerprint in ``uses`` (one successful use each).
+    """New version of the pattern of every fingerprint in ``uses``: one row per successful use, several of a fingerprint count as so many.
 
-    Savings follow min(0.8, previous * 1.05) averaged over the uses; status turns active at three probation uses.
+    Savings follow min(0.8, previous * 1.05) averaged over the uses (:func:`savings_after`), rounded once; n uses at once equal n runs
+    with one use each but for the rounding of each run.  Status turns active at three probation uses.  The history entry is the state
+    before the run.
     """
-    j = uses.select("fingerprint").distinct().join(existing, "fingerprint", "left")
-    had = F.col("use_count").isNotNull()
+    j = uses.groupBy("fingerprint").agg(F.count("*").alias("_more")).join(existing, "fingerprint", "left")
+    had, more = F.col("use_count").isNotNull(), F.col("_more")
     prev_uses = F.coalesce("use_count", F.lit(0))
-    prev_savings = F.coalesce("avg_savings", F.lit(0.0))
-    use_count = prev_uses + 1
-    successes = F.coalesce("success_count", F.lit(0)) + 1
-    probation = F.coalesce("probation_uses", F.lit(0)) + 1
-    gain = F.when(had, F.least(F.lit(0.8), prev_savings * 1.05)).otherwise(F.lit(0.0))
-    savings = F.when(prev_uses > 0, (prev_savings * prev_uses + gain) / use_count).otherwise(gain)
+    use_count = prev_uses + more
+    successes = F.coalesce("success_count", F.lit(0)) + more
+    probation = F.coalesce("probation_uses", F.lit(0)) + more
+    j = j.withColumn("_savings", savings_after(F.coalesce("avg_savings", F.lit(0.0)), prev_uses, more))
+    savings = F.col("_savings")
     status = F.when(F.col("status") == "active", F.lit("active")).when(probation >= 3, F.lit("active")).otherwise(F.lit("probation"))
     return j.select(
         "fingerprint", F.coalesce("pattern_id", F.left(F.sha2("fingerprint", 256), F.lit(12))).alias("pattern_id"), status.alias("status"),

@@ -150,3 +150,56 @@ def test_embeddings(spark):
     assert padded == pytest.approx([0.6, 0.8, 0, 0])
     assert vec.select(embed.normalize_dim(F.col("v"), 1)).first()[0] == pytest.approx([1.0])
     assert vec.select(embed.normalize_dim(F.col("v"), 2)).first()[0] == [3.0, 4.0]
+
+
+def test_n_uses_equal_n_single_uses(spark):
+    def plain(average, uses, more):
+        for u in range(uses, uses + more):
+            average = (average * u + min(0.8, average * 1.05)) / (u + 1)
+        return average
+
+    cases = [(a, u, n) for a in (0.0, 0.001, 0.3, 0.7, 0.7618, 0.7620, 0.8, 0.95) for u in (0, 1, 7, 500) for n in (1, 2, 31, 32, 33, 100, 20_000)]
+    rows = spark.createDataFrame(cases, "a double, u long, n long").coalesce(1).select("*", patterns.savings_after(F.col("a"), F.col("u"), F.col("n")).alias("got")).collect()
+    for r in rows:
+        assert r.got == pytest.approx(plain(r.a, r.u, r.n), abs=2e-8), r
+    # the number of uses costs nothing, and the average stays under its limit
+    assert 0.79 < spark.range(1).select(patterns.savings_after(F.lit(0.4), F.lit(3), F.lit(10**18))).first()[0] <= 0.8
+
+    uses = spark.createDataFrame([("new",)] * 3 + [("old",)] * 4, "fingerprint string")
+    old = spark.createDataFrame([("old", "p", "probation", 2, 1, 1, 0.5, 0.55)], "fingerprint string, pattern_id string, status string, use_count long, probation_uses long, success_count long, avg_savings double, fitness_score double")
+    at_once = {r.fingerprint: r for r in patterns.learn_pattern(uses, old, F.lit("2024-01-01")).collect()}
+    assert (at_once["new"].use_count, at_once["new"].status, at_once["new"].history_score) == (3, "active", None)
+    state = old
+    for _ in range(4):
+        one = patterns.learn_pattern(uses.where("fingerprint = 'old'").limit(1), state, F.lit("2024-01-01"))
+        state = spark.createDataFrame(one.select(*old.columns).collect(), old.schema)
+    single = state.first()
+    assert single.avg_savings == pytest.approx(at_once["old"].avg_savings, abs=4e-4) and single.use_count == at_once["old"].use_count == 6
+    assert (single.status, single.success_count) == (at_once["old"].status, at_once["old"].success_count)
+
+
+def test_learned_documents(spark):
+    from factloom.operators import learning
+
+    uses = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "fingerprint string")
+    existing = spark.createDataFrame(
+        [("a", "pa", "probation", 2, 2, 2, 0.1, 0.73, "2023-01-01", [("2022-12-31", 0.7, 1)], [("Security", "No rate limit", "P1", 0.5), ("Testability", "No tests", "P2", 1.0)])],
+        "fingerprint string, pattern_id string, status string, use_count long, probation_uses long, success_count long, avg_savings double, fitness_score double, created_at string, "
+        "history array<struct<date:string,score:double,use_count:long>>, gaps array<struct<dimension:string,gap:string,severity:string,frequency:double>>")
+    found = spark.createDataFrame(
+        [("a", "Security", "No rate limit", "P0", 3), ("a", "Security", "No rate limit", "P0", 4), ("a", "Security", "No rate limit", "P3", 4), ("a", "Security", None, "P0", 4),
+         ("a", "Security", "No audit", "P2", 4), ("b", "Security", "Mail root@example.com leaks", "P0", 1), ("x", "Security", "No use", "P0", 1)],
+        "fingerprint string, dimension string, description string, severity string, use_no int")
+    stack = spark.createDataFrame([("a", "server", "api", None, "PostgreSQL", None, None)], "fingerprint string, " + ", ".join(f"{c} string" for c in learning.STACK))
+    got = {r.fingerprint: r for r in learning.learned_documents(uses, existing, found, stack, F.lit("2024-05-01 10:00:00").cast("timestamp_ntz")).collect()}
+    assert set(got) == {"a", "b", "c"}
+    a = got["a"]
+    f = (0.5 * 2 + 1) / 3
+    f = (f * 3 + 1) / 4
+    assert [tuple(g) for g in a.common_gaps] == [("Security", "No audit", "P2", 0.25), ("Security", "No rate limit", "P1", round(f, 4)), ("Testability", "No tests", "P2", 1.0)]
+    assert [tuple(h) for h in a.fitness.history] == [("2022-12-31", 0.7, 1), ("2024-05-01", 0.73, 2)]
+    assert (a.fitness.use_count, a.status, a.stack_patterns.db_pattern, a.rejected) == (4, "active", "PostgreSQL", None)
+    assert got["b"].rejected.startswith("pii ") and got["b"].fitness.history == []
+    assert got["c"].common_gaps == [] and got["c"].rejected is None and got["c"].stack_patterns is None
+    empty = learning.learned_documents(uses.limit(0), existing, found, stack, F.lit("2024-05-01 10:00:00").cast("timestamp_ntz"))
+    assert empty.count() == 0
