@@ -226,6 +226,20 @@ FROM (SELECT fingerprint, max(use_count) AS use_count, arg_max(status, use_count
 FROM (SELECT *, coalesce(use_count, 0) + more AS n, coalesce(probation_uses, 0) + more AS pu, coalesce(success_count, 0) + more AS sc,
     list_reduce(list_prepend(coalesce(avg_savings, 0.0)::DOUBLE, range(1, more + 1)::DOUBLE[]), lambda a, i: (a * (coalesce(use_count, 0) + i - 1) + least(0.8, a * 1.05)) / (coalesce(use_count, 0) + i)) AS sv
   FROM (SELECT fingerprint, count(*) AS more FROM qs GROUP BY fingerprint) LEFT JOIN (SELECT * FROM pats QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY store_ord) = 1) USING (fingerprint))""",
+    ),
+    "learned_document": with_(
+        SIGHTINGS,
+        ("had", "SELECT 'u' || c_custkey AS fingerprint, c_custkey % 9 + 1 AS u, (c_custkey % 97) / 97.0::DOUBLE AS a, (c_custkey % 40) / 40.0::DOUBLE AS f FROM customer WHERE c_custkey % 2 = 0"),
+        ("learned", """SELECT *, list_reduce(list_prepend(coalesce(a, 0.0)::DOUBLE, range(1, more + 1)::DOUBLE[]), lambda x, i: (x * (coalesce(u, 0) + i - 1) + least(0.8, x * 1.05)) / (coalesce(u, 0) + i)) AS sv, coalesce(u, 0) + more AS n
+  FROM (SELECT 'u' || user_id AS fingerprint, count(*) AS more FROM events GROUP BY ALL) LEFT JOIN had USING (fingerprint)"""),
+        ("kept", "SELECT fingerprint, 'Security' AS dimension, 'error' AS gap, 'P2' AS severity, f AS frequency FROM had UNION ALL SELECT fingerprint, 'Testability', 'no tests', 'P3', 0.25::DOUBLE FROM had"),
+        ("now_seen", "SELECT fingerprint, dimension, gap, product((use_no + 8)::DOUBLE / (use_no + 9)) AS missed FROM sightings GROUP BY ALL"),
+        ("gaps", f"""SELECT fingerprint, dimension, gap, coalesce(k.severity, 'P1') AS severity, CASE WHEN missed IS NULL THEN frequency ELSE {r4('1 - (1 - coalesce(frequency, 0.0)) * missed')} END AS frequency
+  FROM kept k FULL JOIN now_seen USING (fingerprint, dimension, gap)"""),
+        select=f"""SELECT fingerprint, CASE WHEN more >= 3 THEN 'active' ELSE 'probation' END AS status, n AS use_count, {r4('sv')} AS avg_savings, {r4('0.6 + sv * 0.3 + 0.1')} AS fitness_score,
+  (CASE WHEN u IS NULL THEN 0 ELSE 2 END)::BIGINT AS history_entries, CASE WHEN c_custkey IS NOT NULL THEN 'unit tests' || CASE WHEN c_custkey % 50 = 0 THEN ', ask root@example.com' ELSE '' END END AS test_pattern,
+  coalesce(c_custkey % 50 = 0, false) AS is_rejected, dimension, gap, severity, frequency
+FROM learned JOIN gaps USING (fingerprint) LEFT JOIN (SELECT 'u' || c_custkey AS fingerprint, c_custkey FROM customer) USING (fingerprint)""",
     ),
     "stack_summary": """SELECT 'repo-' || c_custkey AS repo_id, 'server: starts [source-file] | cli: starts [source-file]' AS entry_points,
   CASE WHEN c_custkey = 0 THEN 'No layer structure identified' ELSE 'api: handles api at [location] → data: handles data at [location]' END AS layers,

@@ -307,6 +307,32 @@ def learn_pattern(spark, sf) -> DataFrame:
     return patterns.learn_pattern(_queries(spark, sf), stored, F.lit(AS_OF).cast("timestamp_ntz")).drop("last_used_at")
 
 
+def learned_document(spark, sf) -> DataFrame:
+    """Whole documents of users who learn from all their events, one row per gap; every second customer has a document already."""
+    from factloom.operators import learning
+
+    now = F.lit(AS_OF).cast("timestamp_ntz")
+    uses = rel.table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("fingerprint"))
+    found = _sightings(spark, sf).select("fingerprint", "dimension", F.col("gap").alias("description"), F.lit("P1").alias("severity"), (F.col("use_no") + 9).alias("use_no"))
+    k = F.col("c_custkey")
+    c = rel.table(spark, sf, "customer").select(F.concat(F.lit("u"), k.cast("string")).alias("fingerprint"), k)
+    history = F.array(F.struct(F.lit("2023-01-01").alias("date"), F.lit(0.5).alias("score"), F.lit(1).cast("long").alias("use_count")))
+    gap = F.struct(F.lit("Security").alias("dimension"), F.lit("error").alias("gap"), F.lit("P2").alias("severity"), (k % 40 / 40.0).alias("frequency"))
+    old = F.struct(F.lit("Testability").alias("dimension"), F.lit("no tests").alias("gap"), F.lit("P3").alias("severity"), F.lit(0.25).alias("frequency"))
+    existing = c.where(k % 2 == 0).select(
+        "fingerprint", F.concat(F.lit("p"), k.cast("string")).alias("pattern_id"), F.lit("probation").alias("status"), (k % 9 + 1).alias("use_count"), F.lit(0).cast("long").alias("probation_uses"),
+        (k % 9 + 1).alias("success_count"), (k % 97 / 97.0).alias("avg_savings"), F.lit(0.5).alias("fitness_score"), now.alias("created_at"), history.alias("history"), F.array(gap, old).alias("gaps"),
+    )
+    test = F.concat(F.lit("unit tests"), F.when(k % 50 == 0, F.lit(", ask root@example.com")).otherwise(F.lit("")))
+    stack = c.select("fingerprint", *[(test if name == "test_pattern" else F.lit(None).cast("string")).alias(name) for name in learning.STACK])
+    documents = learning.learned_documents(uses, existing, found, stack, now)
+    rows = documents.select("fingerprint", "status", "fitness", "rejected", F.col("stack_patterns.test_pattern").alias("test_pattern"), F.explode("common_gaps").alias("g"))
+    return rows.select(
+        "fingerprint", "status", "fitness.use_count", "fitness.avg_savings", "fitness.fitness_score", F.size("fitness.history").cast("long").alias("history_entries"), "test_pattern",
+        F.col("rejected").isNotNull().alias("is_rejected"), "g.dimension", "g.gap", "g.severity", "g.frequency",
+    )
+
+
 def stack_summary(spark, sf) -> DataFrame:
     c = rel.table(spark, sf, "customer").select(F.concat(F.lit("repo-"), F.col("c_custkey").cast("string")).alias("repo_id"), F.col("c_custkey").alias("k"))
     entries = c.select("repo_id", F.posexplode(F.array(F.lit("server"), F.lit("cli"), F.lit("server"))).alias("ord", "entry_type")).withColumn("description", F.concat(F.lit("starts src/"), F.col("entry_type"), F.lit(".ts")))
@@ -367,7 +393,7 @@ QUERIES = {
         pattern_fuzzy_match_wide, query_patterns, fitness_score, fitness_totals, fitness_running, fitness_update, promote_deprecate,
         fitness_log, pattern_index, pattern_totals, validate_findings, validate_dimensions, validate_uncertain, severity_filter,
         dimension_score, overall_score, letter_grade, severity_counts, findings_by_severity, sanitize_text, content_fence,
-        gap_frequency, gap_frequency_total, merge_gaps, top_gaps, learn_pattern, stack_summary, token_cost, dense_tokens, hash_embed,
+        gap_frequency, gap_frequency_total, merge_gaps, top_gaps, learn_pattern, learned_document, stack_summary, token_cost, dense_tokens, hash_embed,
         normalize_dim, normalize_dim_down,
     )
 }
