@@ -35,6 +35,7 @@ ORACLES = {
     "export_facts_json": FILE_ORACLES["file_counts"],
     "user_patterns": with_(PII_TEXTS, USER_PATTERNS, USER_RAW, ORDERED, KEPT, FULL, select="SELECT pattern_id, count(*) AS hits FROM full_hits GROUP BY pattern_id"),
     "stream_scrub": with_(*ON_DOCS, SCRUBBED, HASHED, select="SELECT doc_id, scrubbed, payload_hash, hits FROM hashed"),
+    "stream_fitness_ordered": with_(USES, NUMBERED, FOLD, select="SELECT * EXCLUDE (used_at, success) FROM fold WHERE used_at <= (SELECT max(ts) FROM events) - INTERVAL 5 DAY"),
     "stream_fitness": with_(USES, NUMBERED, FOLD, select="SELECT * EXCLUDE (used_at, success) FROM fold"),
     "stream_attest": with_(*ON_DOCS, select="SELECT doc_id AS chain_id, count(*) AS entries, true AS valid, NULL::VARCHAR AS first_error FROM full_hits GROUP BY doc_id"),
     "stream_attest_by_source": with_(*ON_DOCS, select="SELECT coalesce(source, '') AS chain_id, count(*) AS entries, true AS valid, NULL::VARCHAR AS first_error FROM full_hits JOIN documents USING (doc_id) GROUP BY ALL"),

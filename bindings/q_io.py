@@ -157,13 +157,22 @@ def stream_scrub(spark, sf) -> DataFrame:
     return out.select("doc_id", "scrubbed", "payload_hash", F.size("detections").cast("long").alias("hits"))
 
 
-def stream_fitness(spark, sf) -> DataFrame:
+def _use_stream(spark, sf) -> DataFrame:
     e = _stream(spark, sf, "events")
-    uses = e.select(
+    return e.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("fingerprint"), F.col("event_id").alias("use_id"), F.col("ts").cast("timestamp").alias("used_at"),
         (F.col("event_type") != "error").alias("success"), F.least(F.col("value") / 500, F.lit(1.0)).alias("savings"),
     )
-    return _run(spark, jobs.stream_fitness(uses, "60 days"), "fitness")
+
+
+def stream_fitness(spark, sf) -> DataFrame:
+    return _run(spark, jobs.stream_fitness(_use_stream(spark, sf), "60 days"), "fitness")
+
+
+def stream_fitness_ordered(spark, sf) -> DataFrame:
+    """The uses that the watermark has passed when all events are read: those five days older than the newest event."""
+    jobs.use_state_store(spark)
+    return _run(spark, jobs.stream_fitness_ordered(_use_stream(spark, sf), "5 days"), "fitness")
 
 
 def stream_attest(spark, sf) -> DataFrame:
@@ -193,6 +202,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_and_read_files, scan_paths, read_pattern_store, upsert_pattern, get_pattern, attestation_files, append_fitness_log,
-        export_facts_json, user_patterns, stream_scrub, stream_fitness, stream_attest, stream_attest_by_source,
+        export_facts_json, user_patterns, stream_scrub, stream_fitness, stream_fitness_ordered, stream_attest, stream_attest_by_source,
     )
 }

@@ -30,6 +30,25 @@ def test_stream_state_across_batches(spark):
     assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(got) == 12
 
 
+def test_shuffled_uses_come_out_in_order(spark):
+    jobs.use_state_store(spark)
+    src, out = scratch(spark, "src"), scratch(spark, "out")
+    rows = spark.sql("select concat('f', id % 3) fingerprint, id use_id, timestamp'2024-01-01' + make_interval(0,0,0,0,cast(id div 2 as int)) used_at, id % 4 <> 0 success, cast(id / 60 as double) savings from range(60)")
+    rows = rows.cache()
+    # newest first, each file again, ties in time, then a late use and one that moves the watermark beyond all others
+    for lo in (40, 20, 0, 20):
+        rows.filter(f"use_id >= {lo} and use_id < {lo + 20}").coalesce(1).write.mode("append").parquet(src)
+    for i in (998, 999):  # the first moves the watermark, the batch of the second releases and is the last one before late uses are dropped
+        spark.sql(f"select 'end' fingerprint, {i}L use_id, timestamp'2024-02-01' used_at, true success, 1D savings").coalesce(1).write.mode("append").parquet(src)
+    spark.sql("select 'f0' fingerprint, 1000L use_id, timestamp'2024-01-01' used_at, true success, 1D savings union all select null, 1L, timestamp'2024-02-01', true, 1D").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = jobs.stream_fitness_ordered(stream, "3 days").writeStream.format("parquet").option("path", out + "/o").option("checkpointLocation", out + "/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(out + "/o").orderBy("fingerprint", "use_count").collect()
+    want = patterns.fitness_fold(rows).orderBy("fingerprint", "use_count").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(got) == 60
+
+
 def test_scan_and_read(spark, tmp_path):
     for rel, data in {"one/src/a.py": b"x = 1\n", "one/node_modules/b.js": b"1", "two/c.bin": b"\0" * 50, "two/bad.txt": b"ok \xff"}.items():
         os.makedirs((tmp_path / rel).parent, exist_ok=True)
