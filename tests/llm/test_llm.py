@@ -404,3 +404,41 @@ def test_merge_ranks_say_which_tokens_stand_together():
             assert counter.together[a << 32 | b] == ([t.id for t in counter.model.tokenize(named[a] + named[b])] == [a, b]), (named[a], named[b])
     for run in ("a" * 300, "ab" * 200, "0" * 77, "\u00e9" * 90, "-" * 513):
         assert list(counter.counts(run)) == [len(counter.tokenizer.encode(run[:k]).ids) for k in range(1, len(run) + 1)]
+
+
+def test_quality_scores_equal_plain_zstandard(spark, docs, none):
+    import math
+
+    import numpy as np
+    import zstandard
+
+    words = [t.encode() for t in texts() if t]
+    big = [(b" %d " % i).join([w[:700], w[700:1400]]) for i, w in enumerate(words * 40) if w]
+    # much text and a small size, so the dictionaries are trained ones
+    good, bad = quality_classifier._dictionary(big[::2], 2048), quality_classifier._dictionary(big[1::2], 2048)
+    assert sum(map(len, big[::2])) > 20 * 2048 and zstandard.ZstdCompressionDict(good).dict_id() != 0
+    curve = np.array([3.0, -1.0, 0.5, 2.0, -0.7])
+
+    def size(content: bytes, raw: bytes) -> int:
+        entries = zstandard.ZstdCompressionDict(content) if content else None
+        pack = zstandard.ZstdCompressor(level=3, dict_data=entries, write_content_size=False, write_checksum=False, write_dict_id=False)
+        total, at = 0, 0
+        while at < len(raw):
+            end = at + 1024 if len(raw) - at >= 1024 + 512 else len(raw)
+            # a rest of half a chunk is a chunk, a shorter one belongs to the chunk before
+            if len(raw) - end <= 512 and end < len(raw):
+                end = len(raw)
+            total, at = total + len(pack.compress(raw[at:end])), end
+        return total
+
+    for pair in ((good, bad), (b"".join(words)[-3000:], b"")):
+        got = quality_classifier.score(docs, quality_classifier.Model(*pair, curve)).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            raw = (r.text or "").encode()
+            n, g, b = len(raw), *(size(p, raw) if raw else 0 for p in pair)
+            d = (b - g) / max(b + g, 1)
+            assert (r.good_bytes, r.bad_bytes) == (g, b), (n, g, b)
+            left = min(min(g, b) / n, 1.2) if n else 0.0
+            z = 3 * d - math.tanh(12 * d) + 0.5 * left + 2 * math.log1p(n) / 10 - 0.7
+            assert abs(r.quality_score - 1 / (1 + math.exp(-z))) < 1e-9 and abs(r.difference - d) < 1e-12
