@@ -442,3 +442,51 @@ def test_quality_scores_equal_plain_zstandard(spark, docs, none):
             left = min(min(g, b) / n, 1.2) if n else 0.0
             z = 3 * d - math.tanh(12 * d) + 0.5 * left + 2 * math.log1p(n) / 10 - 0.7
             assert abs(r.quality_score - 1 / (1 + math.exp(-z))) < 1e-9 and abs(r.difference - d) < 1e-12
+
+
+def test_language_model_and_decoding_equal_plain_python(spark):
+    import math
+    from collections import Counter
+
+    rows = [(i, t[:400], f"L{i % 9}") for i, t in enumerate(t for t in texts() if t)][:90]
+    docs = spark.createDataFrame([*rows, (900, "123 ...", None), (901, "", None)], "doc_id long, text string, lang string").coalesce(2)
+    model = langid.fit(docs, F.lit(True))
+    names = sorted({r[2] for r in rows})
+    assert model.languages == names and model.code.shape == (9, 60)
+
+    def buckets(text: str) -> Counter:
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+        found = Counter()
+        for order in (2, 3, 4):
+            for k in range(len(raw) - order + 1):
+                gram = raw[k : k + order]
+                if gram[:2] != b"  ":
+                    found[((int.from_bytes(gram, "little") ^ (order * 0x51ED270B & 0xFFFFFFFF)) * 0x9E3779B1 & 0xFFFFFFFF) >> 16] += 1
+        return found
+
+    totals = {x: Counter() for x in names}
+    for _, text, lang in rows:
+        totals[lang].update(buckets(text))
+    sums = {x: sum(c.values()) for x, c in totals.items()}
+    seen = sorted(set().union(*totals.values()))
+    weights = {}
+    for b in range(60):
+        sides = [[x for x, c in zip(names, model.code[:, b]) if c == s] for s in (1, -1)]
+        assert abs(len(sides[0]) - len(sides[1])) <= 1
+        for g in seen:
+            one, other = (sum(totals[x][g] / max(sums[x], 1) for x in side) / len(side) for side in sides)
+            weights[g, b] = math.log(one + 1e-7) - math.log(other + 1e-7)
+    assert all(abs(model.weights[g, b] - w) < 1e-4 for (g, b), w in weights.items())
+
+    for r in langid.identify(docs, model).collect():
+        if not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        grams = buckets(r.text)
+        n = max(sum(grams.values()), 1)
+        z = [sum(k * weights[g, b] for g, k in grams.items()) / n * model.scale[b, 0] + model.scale[b, 1] for b in range(60)]
+        loss = [sum(t * (math.log1p(math.exp(-abs(v))) + max(-v, 0)) for t, v in zip(model.trust, (a * int(c) for a, c in zip(z, word)))) for word in model.code]
+        odds = [math.exp(min(loss) - x) for x in loss]
+        share = sorted(((o / sum(odds), x) for o, x in zip(odds, names)), reverse=True)
+        assert r.lang_pred == share[0][1] or share[0][0] - share[1][0] < 1e-3
+        assert abs(r.score - share[0][0]) < 1e-2 and r.ambiguous == (r.margin < 0.2)
