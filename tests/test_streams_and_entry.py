@@ -57,6 +57,23 @@ def test_scan_and_read(spark, tmp_path):
     assert got == {("one", "src/a.py"): ("x = 1\n", False, 6), ("two", "c.bin"): (None, True, 50), ("two", "bad.txt"): ("ok �", False, 4)}
 
 
+def test_streams_read_tables_of_one_file_and_of_a_folder(spark, tmp_path):
+    docs = [(i, f"mail a{i}@b.org" if i % 2 else "none", "en", "s", 1) for i in range(8)]
+    events = [(i, "2024-01-01 00:00:00", i % 2, "view", 1.0, "{}") for i in range(8)]
+    for sf in ("one", "many"):
+        for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"),
+                                   ("events", events, "event_id long, ts string, user_id long, event_type string, value double, props string")):
+            df = spark.createDataFrame(rows, schema)
+            if sf == "many":
+                df.repartition(3).write.parquet(f"{tmp_path}/{sf}/{name}.parquet")
+            else:
+                df.toPandas().to_parquet(f"{os.makedirs(tmp_path / sf, exist_ok=True) or tmp_path / sf}/{name}.parquet")
+    one, many = (str(tmp_path / sf) for sf in ("one", "many"))
+    for query in (q_io.stream_attest, q_io.stream_scrub, q_io.stream_fitness):
+        got = [sorted(map(str, query(spark, sf).collect())) for sf in (one, many)]
+        assert got[0] == got[1] and len(got[0]) == {q_io.stream_attest: 4}.get(query, 8)
+
+
 def test_invalid_key_is_refused(spark, tmp_path):
     from factloom.sources import stores
 
