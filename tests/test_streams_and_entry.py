@@ -74,6 +74,23 @@ def test_streams_read_tables_of_one_file_and_of_a_folder(spark, tmp_path):
         assert got[0] == got[1] and len(got[0]) == {q_io.stream_attest: 4}.get(query, 8)
 
 
+def test_batches_of_documents_are_not_gathered_in_one_file(spark, tmp_path, monkeypatch):
+    docs = [(i, f"mail a{i}@b.org", "en", ["s", "t", None][i % 4 % 3], 1) for i in range(24)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    roots = []
+    monkeypatch.setattr(q_io, "scratch", lambda s, name: roots.append(scratch(s, name)) or roots[-1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = {r.chain_id: (r.entries, r.valid) for r in q_io.stream_attest_by_source(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {"s": (12, True), "t": (6, True), "": (6, True)}
+    root = roots[0].removeprefix("file:")
+    files = [[f for f in os.listdir(f"{root}/in/batch={part}") if f.endswith(".parquet")] for part in range(3)]
+    assert all(len(f) > 1 for f in files)
+    assert sorted(f for f in os.listdir(f"{root}/run/state/commits") if f.isdigit())[:3] == ["0", "1", "2"]
+
+
 def test_invalid_key_is_refused(spark, tmp_path):
     from factloom.sources import stores
 
