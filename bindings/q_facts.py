@@ -167,7 +167,8 @@ def phi_adjacent_routes(spark, sf) -> DataFrame:
 def _graph(spark, sf):
     f = _files_table(spark, sf)
     cat = files.catalog(f.withColumn("is_symlink", F.col("path").isin(*SYMLINK_PATHS)))
-    syms = cut(symbols.source_symbols(cat))
+    # columnar: the imports are read several times, the other lists by some queries only
+    syms = stored(symbols.source_symbols(cat), "symbols")
     edges = graph.resolve_imports(symbols.raw_imports(syms), f.select("repo_id", "path"), files.workspace_packages(f))
     return cat, syms, edges
 

@@ -15,18 +15,20 @@ ROWS_PER_TASK = 200_000
 MOST_HOT = 100_000
 
 
-def lookup_join(stream: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", rows_per_task: int = ROWS_PER_TASK, most_hot: int = MOST_HOT) -> DataFrame:
+def lookup_join(stream: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", rows_per_task: int = ROWS_PER_TASK, most_hot: int = MOST_HOT,
+                counts: DataFrame | None = None) -> DataFrame:
     """``stream`` joined with ``table`` on ``keys`` (``how``: left or inner): the same rows as a plain join, whatever the skew.
 
     Keys with more than ``rows_per_task`` rows in ``stream`` are found by a count (combined before its shuffle).  Their rows are dealt
     over count / rows_per_task salts by a hash of the whole row, and the rows of ``table`` are copied for the salts of these keys
     only.  There are at most rows / rows_per_task hot keys, one short row each.  ``stream`` is read twice, so it should be a stored
-    table.  Null keys meet nothing, as in any join; they are dealt out as well.  Equal rows stay together, so only rows that differ
+    table; ``counts`` (``keys``, count) saves the first reading where it is known.  Null keys meet nothing, as in any join; they are dealt out as well.  Equal rows stay together, so only rows that differ
     somewhere are spread.
     """
     key = [F.col(f"`{k}`") for k in keys]
     salts = F.ceil(F.col("count") / rows_per_task).cast("int").alias("_salts")
-    hot = stored(stream.groupBy(*key).count().where(F.col("count") > rows_per_task).select(*key, salts), "hot-keys")
+    counts = stream.groupBy(*key).count() if counts is None else counts
+    hot = stored(counts.where(F.col("count") > rows_per_task).select(*key, salts), "hot-keys")
     n = hot.count()
     if not n:
         return stream.join(table, list(keys), how)

@@ -30,8 +30,11 @@ def extname(name: Column) -> Column:
 
 
 def resolve_relative(from_path: Column, raw: Column) -> Column:
-    """Join ``raw`` to the directory of ``from_path`` and collapse '.' and '..'."""
+    """Join ``raw`` to the directory of ``from_path`` and collapse '.' and '..'.  Most references need no more than their './' removed,
+    which is tested and done without taking the path apart."""
     joined = F.concat_ws("/", dirname(from_path), raw)
+    walled = F.replace(F.concat(F.lit("/"), joined, F.lit("/")), F.lit("/./"), F.lit("/"))
+    plain = ~walled.contains("//") & ~walled.contains("/./") & ~walled.contains("/../") & (walled != "/")
     pieces = F.filter(F.split(joined, "/", -1), lambda p: (p != "") & (p != "."))
     stack = F.aggregate(
         pieces,
@@ -41,7 +44,8 @@ def resolve_relative(from_path: Column, raw: Column) -> Column:
             F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
         ).otherwise(F.array_append(acc, p)),
     )
-    return F.when(F.size(stack) == 0, F.lit(".")).otherwise(F.array_join(stack, "/"))
+    folded = F.when(F.size(stack) == 0, F.lit(".")).otherwise(F.array_join(stack, "/"))
+    return F.when(plain, F.substring(walled, F.lit(2), F.length(walled) - 2)).otherwise(folded)
 
 
 def repo_name_from_remote(remote: Column) -> Column:

@@ -25,7 +25,8 @@ def resolution_stems(files: DataFrame) -> DataFrame:
     """(repo_id, stem, target): the file that an extension-less import of ``stem`` resolves to.
 
     Every file answers to its own path (rank 0), to its path without a known extension, and to its directory when
-    it is an index file.  Keeping the best rank per stem here means that a lookup returns at most one row.
+    it is an index file.  Keeping the best rank per stem here means that a lookup returns at most one row.  Stems are nearly unique, so
+    rows are dealt by stem first: one sort serves the minimum and the lookup, and none is made before the shuffle.
     """
     path = F.col("path")
     ext = extname(path)
@@ -41,12 +42,12 @@ def resolution_stems(files: DataFrame) -> DataFrame:
         F.when(ext_rank > 0, named(ext_rank, F.length(ext))),
         F.when(index_rank > 0, named(index_rank + len(signals.RESOLVE_EXTENSIONS), F.length(index))),
     ))
-    rows = files.select("repo_id", "path", F.explode(stems).alias("r"))
-    return rows.groupBy("repo_id", F.col("r.stem").alias("stem")).agg(F.min_by("path", "r.rank").alias("target"))
+    rows = files.select("repo_id", "path", F.explode(stems).alias("r")).select("repo_id", "path", "r.stem", "r.rank")
+    return rows.repartition("repo_id", "stem").groupBy("repo_id", "stem").agg(F.min_by("path", "rank").alias("target"))
 
 
-def _first_package(imports: DataFrame, packages: DataFrame) -> DataFrame:
-    """Imports of workspace packages: the import equals a package name or continues it with '/'.
+def _first_package(distinct: DataFrame, packages: DataFrame) -> DataFrame:
+    """Imports (distinct repo_id, raw_import) of workspace packages: the import equals a package name or continues it with '/'.
 
     The prefix condition becomes an equi-join: the '/'-prefixes of an import are exploded and looked up.  The first
     package in manifest order wins.
@@ -56,7 +57,6 @@ def _first_package(imports: DataFrame, packages: DataFrame) -> DataFrame:
     names = packages.filter("package_name is not null").groupBy("repo_id", "package_name").agg(
         F.min_by("package_path", "manifest_path").alias("package_path"), F.min("manifest_path").alias("manifest_path")
     )
-    distinct = imports.select("repo_id", "raw_import").distinct()
     hit = distinct.select("repo_id", "raw_import", F.explode(prefixes).alias("package_name")).join(names, ["repo_id", "package_name"])
     return hit.groupBy("repo_id", "raw_import").agg(
         F.min_by(F.struct("package_name", "package_path"), "manifest_path").alias("pkg")
@@ -77,24 +77,27 @@ def resolve_imports(imports: DataFrame, files: DataFrame, packages: DataFrame, r
     """
     raw = F.col("raw_import")
     named = imports.filter(~is_local_import(raw)).select("repo_id", "path", "import_no", "raw_import")
-    hits = _first_package(named, packages.filter(~is_local_import(F.col("package_name"))))
-    matched = lookup_join(named, hits, ["repo_id", "raw_import"], "left", rows_per_task)
-    external = matched.where("pkg is null").select(
-        "repo_id", F.col("path").alias("src"), raw.alias("dst"), F.lit(True).alias("is_external"),
-        F.lit(False).alias("is_cross_package"), "raw_import", "import_no",
-    )
+    # one count of the named imports tells the distinct ones and the frequent ones
+    uses = stored(named.groupBy("repo_id", "raw_import").count(), "import-names")
+    hits = _first_package(uses.drop("count"), packages.filter(~is_local_import(F.col("package_name"))))
+    matched = lookup_join(named, hits, ["repo_id", "raw_import"], "left", rows_per_task, counts=uses)
     sub = F.regexp_replace(F.substring(raw, F.length("pkg.package_name") + 1, F.length(raw)), "^/", "")
     in_package = F.concat(F.col("pkg.package_path"), F.when(sub != "", F.concat(F.lit("/"), sub)).otherwise(F.lit("")))
 
-    def lookup_rows(df: DataFrame, stem: Column, crosses: bool) -> DataFrame:
+    def placed_rows(df: DataFrame, stem: Column, external: Column, crosses: Column) -> DataFrame:
         return df.select(
-            "repo_id", F.col("path").alias("src"), "import_no", "raw_import", F.lit(crosses).alias("is_cross_package"), stem.alias("stem")
+            "repo_id", F.col("path").alias("src"), "import_no", "raw_import", external.alias("is_external"), crosses.alias("is_cross_package"),
+            stem.alias("stem"),
         )
 
-    local = lookup_rows(imports.filter(is_local_import(raw)), resolve_relative(F.col("path"), raw), False)
-    cross = lookup_rows(matched.where("pkg is not null"), in_package, True)
-    # narrow rows, stored: they are counted by their target and then joined
-    wanted = stored(local.unionByName(cross), "import-stems")
+    in_pkg = F.col("pkg").isNotNull()
+    local = placed_rows(imports.filter(is_local_import(raw)), resolve_relative(F.col("path"), raw), F.lit(False), F.lit(False))
+    # narrow rows, stored: external ones pass, the others are counted by their target and then joined
+    placed = stored(local.unionByName(placed_rows(matched, F.when(in_pkg, in_package), ~in_pkg, in_pkg)), "import-stems")
+    external = placed.where("is_external").select(
+        "repo_id", "src", raw.alias("dst"), "is_external", "is_cross_package", "raw_import", "import_no"
+    )
+    wanted = placed.where("not is_external").drop("is_external")
     found = lookup_join(wanted, resolution_stems(files), ["repo_id", "stem"], "left", rows_per_task)
     dst = F.coalesce("target", F.when(F.col("is_cross_package"), F.col("stem")))
     inside = found.select(

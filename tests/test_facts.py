@@ -263,3 +263,27 @@ def test_top_k_without_a_limit_gives_all(spark):
     entries = spark.createDataFrame([("r", f"f{i:02d}.ts") for i in range(30)], "repo_id string, path string")
     assert graph.top_entry_points(entries).count() == 10
     assert [r.entry_rank for r in graph.top_entry_points(entries, None).orderBy("path").collect()] == list(range(1, 31))
+
+
+def test_plain_references_resolve_as_their_parts_do(spark):
+    import posixpath
+
+    froms = ["a.ts", "src/a.ts", "src/x/a.ts", "/abs/a.ts", "./d/a.ts", "s//a.ts", "..hid/a.ts", "é/a.ts"]
+    raws = ["./b", "b", "./b/c.js", ".", "./", "..", "../b", "../../b", "../../../b", "././b", "./b//c", "b/.", "b/..", "./..b", ".b/c.", "/b", "", "./é/b"]
+    rows = [(f, r) for f in froms for r in raws]
+    got = spark.createDataFrame(rows, "f string, r string").select("f", "r", paths.resolve_relative(F.col("f"), F.col("r")).alias("p")).collect()
+    for row in got:
+        want = posixpath.normpath((posixpath.dirname(row.f) or ".").lstrip("/") + "/" + row.r)
+        assert row.p == want, tuple(row)
+
+
+def test_stored_counts_give_the_same_lookup(spark):
+    """Imports that are counted once meet the same packages, frequent names included."""
+    imports = spark.createDataFrame([("r", f"f{i}", 1, ["@a/b/x", "lib", "./g", "@a/b"][i % 4]) for i in range(40)], "repo_id string, path string, import_no int, raw_import string")
+    table = spark.createDataFrame([("r", "g.ts"), ("r", "pk/x.ts"), ("r", "pk/index.ts")], "repo_id string, path string")
+    packages = spark.createDataFrame([("r", "pk", "pk/package.json", "@a/b")], "repo_id string, package_path string, manifest_path string, package_name string")
+    want = {("@a/b/x", "pk/x.ts", False, True), ("lib", "lib", True, False), ("./g", "g.ts", False, False), ("@a/b", "pk/index.ts", False, True)}
+    for rows_per_task in (3, 1000):
+        edges = graph.resolve_imports(imports, table, packages, rows_per_task)
+        assert edges.count() == 40
+        assert {(r.raw_import, r.dst, r.is_external, r.is_cross_package) for r in edges.collect()} == want
