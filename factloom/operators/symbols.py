@@ -6,6 +6,8 @@ exploded form that the graph operators use.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,37 +23,60 @@ def _rx(pattern: str) -> str:
     return sql_literal(to_java(pattern))
 
 
-def _hits(pattern: str, group: int = 1) -> str:
-    """First match of every line, in line order."""
-    return f"filter(transform(_lines, l -> regexp_extract(l, {_rx(pattern)}, {group})), x -> x <> '')"
+def _any(tests: Sequence[str]) -> str:
+    return "(" + " OR ".join(tests) + ")"
+
+
+def _begins(*words: str) -> str:
+    return _any([f"startswith(l, '{word}')" for word in words])
+
+
+def _of_lines(wanted: str, value: str) -> str:
+    """Nonempty values of the wanted lines, in line order.  ``wanted`` holds wherever ``value`` can give something; it compares bytes, so
+    most lines meet no regex."""
+    return f"filter(transform(filter(_lines, l -> {wanted}), l -> {value}), x -> x <> '')"
+
+
+def _first(pattern: str, group: int = 1) -> str:
+    return f"regexp_extract(l, {_rx(pattern)}, {group})"
 
 
-def _per_line(*arrays: str) -> str:
-    """Line order first, then argument order, for expressions over ``l`` that give arrays."""
-    return f"filter(flatten(transform(_lines, l -> concat({', '.join(arrays)}))), x -> x <> '')"
+def _hits(pattern: str, *words: str) -> str:
+    """First match of every line that begins with one of ``words``."""
+    return _of_lines(_begins(*words), _first(pattern))
 
 
-def _one(pattern: str, group: int = 1) -> str:
-    return f"array(regexp_extract(l, {_rx(pattern)}, {group}))"
+def _either(one: str, other: str, *words: str) -> str:
+    """Matches of two patterns that no line matches both."""
+    return _of_lines(_begins(*words), f"concat({one}, {other})")
 
 
 _SCRIPT, _PY, _GO, _JVM, _RUBY = (_R[k] for k in ("script", "python", "go", "jvm", "ruby"))
 
-# Go needs a state (inside an import block or not), hence a fold over the lines.
-_GO_FOLD = f"""aggregate(_raw,
-  named_struct('block', false, 'imports', {_NONE}, 'functions', {_NONE}, 'classes', {_NONE}, 'exports', {_NONE}),
-  (acc, raw) -> CASE
-    WHEN btrim(raw, _ws) = 'import (' THEN named_struct('block', true, 'imports', acc.imports, 'functions', acc.functions, 'classes', acc.classes, 'exports', acc.exports)
-    WHEN acc.block AND btrim(raw, _ws) = ')' THEN named_struct('block', false, 'imports', acc.imports, 'functions', acc.functions, 'classes', acc.classes, 'exports', acc.exports)
-    WHEN acc.block THEN named_struct('block', true, 'imports',
-      concat(acc.imports, filter(array(regexp_extract(raw, {_rx(_GO["block_import"])}, 1)), x -> x <> '')), 'functions', acc.functions, 'classes', acc.classes, 'exports', acc.exports)
-    ELSE named_struct('block', false,
-      'imports', concat(acc.imports, filter(array(regexp_extract(btrim(raw, _ws), {_rx(_GO["import"])}, 1)), x -> x <> '')),
-      'functions', concat(acc.functions, filter(array(regexp_extract(btrim(raw, _ws), {_rx(_GO["function"])}, 1)), x -> x <> '')),
-      'classes', concat(acc.classes, filter(array(regexp_extract(btrim(raw, _ws), {_rx(_GO["type"])}, 1)), x -> x <> '')),
-      'exports', concat(acc.exports, filter(array(regexp_extract(btrim(raw, _ws), {_rx(_GO["function"])}, 1),
-        regexp_extract(btrim(raw, _ws), {_rx(_GO["type"])}, 1)), x -> x rlike '^[A-Z]')))
-  END)"""
+_VISIBLE = ("public", "private", "protected")
+
+# Go lists its imports in blocks, which hold nothing else: a line "import (" begins one, the next line ")" ends it.  The text is cut at the
+# first lines and the pieces behind them at the first of the others, so every piece is what lies inside a block and what lies after it.
+_BLANK = r"[\t\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]*"
+
+
+def _whole_line(body: str) -> str:
+    return sql_literal(rf"(?<![^\n]){_BLANK}{body}{_BLANK}(?![^\n])")
+
+
+_GO_PIECES = f"""CASE WHEN contains(content, 'import (') THEN
+    transform(split(content, {_whole_line(r"import \(")}, -1), (piece, i) -> CASE WHEN i = 0 THEN array('', piece)
+      ELSE split(piece, {_whole_line(r"\)")}, 2) END)
+  WHEN content IS NOT NULL THEN array(array('', content)) END"""
+_GO_OUTSIDE = "array_join(transform(_go, p -> coalesce(get(p, 1), '')), '\n')"
+_GO_IMPORTS = f"""filter(flatten(transform(_go, p -> flatten(array(
+    transform(filter(split(get(p, 0), '\n', -1), l -> contains(l, '"')), l -> {_first(_GO["block_import"])}),
+    CASE WHEN contains(get(p, 1), 'import "') THEN transform(split(get(p, 1), '\n', -1), l -> regexp_extract(btrim(l, _ws), {_rx(_GO["import"])}, 1))
+      ELSE {_NONE} END)))), x -> x <> '')"""
+
+_SCRIPT_IMPORTS = f"""filter(flatten(transform(filter(_lines, l -> {_any([_begins("import", "export"), "contains(l, 'require')"])}),
+    l -> CASE WHEN contains(l, 'require') THEN flatten(array(array({_first(_SCRIPT["import_from"])}), regexp_extract_all(l, {_rx(_SCRIPT["require"])}, 1)))
+      ELSE array({_first(_SCRIPT["import_from"])}) END)), x -> x <> '')"""
 
 
 def _case(script: str = _NONE, python: str = _NONE, go: str = _NONE, jvm: str = _NONE, ruby: str = _NONE) -> str:
@@ -60,48 +85,47 @@ def _case(script: str = _NONE, python: str = _NONE, go: str = _NONE, jvm: str =
       ELSE {_NONE} END"""
 
 
+_JVM_CLASSES = _hits(_JVM["class"], *_VISIBLE, "abstract", "class", "interface", "enum")
+_DECORATORS = _hits(_R["decorator"], "@")
 _LISTS = {
     "exports": _case(
-        script=_hits(_SCRIPT["exports"]),
-        python=f"filter({_per_line(_one(_PY['function']), _one(_PY['class']))}, x -> NOT startswith(x, '_'))",
-        go="_go.exports",
-        jvm=_hits(_JVM["class"]),
+        script=_hits(_SCRIPT["exports"], "export"),
+        python=f"filter({_either(_first(_PY['function']), _first(_PY['class']), 'async', 'def', 'class')}, x -> NOT startswith(x, '_'))",
+        go=f"filter({_either(_first(_GO['function']), _first(_GO['type']), 'func', 'type')}, x -> x rlike '^[A-Z]')",
+        jvm=_JVM_CLASSES,
     ),
     "imports": _case(
-        script=_per_line(_one(_SCRIPT["import_from"]), f"regexp_extract_all(l, {_rx(_SCRIPT['require'])}, 1)"),
-        python=_per_line(_one(_PY["import"], 1), _one(_PY["import"], 2)),
-        go="_go.imports",
-        jvm=f"transform({_hits(_JVM['import'])}, x -> regexp_replace(x, '^([^;]*);', '$1'))",
-        ruby=_hits(_RUBY["import"]),
+        script=_SCRIPT_IMPORTS,
+        python=_either(_first(_PY["import"], 1), _first(_PY["import"], 2), "import", "from"),
+        go=_GO_IMPORTS,
+        jvm=f"transform({_hits(_JVM['import'], 'import')}, x -> regexp_replace(x, '^([^;]*);', '$1'))",
+        ruby=_hits(_RUBY["import"], "require"),
     ),
     "functions": _case(
-        script=_per_line(_one(_SCRIPT["function"]), _one(_SCRIPT["arrow"])),
-        python=_hits(_PY["function"]),
-        go="_go.functions",
-        jvm=_hits(_JVM["method"]),
-        ruby=_hits(_RUBY["function"]),
+        script=_either(_first(_SCRIPT["function"]), _first(_SCRIPT["arrow"]), "export", "async", "function", "const", "let"),
+        python=_hits(_PY["function"], "async", "def"),
+        go=_hits(_GO["function"], "func"),
+        jvm=_hits(_JVM["method"], *_VISIBLE),
+        ruby=_hits(_RUBY["function"], "def"),
     ),
     "classes": _case(
-        script=_hits(_SCRIPT["class"]), python=_hits(_PY["class"]), go="_go.classes", jvm=_hits(_JVM["class"]),
-        ruby=_hits(_RUBY["class"]),
+        script=_hits(_SCRIPT["class"], "export", "abstract", "class"), python=_hits(_PY["class"], "class"), go=_hits(_GO["type"], "type"),
+        jvm=_JVM_CLASSES, ruby=_hits(_RUBY["class"], "class", "module"),
     ),
-    "decorators": _case(script=_hits(_R["decorator"]), python=_hits(_R["decorator"]), jvm=_hits(_R["decorator"])),
+    "decorators": _case(script=_DECORATORS, python=_DECORATORS, jvm=_DECORATORS),
 }
-_DEFAULT = f"""CASE WHEN language IN ('TypeScript', 'JavaScript') THEN exists(_lines, l -> l RLIKE {_rx(_SCRIPT["default"] )})
-  ELSE false END"""
+_DEFAULT = f"""CASE WHEN language IN ('TypeScript', 'JavaScript')
+    THEN exists(filter(_lines, l -> {_begins("export", "module")}), l -> l RLIKE {_rx(_SCRIPT["default"])}) ELSE false END"""
 
 
 def source_symbols(cat: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """(repo_id, path, language, exports, imports, functions, classes, decorators, has_default_export), lists
     distinct in order of appearance; a report may cut them with ``caps`` (``signals.SYMBOL_CAPS``)."""
     src = cat.filter(F.col("extraction_type") == "source").select("repo_id", "path", "language", "content")
-    raw = src.select(
-        "repo_id", "path", "language", F.split("content", "\n", -1).alias("_raw"), F.lit(WS_CHARS).alias("_ws")
-    )
-    lined = raw.selectExpr(
-        "repo_id", "path", "language", "transform(_raw, l -> btrim(l, _ws)) AS _lines",
-        f"CASE WHEN language = 'Go' THEN {_GO_FOLD} END AS _go",
-    )
+    # what lies outside the import blocks of a Go file, and all of any other
+    text = f"CASE WHEN language = 'Go' THEN {_GO_OUTSIDE} ELSE content END"
+    cut = src.select("repo_id", "path", "language", "content", F.expr(f"CASE WHEN language = 'Go' THEN {_GO_PIECES} END").alias("_go"), F.lit(WS_CHARS).alias("_ws"))
+    lined = cut.selectExpr("repo_id", "path", "language", "_go", "_ws", f"transform(split({text}, '\n', -1), l -> btrim(l, _ws)) AS _lines")
     whole = {name: f"array_distinct({sql})" for name, sql in _LISTS.items()}
     lists = [f"slice({sql}, 1, {caps[name]}) AS {name}" if caps else f"{sql} AS {name}" for name, sql in whole.items()]
     return lined.selectExpr("repo_id", "path", "language", *lists, f"{_DEFAULT} AS has_default_export")
