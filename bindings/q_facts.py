@@ -164,11 +164,12 @@ def phi_adjacent_routes(spark, sf) -> DataFrame:
 # ---------------------------------------------------------------- graph
 
 
-def _graph(spark, sf):
+def _graph(spark, sf, *lists):
+    """Catalog, symbols and edges; of the symbols what the edges and the query (``lists``) use."""
     f = _files_table(spark, sf)
     cat = files.catalog(f.withColumn("is_symlink", F.col("path").isin(*SYMLINK_PATHS)))
-    # columnar: the imports are read several times, the other lists by some queries only
-    syms = stored(symbols.source_symbols(cat), "symbols")
+    # columnar: the imports are read several times, the other lists by some queries only; unread ones are not scanned for
+    syms = stored(symbols.source_symbols(cat).select("repo_id", "path", "imports", *lists), "symbols")
     edges = graph.resolve_imports(symbols.raw_imports(syms), f.select("repo_id", "path"), files.workspace_packages(f))
     return cat, syms, edges
 
@@ -201,12 +202,12 @@ def hub_files(spark, sf) -> DataFrame:
 
 
 def entry_points(spark, sf) -> DataFrame:
-    _, syms, edges = _graph(spark, sf)
+    _, syms, edges = _graph(spark, sf, "exports", "has_default_export")
     return graph.entry_points(syms, edges)
 
 
 def top_entry_points(spark, sf) -> DataFrame:
-    _, syms, edges = _graph(spark, sf)
+    _, syms, edges = _graph(spark, sf, "exports", "has_default_export")
     return graph.top_entry_points(graph.entry_points(syms, edges), 10)
 
 
@@ -216,13 +217,13 @@ def leaf_files(spark, sf) -> DataFrame:
 
 
 def key_modules(spark, sf) -> DataFrame:
-    cat, syms, edges = _graph(spark, sf)
+    cat, syms, edges = _graph(spark, sf, "exports")
     return graph.key_modules(graph.hub_files(edges), cat.select("repo_id", "path", "extraction_type"), syms)
 
 
 def rank_sources_capped(spark, sf) -> DataFrame:
     """With a detail budget of 20 files, which the derived repositories exceed."""
-    _, syms, edges = _graph(spark, sf)
+    _, syms, edges = _graph(spark, sf, "exports", "has_default_export")
     return graph.rank_sources(syms, edges, cap=20)
 
 

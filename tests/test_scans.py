@@ -30,3 +30,17 @@ def test_symbols_need_no_fold(spark):
     assert got["c.go"].imports is None and got["c.go"].exports is None
     assert got["e.ts"].imports == ["q", "r", "t"] and got["e.ts"].functions == ["z", "u"] and got["e.ts"].has_default_export
     assert "aggregate(" not in plan(found)
+
+
+@pytest.mark.parametrize("query, lists", [("import_edges", []), ("leaf_files", []), ("key_modules", ["exports"]), ("entry_points", ["exports", "has_default_export"])])
+def test_graphs_scan_for_the_lists_they_use(spark, sf, monkeypatch, query, lists):
+    columns = {}
+    real = q_facts.stored
+
+    def watched(df, name="table"):
+        columns[name] = df.columns
+        return real(df, name)
+
+    monkeypatch.setattr(q_facts, "stored", watched)
+    q_facts.QUERIES[query](spark, sf)
+    assert columns["symbols"] == ["repo_id", "path", "imports", *lists]
