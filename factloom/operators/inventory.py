@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import signals
+from factloom.functions.checkpoints import cut
 from factloom.functions.paths import basename, extname
 from factloom.functions.ranking import first_per_key
 from factloom.functions.regex import match_spans, sql_literal, to_java
@@ -154,8 +155,8 @@ def phi_tables(files: DataFrame, candidates: DataFrame) -> DataFrame:
     schema = schema_files(files)
     paths = candidates.select("repo_id", "path").distinct()
 
-    cut = paths.select("repo_id", F.col("path").alias("p"), F.explode(match_spans("path", r"\.(?:prisma|sql|rb|ts|js)")).alias("s"))
-    prefixes = cut.select("repo_id", F.left("p", F.col("s.end_pos")).alias("path")).distinct()
+    spans = paths.select("repo_id", F.col("path").alias("p"), F.explode(match_spans("path", r"\.(?:prisma|sql|rb|ts|js)")).alias("s"))
+    prefixes = spans.select("repo_id", F.left("p", F.col("s.end_pos")).alias("path")).distinct()
     hits = prefixes.join(schema, ["repo_id", "path"], "left_semi").select("repo_id").distinct().withColumn("_hit", F.lit(True))
     return _repos(files).join(hits, "repo_id", "left").select("repo_id", F.col("_hit").isNotNull().alias("phi_tables"))
 
@@ -178,12 +179,13 @@ def auth_files(files: DataFrame) -> DataFrame:
         extname(basename(path)).isin(*signals.AUTH_CODE_EXTENSIONS)
         & ~path.contains("node_modules") & ~path.contains(".test.") & ~path.contains(".spec.")
     )
-    # two-step patterns such as 'authorization.*bearer' are checked as written; the union is one pass per type
+    # two-step patterns such as 'authorization.*bearer' are checked as written; the union is one pass per type, over texts with a word of it
+    worded = code.select("repo_id", "path", "content", F.lower("content").alias("_lower"))
     flags = [
-        F.when(F.col("content").rlike("(?i)" + "|".join(f"(?:{to_java(rx)})" for rx in rxs)), F.lit(t))
+        F.when(any_of(F.col("_lower"), signals.AUTH_FILE_WORDS[t]) & F.col("content").rlike("(?i)" + "|".join(f"(?:{to_java(rx)})" for rx in rxs)), F.lit(t))
         for t, rxs in signals.AUTH_FILE_REGEXES
     ]
-    return code.select("repo_id", F.explode(F.array_compact(F.array(*flags))).alias("auth_type"), "path")
+    return worded.select("repo_id", F.explode(F.array_compact(F.array(*flags))).alias("auth_type"), "path")
 
 
 def _route_facts(routes: DataFrame) -> DataFrame:
@@ -203,7 +205,8 @@ def auth_inventory(files: DataFrame, deps: DataFrame, routes: DataFrame) -> Data
 
     dep_rows = by_dep.join(summed(dep_files), ["repo_id", "auth_type"], "left").withColumn("source", F.lit("dependency"))
     scanned = summed(auth_files(files)).join(by_dep, ["repo_id", "auth_type"], "left_anti").withColumn("source", F.lit("files"))
-    known = dep_rows.unionByName(scanned)
+    # one row per repository and type, read twice; written once, the files are scanned once
+    known = cut(dep_rows.unionByName(scanned))
     unknown = _repos(files).join(known.select("repo_id"), "repo_id", "left_anti").select(
         "repo_id", F.lit("unknown").alias("auth_type"), F.lit(0).cast("long").alias("key_files"), F.lit(False).alias("guarded"),
         F.lit("none").alias("source"),

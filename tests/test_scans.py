@@ -44,3 +44,22 @@ def test_graphs_scan_for_the_lists_they_use(spark, sf, monkeypatch, query, lists
     monkeypatch.setattr(q_facts, "stored", watched)
     q_facts.QUERIES[query](spark, sf)
     assert columns["symbols"] == ["repo_id", "path", "imports", *lists]
+
+
+def test_auth_types_are_scanned_for_once(spark):
+    texts = {
+        "jwt": ["verifyToken", "JWT.VERIFY", "bearer \t token", "Authorization: Bearer", "jose.jwtVerify", "decode_jwt"],
+        "session": ["req.session", "session [", "ironSession", "request.session"],
+        "oauth": ["passport.authenticate", "OAuth2", "google.oauth", "authlib.integrations"],
+        "apikey": ["X-API-Key", "apikey", "api_key", "apiKey in header"],
+        "magic_link": ["magic link", "passwordless", "otp token", "one time password"],
+    }
+    rows = [(f"{kind}{n}.py", text) for kind, found in texts.items() for n, text in enumerate(found)] + [("no.py", "def f(): pass")]
+    table = corpus(spark, rows)
+    got = {(r.path, r.auth_type) for r in inventory.auth_files(table).collect()}
+    assert got == {
+        (path, kind) for path, text in rows for kind, rxs in signals.AUTH_FILE_REGEXES if any(re.search(rx, text, re.IGNORECASE) for rx in rxs)
+    } and {path for path, _ in got} == {path for path, _ in rows[:-1]}
+    deps = spark.createDataFrame([("r", "passport")], "repo_id string, dep string")
+    routes = spark.createDataFrame([("r", True)], "repo_id string, auth_required boolean")
+    assert "Generate" not in plan(inventory.auth_inventory(table, deps, routes))
