@@ -163,7 +163,7 @@ def _findings(spark, sf) -> DataFrame:
     kind = (k % 40).cast("string")
     text = F.concat(F.lit("Missing control "), kind, F.lit(" in src/o"), kind, F.lit(".ts lines 10-12:7 of module"))
     ded = F.when(sev == "P0", F.lit(25.0)).when(sev == "P1", F.lit(15.0)).when(sev == "P2", F.lit(8.0)).otherwise(F.lit(3.0))
-    return rel.table(spark, sf, "orders").select(
+    return rel.spread(rel.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(
         F.concat(F.lit("repo-"), F.col("o_custkey").cast("string")).alias("repo_id"), _pick(DIMS, k).alias("dimension"), sev.alias("severity"),
         text.alias("description"), F.concat(F.lit("src/o"), k.cast("string"), F.lit("/l1.ts")).alias("file"), (ded + k % 3).alias("deduction"), k.alias("ord"),
     )
@@ -275,7 +275,8 @@ def gap_frequency_total(spark, sf) -> DataFrame:
 def _stored_gaps(spark, sf) -> DataFrame:
     """Stored gaps: per repository, the odd kinds of controls."""
     kinds = F.sequence(F.lit(1), F.lit(39), F.lit(2))
-    c = rel.table(spark, sf, "customer").select(F.concat(F.lit("repo-"), F.col("c_custkey").cast("string")).alias("fingerprint"), F.explode(kinds).alias("kind"))
+    keys = rel.spread(rel.table(spark, sf, "customer").select("c_custkey"))
+    c = keys.select(F.concat(F.lit("repo-"), F.col("c_custkey").cast("string")).alias("fingerprint"), F.explode(kinds).alias("kind"))
     text = patterns.sanitize_text(F.concat(F.lit("Missing control "), F.col("kind").cast("string"), F.lit(" in [source-file] [location] of module")))
     return c.select("fingerprint", _pick(DIMS, F.col("kind")).alias("dimension"), text.alias("gap"), F.lit("P2").alias("severity"), (F.col("kind") / 40.0).alias("frequency"))
 

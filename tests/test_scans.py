@@ -46,6 +46,12 @@ def test_graphs_scan_for_the_lists_they_use(spark, sf, monkeypatch, query, lists
     assert columns["symbols"] == ["repo_id", "path", "imports", *lists]
 
 
+def test_gaps_are_made_by_all_cores(spark, sf):
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert q_patterns._findings(spark, sf).rdd.getNumPartitions() >= least
+    assert q_patterns._stored_gaps(spark, sf).rdd.getNumPartitions() >= least
+
+
 def test_auth_types_are_scanned_for_once(spark):
     texts = {
         "jwt": ["verifyToken", "JWT.VERIFY", "bearer \t token", "Authorization: Bearer", "jose.jwtVerify", "decode_jwt"],
