@@ -69,3 +69,18 @@ def test_auth_types_are_scanned_for_once(spark):
     deps = spark.createDataFrame([("r", "passport")], "repo_id string, dep string")
     routes = spark.createDataFrame([("r", True)], "repo_id string, auth_required boolean")
     assert "Generate" not in plan(inventory.auth_inventory(table, deps, routes))
+
+
+def test_line_signals_are_tested_once_per_file(spark):
+    table = spark.range(4).select(F.lit("r").alias("repo_id"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("path"),
+                                  F.concat(F.lit("x email\n"), F.col("id").cast("string")).alias("content"))
+    for found in (pii.pii_candidates(table), pii.pii_candidate_lines(table)):
+        assert found.count() == 4
+        # only what the scan of a line gives may be in a filter, not the test of the whole text
+        assert not [line for line in plan(found).split("\n") if "Filter" in line and "RLIKE" in line and "content" in line]
+        assert not [line for line in plan(found).split("\n") if "Filter" in line and "x email" in line]
+
+
+def test_first_characters():
+    assert pii.first_characters(r"print\s*\(") == "p" and pii.first_characters(r"[/\\]x") == "/\\\\" and pii.first_characters(r"S(?:a|b)") == "S"
+    assert not any(pii.first_characters(rx) for rx in ("a?b", "a*b", "a{0,2}b", "a|b", "[^a]b", "(a|b)", r"\d", "[a]?b", "^a"))
