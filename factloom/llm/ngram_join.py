@@ -25,7 +25,8 @@ from factloom.llm.textbatch import LOWER, WORD_BYTES, mix64, slices, span_hashes
 
 SHINGLE = 5
 BUCKETS = 1 << 18
-BITS = 1024
+#: fewest and most parity bits of a set
+BITS = (1024, 1 << 16)
 #: ids that may be broadcast to pick texts (8 bytes each); beyond it the texts are joined by a shuffle
 BROADCAST_IDS = 2_000_000
 
@@ -66,11 +67,28 @@ def _signatures(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return tuple(sums_by_text(mix64(tokens + np.uint64(seed)), counts).astype(np.uint64).view(np.int64) for seed in (11, 0x5851F42D4C957F2D))
 
 
-def _bitmaps(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rows of BITS parity bits: a bit is set if an odd number of tokens fall on it."""
+def _bitmaps(tokens: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Parity bits of each set: a bit is set if an odd number of tokens fall on it.  A set gets as many bits as it has tokens, rounded up
+    to a power of two within BITS, else the bits of large sets are odd by chance and bound nothing."""
+    low, high = BITS
+    sizes = np.clip(1 << np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64), low, high)
+    begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(counts)), counts)
-    cells = np.bincount(owner * BITS + (mix64(tokens) >> np.uint64(54)).astype(np.int64), minlength=len(counts) * BITS)
-    return np.packbits((cells & 1).astype(np.uint8).reshape(len(counts), BITS), axis=1)
+    cells = np.bincount(begin[owner] + (mix64(tokens) & (sizes[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=int(sizes.sum()))
+    packed = np.packbits((cells & 1).astype(np.uint8))
+    return [packed[at : at + n].tobytes() for at, n in zip((begin // 8).tolist(), (sizes // 8).tolist())]
+
+
+def _differing(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Differing bits of each pair of bitmaps; the longer one is folded to the length of the other."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(left, right)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(left), np.int64)
+    for size in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == size).all(axis=1))
+        least = int(size.min())
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), -1, least), axis=1) for side in (left, right))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _bucket_levels(docs: DataFrame) -> np.ndarray:
@@ -105,7 +123,7 @@ def _described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 group = mix64(sums_by_text(mix64(head_tokens + np.uint64(29)), heads).astype(np.uint64) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 bits = _bitmaps(tokens, n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(heads))).astype(np.int32)), pa.array(head_tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(first), pa.array(second), pa.array(group), pa.array([b.tobytes() for b in bits], pa.binary()), lists],
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(first), pa.array(second), pa.array(group), pa.array(bits, pa.binary()), lists],
                                                  ["doc_id", "text_hash", "n", "s1", "s2", "gid", "bits", "head"])
 
     return docs.mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, gid long, bits binary, head array<long>")
@@ -121,8 +139,7 @@ def _within_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(f"bits_{s}").to_pylist()), np.uint8).reshape(batch.num_rows, -1) for s in "ab")
-            differing = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            differing = _differing(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())
             fine = pa.array(7 * ((n - differing) // 2) >= 3 * n)
             yield pa.RecordBatch.from_arrays([batch.column(s).filter(fine) for s in "ab"], ["a", "b"])
 
@@ -204,15 +221,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()),
         "nodes")
 
-    # tok, group, and its size and place in one number
-    all_posts = linked.select("gid", "n", F.posexplode("head").alias("place", "tok")).select("tok", "gid", (F.col("n") * (1 << 31) + F.col("place")).alias("sp")).repartition("tok")
-    shared = all_posts.groupBy("tok").agg(F.min("gid").alias("g1"), F.max("gid").alias("g2"), F.count("*").alias("k")).where("k > 1").select("tok")
-    posts = stored(all_posts.join(shared, "tok").groupBy("tok", "gid").agg(F.first("sp").alias("sp")), "posts")
+    # dealt once: the rows of a token meet, and tokens of one row go
+    all_posts = linked.select(F.posexplode("head").alias("place", "tok"), "gid").select("tok", "gid", "place").repartition("tok")
+    shared = all_posts.withColumn("k", F.count("*").over(Window.partitionBy("tok"))).where("k > 1")
+    posts = stored(shared.groupBy("tok", "gid").agg(F.first("place").alias("place")), "posts")
     discard(wide)
 
     # of a run of tokens that two documents share in the same order, only the first needs to bring them together
     of_group = Window.partitionBy("gid")
-    placed = posts.select("tok", "gid", (F.col("sp") % (1 << 31)).alias("place")).withColumns({"before": F.lag(F.struct("tok", "place")).over(of_group.orderBy("place")), "k": F.count("*").over(of_group)})
+    placed = posts.withColumns({"before": F.lag(F.struct("tok", "place")).over(of_group.orderBy("place")), "k": F.count("*").over(of_group)})
     placed = placed.select("tok", "gid", "place", "k", F.when(F.col("before.place") == F.col("place") - 1, F.col("before.tok")).alias("before"))
     members = nodes.select("gid", "node", "rep", "n")
     rows = placed.join(members, "gid").select("tok", "node", "rep", "n", "place", "before", (F.col("k") / F.col("n")).alias("shared"), F.col("node").alias("comp"))

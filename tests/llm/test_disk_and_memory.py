@@ -25,3 +25,18 @@ def test_written_steps_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not left and spark.conf.get(CLEANUP, None) == set_to
     assert [df.agg(F.sum("count")).first()[0] for df in kept] == [1000, 1000]
+
+
+def test_bitmaps_of_large_sets_bound_their_overlap():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 12_000, dtype=np.int64).astype(np.uint64)
+    pairs = [(np.arange(4000), np.arange(2000, 6000)), (np.arange(900), np.arange(100, 1100)), (np.arange(5000), np.arange(400, 4400)), (np.arange(3), np.arange(3)), (np.arange(12_000), np.arange(12_000))]
+    tokens = [pool[side] for pair in pairs for side in pair]
+    bits = ngram_join._bitmaps(np.concatenate(tokens), np.array([len(t) for t in tokens]))
+    assert [len(b) * 8 for b in bits[:4]] == [4096, 4096, 1024, 1024]
+    differing = ngram_join._differing(bits[::2], bits[1::2])
+    for (x, y), d in zip(pairs, differing.tolist()):
+        assert (len(x) + len(y) - d) // 2 >= len(np.intersect1d(x, y))
+    # a third in common: 1024 bits for each set, half of them set by chance, let this pair through
+    assert not 7 * ((8000 - int(differing[0])) // 2) >= 3 * 8000
+    assert ngram_join._differing([], []).tolist() == []
