@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.functions.checkpoints import CLEANUP, cut, stored
-from factloom.llm import line_dedup, ngram_join, toxicity
+from factloom.llm import ngram_join, toxicity
 
 
 def _shuffle_files(spark):
@@ -27,6 +27,17 @@ def test_written_steps_leave_no_shuffle_files(spark):
     assert [df.agg(F.sum("count")).first()[0] for df in kept] == [1000, 1000]
 
 
+def test_a_text_goes_to_python_once(spark, monkeypatch):
+    seen = []
+    score = toxicity.score
+    monkeypatch.setattr(toxicity, "score", lambda rows, *a, **k: seen.append(rows.schema.simpleString()) or score(rows, *a, **k))
+    docs = spark.createDataFrame([(i, "vile rotten filth" if i % 2 else "kind words of praise", 0.5) for i in range(60)] + [(60, None, None)], "doc_id long, text string, `a.b` double")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).where("doc_id < 60")
+    out = toxicity.keep_harmless(docs, labels, F.lit(True), threshold=2.0)
+    assert out.schema == docs.schema and seen[0].count("text:string") == 1
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in docs.collect()}
+
+
 def test_bitmaps_of_large_sets_bound_their_overlap():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 12_000, dtype=np.int64).astype(np.uint64)
