@@ -7,6 +7,7 @@ texts with a special string, go through the library or its own pre-tokenizer as
 from __future__ import annotations
 
 import json
+import re
 import sys
 from array import array
 from collections.abc import Iterable
@@ -65,6 +66,9 @@ class TokenIds:
     the library.
     """
 
+    #: fixed value: the pattern whose words hold all letters that stand together and no other character
+    LETTER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -72,12 +76,13 @@ class TokenIds:
         self.model = self.tokenizer.model
         self.code, self.kind = ("H", "<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", "<u4")
         self.letters = byte_letters()
-        self.common = None
+        self.odd = None
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers") or []]
         if normal == ["NFC", "Replace", "Lowercase"] and split[0].get("type") == "Split" and split[0].get("invert") and split[-1].get("use_regex") is False:
             self.pattern = regex.compile(split[0]["pattern"]["Regex"])
-            self.common = regex.compile(f"[{_COMMON}]*+")
+            self.letters_alone = split[0]["pattern"]["Regex"] == self.LETTER_WORDS
+            self.odd = re.compile(f"[^{_COMMON}]")
             self.special = [t["content"] for t in spec["added_tokens"]]
             self.words = Remembered(self._word)
             self.pieces = Remembered(self._piece)
@@ -88,12 +93,17 @@ class TokenIds:
         return array(self.code, [t.id for t in self.model.tokenize(known)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join([self.words[w] for w in self.pattern.findall(piece.lower())])
+        """Ids of what stands between blanks, in lower case; letters with one other character behind them need no pattern."""
+        if self.letters_alone and piece.isalpha():
+            return self.words[piece]
+        if self.letters_alone and piece[:-1].isalpha():
+            return self.words[piece[:-1]] + self.words[piece[-1]]
+        return b"".join([self.words[w] for w in self.pattern.findall(piece)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned integers of ``kind``."""
-        if self.common and self.common.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.pieces.__getitem__, text.split()))
+        if self.odd and not self.odd.search(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.pieces.__getitem__, text.lower().split()))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
 
