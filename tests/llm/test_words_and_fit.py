@@ -1,11 +1,13 @@
-"""The short way of the word tokenizer."""
+"""The short way of the word tokenizer and what the fit of toxicity brings to the driver."""
 
 from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from factloom.llm import toxicity
 from factloom.llm.bpe import TokenIds
 
 
@@ -19,3 +21,20 @@ def test_letters_alone_need_no_pattern():
     for text in ["", " ", plain, " ".join(odd), *odd, "日本 two words", "a<|endoftext|>b", "ctrl\x01x"]:
         assert np.frombuffer(ids.encode(text), ids.kind).tolist() == library.encode(text, add_special_tokens=False).ids
     assert not {"the", "quick", "brown,", "fox.", "élan", "straße;", "end'", "a7", "b!"} & set(asked)
+
+
+def test_the_fit_brings_only_sure_buckets(spark, monkeypatch):
+    rows = [(i, f"word{i} plain talk" + (" vile filth" if i % 2 else " kind praise")) for i in range(200)] + [(200, ""), (201, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    brought, kind = [], type(docs)
+    to_pandas = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda df: brought.append(to_pandas(df)) or brought[-1])
+    model = toxicity.fit(docs, labels, F.lit(True))
+    counts = np.zeros((2, toxicity.BUCKETS))
+    for i, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        counts[i % 2, np.unique(toxicity.token_buckets(data, np.array([0, len(data)]))[0])] += 1
+    want = toxicity.dirichlet_log_odds(counts[1], counts[0], (counts[1].sum(), counts[0].sum())).astype(np.float32)
+    assert (model.token_scores == want).all()
+    assert 0 < len(brought[0]) == np.count_nonzero(want) < np.count_nonzero(counts.sum(axis=0)) and all(len(b) <= len(rows) for b in brought)
