@@ -1,4 +1,4 @@
-"""The short way of the word tokenizer and what the fit of toxicity brings to the driver."""
+"""The short way of the word tokenizer, what the fit of toxicity brings to the driver, and the bound before lines are compared."""
 
 from types import SimpleNamespace
 
@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import toxicity
+from factloom.llm import line_dedup, toxicity
 from factloom.llm.bpe import TokenIds
 
 
@@ -38,3 +38,15 @@ def test_the_fit_brings_only_sure_buckets(spark, monkeypatch):
     want = toxicity.dirichlet_log_odds(counts[1], counts[0], (counts[1].sum(), counts[0].sum())).astype(np.float32)
     assert (model.token_scores == want).all()
     assert 0 < len(brought[0]) == np.count_nonzero(want) < np.count_nonzero(counts.sum(axis=0)) and all(len(b) <= len(rows) for b in brought)
+
+
+def test_character_counts_bound_the_edits(spark):
+    rng = np.random.default_rng(5)
+    letters = list("aabcdez  é日😀.")
+    lines = ["", "a", *("".join(rng.choice(letters, rng.integers(1, 30))) for _ in range(40))]
+    lines = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.expr(line_dedup.character_counts("line")).alias("counts"))
+    pairs = lines.select(F.col("line").alias("a"), F.col("counts").alias("x")).crossJoin(lines.select(F.col("line").alias("b"), F.col("counts").alias("y")))
+    bound = F.expr(line_dedup.fewest_edits("x", "y", "length(a) - length(b)"))
+    rows = pairs.select("a", "b", bound.alias("bound"), F.expr("levenshtein(a, b)").alias("edits"), F.expr("abs(length(a) - length(b))").alias("longer")).collect()
+    assert all(r.longer <= r.bound <= r.edits for r in rows) and any(r.bound > r.longer for r in rows)
+    assert all(r.bound == 0 for r in rows if sorted(r.a) == sorted(r.b))
