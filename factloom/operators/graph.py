@@ -7,7 +7,9 @@ are dealt over several tasks (``joins.lookup_join``).
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,31 +21,37 @@ from factloom.functions.ranking import top_k_per_group
 
 #: edges of a repository that one task solves, after trimming
 LOCAL_EDGES = 500_000
+#: rows of solved repositories that go back to Spark at once
+ROWS_PER_BATCH = 10_000
 
 
 def resolution_stems(files: DataFrame) -> DataFrame:
     """(repo_id, stem, target): the file that an extension-less import of ``stem`` resolves to.
 
     Every file answers to its own path (rank 0), to its path without a known extension, and to its directory when
-    it is an index file.  Keeping the best rank per stem here means that a lookup returns at most one row.  Stems are nearly unique, so
-    rows are dealt by stem first: one sort serves the minimum and the lookup, and none is made before the shuffle.
+    it is an index file.  Keeping the best rank per stem here means that a lookup returns at most one row.  A rank names what was cut
+    off, so the rank and the stem tell the file: a minimum of numbers, without a sort.  Stems are nearly unique, so rows are dealt by
+    stem first: the minimum and the lookup share one shuffle.
     """
     path = F.col("path")
-    ext = extname(path)
-    ext_rank = F.array_position(F.array(*[F.lit(e) for e in signals.RESOLVE_EXTENSIONS]), ext)
-    index = F.regexp_extract(path, r"/(?:index\.(?:ts|tsx|js|jsx|mjs)|mod\.ts|__init__\.py)\z", 0)
-    index_rank = F.array_position(F.array(*[F.lit(e) for e in signals.RESOLVE_INDEXES]), index)
-
-    def named(rank: Column, cut_chars: Column) -> Column:
-        return F.struct(rank.cast("int").alias("rank"), F.left(path, F.length(path) - cut_chars).alias("stem"))
-
-    stems = F.array_compact(F.array(
-        named(F.lit(0), F.lit(0)),
-        F.when(ext_rank > 0, named(ext_rank, F.length(ext))),
-        F.when(index_rank > 0, named(index_rank + len(signals.RESOLVE_EXTENSIONS), F.length(index))),
-    ))
-    rows = files.select("repo_id", "path", F.explode(stems).alias("r")).select("repo_id", "path", "r.stem", "r.rank")
-    return rows.repartition("repo_id", "stem").groupBy("repo_id", "stem").agg(F.min_by("path", "rank").alias("target"))
+    suffixes = ["", *signals.RESOLVE_EXTENSIONS, *signals.RESOLVE_INDEXES]
+
+    def stem_of(suffix: str, rank: int, least: int) -> Column:
+        """A name is no extension, so something stands before one (``least`` characters)."""
+        fits = path.endswith(suffix) & (F.length(path) >= len(suffix) + least)
+        return F.when(fits, F.struct(F.lit(rank).alias("rank"), F.left(path, F.length(path) - len(suffix)).alias("stem")))
+
+    n = 1 + len(signals.RESOLVE_EXTENSIONS)
+    # a path ends with one extension and one index name at most
+    stems = F.array(
+        F.struct(F.lit(0).alias("rank"), path.alias("stem")),
+        F.coalesce(*[stem_of(x, i, 1) for i, x in enumerate(suffixes[:n]) if i]),
+        F.coalesce(*[stem_of(x, i, 0) for i, x in enumerate(suffixes) if i >= n]),
+    )
+    rows = files.select("repo_id", F.explode(stems).alias("r")).where("r is not null").select("repo_id", "r.stem", "r.rank")
+    best = rows.repartition("repo_id", "stem").groupBy("repo_id", "stem").agg(F.min("rank").alias("rank"))
+    cut_off = F.get(F.array(*[F.lit(x) for x in suffixes]), F.col("rank"))
+    return best.select("repo_id", "stem", F.concat("stem", cut_off).alias("target"))
 
 
 def _first_package(distinct: DataFrame, packages: DataFrame) -> DataFrame:
@@ -54,6 +62,7 @@ def _first_package(distinct: DataFrame, packages: DataFrame) -> DataFrame:
     """
     pieces = F.split("raw_import", "/", -1)
     prefixes = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "/"))
+    prefixes = F.when(F.col("raw_import").contains("/"), prefixes).otherwise(F.array("raw_import"))
     names = packages.filter("package_name is not null").groupBy("repo_id", "package_name").agg(
         F.min_by("package_path", "manifest_path").alias("package_path"), F.min("manifest_path").alias("manifest_path")
     )
@@ -295,22 +304,41 @@ def _local_cycles(live: DataFrame) -> DataFrame:
             level = coming
         return []
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(edges: list[tuple[str, str]]) -> Iterator[tuple[str, str, int | None]]:
         after: dict[str, list[str]] = {}
-        for src, dst in zip(pdf["src"], pdf["dst"]):
+        for src, dst in edges:
             after.setdefault(src, []).append(dst)
             after.setdefault(dst, [])
-        rows = []
         for nodes in components(after):
             if len(nodes) > 1 or nodes[0] in after[nodes[0]]:
                 root = min(nodes, key=str.encode)
                 step = {path: i for i, path in enumerate(shown(root, set(nodes), after))}
-                rows += [(path, root, step.get(path)) for path in nodes]
-        out = pd.DataFrame(rows, columns=["path", "component", "step"]).astype({"step": "Int32"})
-        out.insert(0, "repo_id", pdf["repo_id"].iloc[0])
-        return out
-
-    return live.groupBy("repo_id").applyInPandas(solve, "repo_id string, path string, component string, step int")
+                yield from ((path, root, step.get(path)) for path in nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repositories lie one after another; the edges of one are kept until the next begins."""
+        types = (pa.string(), pa.string(), pa.string(), pa.int32())
+        repo, edges, rows = None, [], []
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["repo_id", "path", "component", "step"])
+            rows.clear()
+            return made
+
+        for part in batches:
+            for of, src, dst in zip(*(part.column(n).to_pylist() for n in ("repo_id", "src", "dst"))):
+                if of != repo:
+                    rows += [(repo, *row) for row in solve(edges)]
+                    repo, edges = of, []
+                    if len(rows) >= ROWS_PER_BATCH:
+                        yield batch()
+                edges.append((src, dst))
+        rows += [(repo, *row) for row in solve(edges)]
+        if rows:
+            yield batch()
+
+    lying = live.select("repo_id", "src", "dst").repartition("repo_id").sortWithinPartitions("repo_id")
+    return lying.mapInArrow(run, "repo_id string, path string, component string, step int")
 
 
 def _wide_cycles(live: DataFrame, max_rounds: int) -> DataFrame:
