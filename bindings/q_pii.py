@@ -98,10 +98,12 @@ def verify_chain(spark, sf) -> DataFrame:
 
 def _source_entries(spark, sf) -> DataFrame:
     """Replacements of every document under its source, and of the notes under 'notes'."""
-    sources = rel.table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("chain"))
-    texts = rel.pii_texts(spark, sf).join(sources, "doc_id", "left").withColumn("chain", F.coalesce("chain", F.lit("notes")))
-    scrubbed = pii.scrub(texts, ["doc_id"], carry=["chain"])
-    return attest.unlinked_entries(scrubbed, "chain", "doc_id", "analyst", F.lit("documents"), F.lit("HEAD"), F.lit(DETECTED_AT))
+    sources = rel.table(spark, sf, "documents").select(F.col("doc_id").alias("payload"), F.coalesce("source", F.lit("")).alias("chain_id"))
+    scrubbed = pii.scrub(rel.pii_texts(spark, sf), ["doc_id"])
+    # the entries meet the sources, which takes a shuffle; the texts they are found in do not
+    found = attest.unlinked_entries(scrubbed, "doc_id", "doc_id", "analyst", F.lit("documents"), F.lit("HEAD"), F.lit(DETECTED_AT))
+    named = found.drop("chain_id").join(sources, "payload", "left").withColumn("chain_id", F.coalesce("chain_id", F.lit("notes")))
+    return named.select(*found.columns)
 
 
 def attestation_chain_by_source(spark, sf) -> DataFrame:
