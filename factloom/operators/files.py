@@ -202,10 +202,12 @@ def catalog(files: DataFrame, read: bool = True, data_size_limit: int | None = N
         "repo_id", "path", basename(path).alias("name"), "size_bytes", "is_symlink", *(["content"] if read else [])
     ).withColumn("ext", F.lower(extname(F.col("name"))))
     lang = named.withColumn("language", F.when(~F.col("is_symlink"), lookup(signals.LANGUAGE_OF_EXTENSION, F.col("ext"))))
-    base = _once(lang, "file_class", _class_of(path, F.col("name"), F.col("ext"), F.col("language"), F.col("size_bytes"), data_size_limit))
+    file_class = _class_of(path, F.col("name"), F.col("ext"), F.col("language"), F.col("size_bytes"), data_size_limit)
     front = ["repo_id", "path", "name", "ext", "size_bytes", "language", "is_symlink"]
     if not read:
-        return base.select(*front, "file_class")
+        # a plain column, so that a query which does not ask for the class does not pay for it
+        return lang.select(*front, file_class.alias("file_class"))
+    base = _once(lang, "file_class", file_class)
     base = base.withColumn("_head", first_lines(F.col("content"), 10))
     kind = extraction_type(path, F.col("file_class"), F.col("size_bytes"), F.col("content"), F.col("_head"), F.col("is_symlink"), data_size_limit)
     return _once(base, "extraction_type", kind).select(*front, "extraction_type", "content")
